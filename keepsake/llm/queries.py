@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from keepsake.llm.bpe import op6_bpe
 from keepsake.llm.decontaminate import op9_decontaminate
 from keepsake.llm.token_files import op2_token_output
 from keepsake.llm.topk import OP5_SQL, op5_topk
 
-QUERIES = {"op2_token_output": op2_token_output, "op5_topk": op5_topk, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op6_bpe": op6_bpe, "op2_token_output": op2_token_output, "op5_topk": op5_topk, "op9_decontaminate": op9_decontaminate}
 ORACLE_SQL = {"op5_topk": OP5_SQL}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from keepsake.llm.bpe import op6_bpe
 from keepsake.llm.decontaminate import op9_decontaminate
+from keepsake.llm.licenses import op1_licenses
 from keepsake.llm.secrets import op4_secrets
 from keepsake.llm.token_files import op2_token_output
 from keepsake.llm.topk import OP5_SQL, op5_topk
 
-QUERIES = {"op4_secrets": op4_secrets, "op6_bpe": op6_bpe, "op2_token_output": op2_token_output, "op5_topk": op5_topk, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op1_licenses": op1_licenses, "op4_secrets": op4_secrets, "op6_bpe": op6_bpe, "op2_token_output": op2_token_output, "op5_topk": op5_topk, "op9_decontaminate": op9_decontaminate}
 ORACLE_SQL = {"op5_topk": OP5_SQL}

@@ -17,7 +17,7 @@ def brute(text):
                 starts.append(i)
                 base.add(label)
     for line in (text or "").split("\n"):
-        block = set(re.sub(NOT_WORD, " ", ascii_lower(line)).split())
+        block = set(re.sub(NOT_WORD, " ", ascii_lower(line)).split(" ")) - {""}
         for label, t in TEMPLATES:
             own = template_tokens(t)
             c = len(block & set(own)) / len(own)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from keepsake.llm.bpe import op6_bpe
 from keepsake.llm.decontaminate import op9_decontaminate
+from keepsake.llm.jaccard import op3_jaccard
 from keepsake.llm.language import op8_language
 from keepsake.llm.licenses import op1_licenses
 from keepsake.llm.quality import op7_quality
@@ -11,5 +12,5 @@ from keepsake.llm.secrets import op4_secrets
 from keepsake.llm.token_files import op2_token_output
 from keepsake.llm.topk import OP5_SQL, op5_topk
 
-QUERIES = {"op7_quality": op7_quality, "op8_language": op8_language, "op1_licenses": op1_licenses, "op4_secrets": op4_secrets, "op6_bpe": op6_bpe, "op2_token_output": op2_token_output, "op5_topk": op5_topk, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op3_jaccard": op3_jaccard, "op7_quality": op7_quality, "op8_language": op8_language, "op1_licenses": op1_licenses, "op4_secrets": op4_secrets, "op6_bpe": op6_bpe, "op2_token_output": op2_token_output, "op5_topk": op5_topk, "op9_decontaminate": op9_decontaminate}
 ORACLE_SQL = {"op5_topk": OP5_SQL}

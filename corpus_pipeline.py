@@ -1,10 +1,88 @@
-"""A corpus-cleaning pipeline over ``documents`` built from the operators of ``keepsake.llm``."""
+"""A corpus-cleaning pipeline over ``documents`` built from the operators of ``keepsake.llm``.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the
+last return the columns of ``documents``; between stages the rows are written as Parquet in the
+shared folder and read again, so a lost executor costs no earlier stage.
+
+Rows with a null id or text pass every stage that has no reason to drop them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.llm import bpe, decontaminate, jaccard, quality, secrets
+from keepsake.llm.common import saved, table
+
+#: Documents that score lower are rejected.
+LEAST_QUALITY = 0.5
+#: What stands for a secret.
+MASK = "[secret]"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, score_col="__score").where(F.col("__score") >= LEAST_QUALITY).drop("__score")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; of rows that share an id and text, one."""
+    groups = saved(jaccard.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "groups")
+    kept = docs.join(groups, "doc_id", "left_anti")
+    again = saved(docs.groupBy("doc_id").count().where(F.col("doc_id").isNotNull() & (F.col("count") > 1)).select("doc_id"), "again")
+    once = kept.join(again, "doc_id", "left_anti")
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold enough of a benchmark item."""
+    leaks = saved(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported span of a text becomes MASK; n_chars follows."""
+    found = secrets.with_spans(docs)
+    # overlapping spans are masked as one: a span that starts before the last end only moves that end on
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(s, x):
+        fresh = x["start"] >= s["at"]
+        between = F.when(fresh, F.concat(F.substr("text", (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(MASK))).otherwise(F.lit(""))
+        return F.struct(F.concat(s["out"], between).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+
+    masked = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr("text", (s["at"] + 1).cast("int"))))
+    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and whether the ids decode to the very text."""
+    import public_tokenizers
+
+    pairs = bpe.BytePairs(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), pairs)
+    same = pairs.decoded(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_benchmark),
+    ("secret scans", mask_secrets),
+    ("byte-level bpe", encode),
+]
+
+#: No stage but the fourth can be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,49 @@
+"""Screening of texts for secrets and personal data with built-in expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Patterns that Java and RE2 read alike.
+RULES = {
+    "aws-access-key": r"AKIA[0-9A-Z]{16}",
+    "github-token": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "private-key-block": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "assigned-credential": r"""(?i:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?[A-Za-z0-9+/_.=-]{12,}""",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "us-ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "phone": r"[+][0-9]{1,2} ?[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}",
+}
+CLASS = {k: "pii" if k in ("email", "us-ssn", "phone") else "secret" for k in RULES}
+
+
+def count(text: Column, kind: str) -> Column:
+    return F.regexp_count(text, F.lit(RULES[kind])).cast("long")
+
+
+def counted(docs: DataFrame, kind: str) -> DataFrame:
+    """doc_id and n of the documents that hold the kind."""
+    return docs.where(F.col("text").rlike(RULES[kind])).select("doc_id", count(F.col("text"), kind).alias("n"))
+
+
+def redacted(text: Column, kind: str) -> Column:
+    return F.regexp_replace(text, RULES[kind], f"[REDACTED:{kind}]")
+
+
+def summary(docs: DataFrame) -> DataFrame:
+    """class, kind and n over all documents: one pass and one row a task."""
+    sums = docs.agg(*[F.sum(count(F.col("text"), k)).alias(k) for k in RULES])
+    rows = F.array(*[F.struct(F.lit(CLASS[k]).alias("class"), F.lit(k).alias("kind"), F.col(f"`{k}`").alias("n")) for k in RULES])
+    return sums.select(F.inline(rows)).where("n > 0")
+
+
+def policy(docs: DataFrame, force: bool = False) -> DataFrame:
+    """Whether a claim is stored: secrets are refused, or masked where that is forced; personal data passes."""
+    text, secret = F.col("text"), F.lit(False)
+    for k in RULES:
+        if CLASS[k] == "secret":
+            secret = secret | F.coalesce(F.col("text").rlike(RULES[k]), F.lit(False))
+            text = redacted(text, k)
+    out = docs.withColumn("policy", F.when(~secret, "store").otherwise("redact" if force else "refuse"))
+    return out.withColumn("text", F.when(secret, text).otherwise(F.col("text"))) if force else out

@@ -29,8 +29,13 @@ def token_set(text: Column) -> Column:
 
 def shingles(words: Column, n: int = SHINGLE, least: int = SHORT_SHINGLE) -> Column:
     """Runs of n words; a text of ``least`` to n-1 words is one shingle, a shorter one has none."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < least, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def of(w):
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) < least, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    # inside a lambda the words are computed once, not once a run
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

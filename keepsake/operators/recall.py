@@ -102,3 +102,19 @@ def context_pack(memories: DataFrame, now: Column, items: int, budget: int) -> D
 
     packed = F.aggregate("all", start, step)
     return listed.select("scope", packed["used"].alias("used"), F.array_join(F.transform(packed["ids"], lambda i: i.cast("string")), ",").alias("ids"))
+
+
+def context_line(kind: Column, content: Column, updated: Column, claim: Column) -> Column:
+    """One line of a context block; only events and notes say when they were so."""
+    title = F.trim(F.regexp_replace(F.substring(content, 1, 80), r"\s+", " "))
+    dated = F.when(kind.isin("event", "note"), F.concat(F.lit(" (as of "), F.date_format(updated, "yyyy-MM-dd"), F.lit(")"))).otherwise(F.lit(""))
+    return F.concat(F.lit("- ["), kind, F.lit("] "), title, dated, F.lit(" ["), F.substring(claim.cast("string"), 1, 8), F.lit("]"))
+
+
+def merged(*lists: DataFrame) -> DataFrame:
+    """Ranked lists as one: of equal contents the one in the earliest list stays."""
+    rows = lists[0].withColumn("__list", F.lit(0))
+    for i, more in enumerate(lists[1:], 1):
+        rows = rows.unionByName(more.withColumn("__list", F.lit(i)))
+    w = Window.partitionBy("h").orderBy("__list", F.desc("score"), "id")
+    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__list")

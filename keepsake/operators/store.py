@@ -106,3 +106,24 @@ def rendered(turns: DataFrame) -> DataFrame:
     kept = turns.where(F.col("role").isin("user", "assistant") & F.col("text").isNotNull())
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
     return kept.groupBy("conv_id").agg(F.array_join(lines, "\n\n").alias("rendered"))
+
+
+def new_claims(incoming: DataFrame, held: DataFrame) -> DataFrame:
+    """Incoming claims whose content is new, the first of each: an anti-join on the content hash."""
+    return first_seen(incoming, "content_hash", "doc_id").join(held.select("content_hash").distinct(), "content_hash", "left_anti")
+
+
+def review(memories: DataFrame, flagged: Column) -> DataFrame:
+    """What waits for review: everything quarantined, and live claims with an open flag."""
+    return memories.where((F.col("status") == "quarantined") | (F.col("status").isin("active", "aging") & flagged))
+
+
+def approved(memories: DataFrame, which: Column) -> DataFrame:
+    """Approval: tier 1, active, confidence 0.95."""
+    return memories.withColumns({"trust": F.when(which, 1).otherwise(F.col("trust")), "confidence": F.when(which, 0.95).otherwise(F.col("confidence")), "status": F.when(which, "active").otherwise(F.col("status"))})
+
+
+def screened(text: Column, role: Column) -> Column:
+    """What becomes of a candidate from a transcript: the first reason that holds decides."""
+    secret = text.rlike("(?i)password|secret|token")
+    return F.when(text.isNull() | (F.trim(text) == ""), "drop").when(secret, "drop").when(role == "system", "quarantine").otherwise("store")

@@ -447,3 +447,96 @@ def context_pack(spark, sf):
 @query()
 def consolidate_survivors(spark, sf):
     return consolidate.survivors(memories(spark, sf).where(F.col("status").isin("active", "aging")))
+
+
+# --- interchange, rendering, review ---------------------------------------------------------------
+
+
+@query(f"""WITH {MEMORIES_SQL} SELECT id, '- [' || type || '] ' || trim(regexp_replace(left(content, 80), '\\s+', ' ', 'g')) ||
+  CASE WHEN type IN ('event', 'note') THEN ' (as of ' || strftime(updated_at, '%Y-%m-%d') || ')' ELSE '' END || ' [' || left(CAST(id AS VARCHAR), 8) || ']' AS line FROM memories""")
+def context_lines(spark, sf):
+    return memories(spark, sf).select("id", recall.context_line(F.col("type"), F.col("content"), F.col("updated_at"), F.col("id")).alias("line"))
+
+
+@query(f"""WITH {MEMORIES_SQL}, {EFF} SELECT id, format('trust {{:.2f}} recency {{:.4f}} confidence {{:.4f}}', CASE trust WHEN 0 THEN 1.0 WHEN 1 THEN 0.97 WHEN 2 THEN 0.9 ELSE 0.75 END::DOUBLE, round(rec, 4)::DOUBLE, round(eff, 4)::DOUBLE) AS why FROM s""")
+def why_line(spark, sf):
+    m = memories(spark, sf)
+    eff = R.effective_confidence(F.col("confidence"), F.col("type"), F.col("last_confirmed_at"), now())
+    rec = R.recency(F.col("type"), F.col("last_confirmed_at"), now())
+    return m.select("id", F.format_string("trust %.2f recency %.4f confidence %.4f", R.trust_factor(F.col("trust")), F.round(rec, 4), F.round(eff, 4)).alias("why"))
+
+
+@query(r"SELECT doc_id, e AS email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')) AS e FROM documents) GROUP BY ALL")
+def extract_emails(spark, sf):
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("email")).groupBy("doc_id", "email").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH h AS (SELECT doc_id, sha256({norm('text')}) AS content_hash FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) AS r FROM h WHERE doc_id % 2 = 1)
+SELECT doc_id, content_hash FROM n WHERE r = 1 AND content_hash NOT IN (SELECT content_hash FROM h WHERE doc_id % 2 = 0)""")
+def import_dedupe(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return store.new_claims(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0")).select("doc_id", "content_hash")
+
+
+@query(f"""WITH {MEMORIES_SQL}, {EFF}, r AS (SELECT id, sha256({norm('content')}) AS h, CAST(id % 2 AS INT) AS list, round(m, 6) AS score FROM s WHERE status = 'active'),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY list, score DESC, id) AS k FROM r) SELECT id, score FROM firsts WHERE k = 1 ORDER BY score DESC, id LIMIT 100""")
+def merge_scopes(spark, sf):
+    m = recall.with_modulation(memories(spark, sf).where("status = 'active'"), F.lit(1.0), now())
+    rows = m.select("id", X.content_hash(F.col("content")).alias("h"), (F.col("id") % 2).alias("list"), F.round("score", 6).alias("score"))
+    return recall.merged(rows.where("list = 0"), rows.where("list = 1")).orderBy(F.desc("score"), "id").limit(100).select("id", "score")
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT id, type, sha256({norm('content')}) AS content_hash, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at FROM memories WHERE status IN ('active', 'aging')")
+def export_select(spark, sf):
+    m = memories(spark, sf).where(F.col("status").isin("active", "aging"))
+    return m.select("id", "type", X.content_hash(F.col("content")).alias("content_hash"), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"))
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT m.id, count(o.id) AS n_older, min(o.id) AS first_older FROM memories m LEFT JOIN memories o ON o.superseded_by = m.id WHERE m.type = 'decision' AND m.status IN ('active', 'aging') GROUP BY 1")
+def decisions_log(spark, sf):
+    m = memories(spark, sf)
+    older = m.where("superseded_by is not null").groupBy(F.col("superseded_by").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("first_older"))
+    return m.where("type = 'decision' and status in ('active', 'aging')").join(older, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_older"), "first_older")
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT id, trust, confidence FROM memories WHERE status = 'quarantined' OR (status IN ('active', 'aging') AND regexp_matches(content, '{scan.RULES['email']}'))")
+def review_inbox(spark, sf):
+    return store.review(memories(spark, sf), F.col("content").rlike(scan.RULES["email"])).select("id", "trust", "confidence")
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT id, CASE WHEN status = 'quarantined' THEN 'active' ELSE status END AS status, CASE WHEN status = 'quarantined' THEN 1 ELSE trust END AS trust, CASE WHEN status = 'quarantined' THEN 0.95::DOUBLE ELSE confidence END AS confidence FROM memories")
+def approve_fold(spark, sf):
+    return store.approved(memories(spark, sf), F.col("status") == "quarantined").select("id", "status", "trust", "confidence")
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT id FROM memories WHERE scope = 'src7' AND status <> 'tombstoned'")
+def forget_targets(spark, sf):
+    return memories(spark, sf).where((F.col("scope") == "src7") & (F.col("status") != "tombstoned")).select("id")
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' OR text IS NULL THEN 'drop' WHEN regexp_matches(text, '(?i)password|secret|token') THEN 'drop' WHEN role = 'system' THEN 'quarantine' ELSE 'store' END AS disposition FROM conversations""")
+def digest_screen(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", store.screened(F.col("text"), F.col("role")).alias("disposition"))
+
+
+@query(f"""WITH {MEMORIES_SQL} SELECT id, 'met on ' || strftime(updated_at - INTERVAL 1 DAY, '%Y-%m-%d') || ', on ' || strftime(updated_at, '%Y-%m-%d') || ' and on ' || strftime(updated_at + INTERVAL 1 DAY, '%Y-%m-%d') || ', 3 of ' || CAST(id AS VARCHAR) AS content FROM memories""")
+def absolutize_dates(spark, sf):
+    m = memories(spark, sf)
+    text = F.concat(F.lit("met Yesterday, today and on tomorrow, 3 of "), F.col("id").cast("string"))
+    return m.select("id", consolidate.absolute_dates(text, F.col("updated_at")).alias("content"))
+
+
+@query(f"WITH {MEMORIES_SQL}, {EFF} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN status = 'active' AND eff < 0.35 THEN 'demoted' WHEN status = 'superseded' THEN 'resolved' ELSE 'kept' END AS kind FROM s) GROUP BY 1")
+def consolidate_report(spark, sf):
+    was = memories(spark, sf)
+    after = consolidate.demoted(was.withColumn("was", F.col("status")), now())
+    kind = F.when(F.col("was") != F.col("status"), "demoted").when(F.col("status") == "superseded", "resolved").otherwise("kept")
+    return after.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT m.id, e.name, l.n FROM (SELECT id, scope AS name FROM memories) m JOIN (SELECT DISTINCT scope AS name FROM memories) e USING (name) JOIN (SELECT scope AS name, count(*) AS n FROM memories GROUP BY 1) l USING (name)")
+def attach_entities(spark, sf):
+    m = memories(spark, sf)
+    counts = m.groupBy(F.col("scope").alias("name")).agg(F.count("*").alias("n"))
+    return m.select("id", F.col("scope").alias("name")).join(counts, "name").select("id", "name", "n")

@@ -45,6 +45,8 @@ SHINGLE, PERCENT = 5, 80
 #: Sizes that order the work: points that share a shingle before it counts as common, points of a
 #: region that one task joins, pivots of a round.
 SMALL, REGION, PIVOTS = 16, 20_000, 64
+#: The most rows (two short strings each) of a table that is sent to every task.
+BROADCAST = 250_000
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -68,41 +70,43 @@ def common_shingles(docs: DataFrame, shingle: int, small: int, most: int = 1 <<
     spark = docs.sparkSession
     ranges = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    starts = np.array([-(-(r << 38) // ranges) for r in range(ranges)], dtype=np.uint64)
+
     def pack(batches):
         memo, held, size = WordHashes(), [], 0
 
         def rows():
             h = np.sort(np.concatenate(held) >> np.uint64(26))
-            at = (h * np.uint64(ranges)) >> np.uint64(38)
-            cut = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
-            low = h.astype(np.uint32)
-            high = (h >> np.uint64(32)).astype(np.uint8)
-            return pd.DataFrame({"range": range(ranges), "low": [low[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], "high": [high[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
+            cut = [*np.searchsorted(h, starts), len(h)]
+            # differences of sorted numbers, their first bytes together, then their second ...: small, and easy to compress
+            gaps = [np.diff(h[a:b], prepend=s).astype(np.uint32) for s, a, b in zip(starts, cut, cut[1:], strict=False)]
+            return pd.DataFrame({"range": range(ranges), "gaps": [g.view(np.uint8).reshape(-1, 4).T.tobytes() for g in gaps]})
 
         for pdf in batches:
             for t in pdf["text"]:
                 s = shingle_set(memo.of(words_of(t)), shingle)
                 held.append(s)
                 size += len(s)
-                if size > 2_000_000:
+                if size > 6_000_000:
                     yield rows()
                     held, size = [], 0
         if size:
             yield rows()
 
     def count(pdf):
-        h = np.frombuffer(b"".join(pdf["low"]), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64) << np.uint64(32)
+        start = starts[pdf["range"].iloc[0]]
+        h = np.concatenate([np.cumsum(np.frombuffer(g, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint64) + start for g in pdf["gaps"]])
         u, n = np.unique(h, return_counts=True)
         return pd.DataFrame({"h": u[n > small].astype(np.int64), "n": n[n > small]})
 
-    counted = saved(docs.select("text").mapInPandas(pack, "range int, low binary, high binary").groupBy("range").applyInPandas(count, "h long, n long"), "common")
+    counted = saved(docs.select("text").mapInPandas(pack, "range int, gaps binary").groupBy("range").applyInPandas(count, "h long, n long"), "common")
     while counted.where(F.col("n") > small).count() > most:
         small *= 2
     return np.sort(np.array([r["h"] for r in counted.where(F.col("n") > small).select("h").collect()], dtype=np.uint64))
 
 
 def points(docs: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """For each row: id, n (its shingles), digest, prefix (its rare first shingles), dense (whether common ones are among the first)."""
+    """For each row: id, n (its shingles), digest and mark (its first 64 bits), prefix (its rare first shingles; p of them), dense (whether common ones are among the first)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -115,26 +119,52 @@ def points(docs: DataFrame, common: np.ndarray, shingle: int, percent: int) -> D
                 at = np.minimum(np.searchsorted(held, k), max(len(held) - 1, 0))
                 rare = s[held[at] != k] if len(held) else s
                 p = prefix_length(len(s), percent)
-                out.append((doc_id, len(s), _digest(s), rare[:p].astype(np.int64), len(rare) < p))
-            yield pd.DataFrame(out, columns=["id", "n", "digest", "prefix", "dense"])
+                digest = _digest(s)
+                out.append((doc_id, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), min(p, len(rare)), rare[:p].astype(np.int64), len(rare) < p))
+            yield pd.DataFrame(out, columns=["id", "n", "digest", "mark", "p", "prefix", "dense"])
 
     rows = docs.select(F.col("id").cast("string").alias("id"), "text")
-    return rows.mapInPandas(run, "id string, n long, digest binary, prefix array<long>, dense boolean")
-
-
-def pairs_of_rare(reps: DataFrame, percent: int) -> DataFrame:
+    return rows.mapInPandas(run, "id string, n long, digest binary, mark long, p long, prefix array<long>, dense boolean")
+
+
+def _pairs_within(batches):
+    """Pairs of marks that share hashes, with how many, of a partition that holds all rows of its hashes."""
+    rows = [(pdf["h"].to_numpy(), pdf["mark"].to_numpy()) for pdf in batches]
+    if not rows:
+        return
+    h, mark = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((mark, h))
+    h, mark = h[order], mark[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (mark[1:] != mark[:-1]))  # copies share all their hashes
+    h, mark = h[fresh], mark[fresh]
+    a, b, step = [], [], 1
+    while (same := np.flatnonzero(h[step:] == h[:-step])).size:
+        a.append(mark[same])
+        b.append(mark[same + step])
+        step += 1
+    if a:
+        pairs, shared = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1, return_counts=True)
+        yield pd.DataFrame({"x": pairs[0], "y": pairs[1], "shared": shared})
+
+
+def pairs_of_rare(held: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of representatives that share enough of their rare first shingles.
 
     What both hold beyond the shared first shingles is at most what lies after the first ones of the
     one whose first shingles end earlier, so the overlap is bounded by shared + the rest of either.
+    Sets are known by 64-bit marks here; should two sets have one mark, both are candidates.
     """
-    x = reps.select("rep", "n", F.size("prefix").alias("p"), "dense", F.explode("prefix").alias("h"))
-    groups = x.groupBy("h").agg(F.collect_list(F.struct("rep", "n", "p", "dense")).alias("g")).where(F.size("g") > 1)
-    a = groups.select("h", F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where((F.col("a.rep") < F.col("b.rep")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
-    counted = a.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("shared"), F.first("a").alias("x"), F.first("b").alias("y"))
-    need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-    rest = F.greatest(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
-    return counted.where(F.col("shared") + rest >= need).select("a", "b")
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = held.where(F.size("prefix") > 0).select(F.explode("prefix").alias("h"), "mark").repartition(parts, "h")
+    pairs = rows.mapInPandas(_pairs_within, "x long, y long, shared long").groupBy("x", "y").agg(F.sum("shared").alias("shared"))
+    one = lambda name, key: reps.select(F.col("rep").alias(name), F.col("mark").alias(key), F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("p")).alias(f"rest_{name}"))
+    both = pairs.join(one("a", "x"), "x").join(one("b", "y"), "y")
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    kept = both.where(sizes & (F.col("shared") + F.greatest("rest_a", "rest_b") >= need)).select("a", "b")
+    # sets of one mark never meet above
+    twins = reps.groupBy("mark").agg(F.collect_list("rep").alias("g")).where(F.size("g") > 1).select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a < b")
+    return kept.unionByName(twins)
 
 
 class Region:
@@ -371,12 +401,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     common = common_shingles(rows, shingle, small)
     held = saved(points(rows, common, shingle, percent), "points")
     # points of equal sets are one; it is named by its digest
-    reps = held.where("n > 0").groupBy(F.hex("digest").alias("rep")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.bool_or("dense").alias("dense"), F.min(F.col("id").cast(kind)).alias("low"), F.min("id").alias("one"))
-    reps = saved(reps, "reps")
-    candidates = saved(pairs_of_rare(reps, percent), "candidates")
-    linked_reps = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).distinct()
+    slim = held.where("n > 0").select(F.hex("digest").alias("rep"), "mark", "n", "p", "dense", "id")
+    reps = saved(slim.groupBy("rep").agg(*[F.min(c).alias(c) for c in ("mark", "n", "p", "dense")], F.min(F.col("id").cast(kind)).alias("low"), F.min("id").alias("one")), "reps")
+    candidates = saved(pairs_of_rare(held, reps, percent), "candidates")
     dense = reps.where("dense").select("rep")
-    one = reps.join(linked_reps.unionByName(dense).distinct(), "rep", "left_semi").select("rep", "one")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(dense).distinct()
+    one = saved(reps.join(wanted, "rep", "left_semi").select("rep", "one"), "wanted")
+    if one.count() <= BROADCAST:
+        one = F.broadcast(one)  # else their texts are found by a shuffle
     texts = rows.withColumn("key", F.col("id").cast("string"))
     texts = texts.join(one, texts["key"].eqNullSafe(one["one"])).select("rep", "text")
     sets = saved(_own_sets(texts, shingle), "sets")

@@ -540,3 +540,49 @@ def attach_entities(spark, sf):
     m = memories(spark, sf)
     counts = m.groupBy(F.col("scope").alias("name")).agg(F.count("*").alias("n"))
     return m.select("id", F.col("scope").alias("name")).join(counts, "name").select("id", "name", "n")
+
+
+# --- verdicts ----------------------------------------------------------------------------------------
+
+FILLERS_SQL = "[" + ", ".join(f"'{x}'" for x in belief.FILLERS) + "]"
+_q = lambda s: s.replace("'", "''")
+PAIRS_SQL = rf"""
+t AS (SELECT doc_id, source, text, list_distinct({toks('text')}) AS s FROM documents),
+p AS (SELECT n.doc_id, n.text AS new, o.text AS old, n.source = o.source AS shares_entity, n.s AS a, o.s AS b,
+    list_filter(n.s, lambda x: NOT list_contains({FILLERS_SQL}, x)) AS fa, list_filter(o.s, lambda x: NOT list_contains({FILLERS_SQL}, x)) AS fb
+  FROM t n JOIN t o ON o.doc_id = n.doc_id + 1),
+v AS (SELECT *, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END, 9) AS sim,
+    CASE WHEN least(len(fa), len(fb)) = 0 THEN FALSE ELSE len(list_intersect(fa, fb)) / least(len(fa), len(fb))::DOUBLE >= 0.5 END AS subject,
+    regexp_matches(new, '(?i)\b{_q(belief.NEGATION)}\b') <> regexp_matches(old, '(?i)\b{_q(belief.NEGATION)}\b') AS denied,
+    list_transform(regexp_extract_all(lower(new), '\b{_q(belief.RELATION)}\b'), lambda x: regexp_replace(regexp_replace(x, '^(\S+?)es(\s|$)', '\1\2'), '^(\S+?)s(\s|$)', '\1\2')) AS ra,
+    list_transform(regexp_extract_all(lower(old), '\b{_q(belief.RELATION)}\b'), lambda x: regexp_replace(regexp_replace(x, '^(\S+?)es(\s|$)', '\1\2'), '^(\S+?)s(\s|$)', '\1\2')) AS rb,
+    len(list_filter(fa, lambda x: NOT list_contains(b, x) AND (regexp_matches(x, '^[a-z0-9][a-z0-9.\-_/+]*$') OR regexp_matches(x, '[0-9]')))) > 0 AS va,
+    len(list_filter(fb, lambda x: NOT list_contains(a, x) AND (regexp_matches(x, '^[a-z0-9][a-z0-9.\-_/+]*$') OR regexp_matches(x, '[0-9]')))) > 0 AS vb FROM p),
+w AS (SELECT *, denied OR (list_has_any(ra, rb) AND va AND vb) AS clash FROM v)"""
+
+
+def _pairs(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", "source", "text", X.token_set(F.col("text")).alias("s"))
+    old = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("source").alias("other"), F.col("text").alias("old"), F.col("s").alias("b"))
+    return t.join(old, "doc_id").select("doc_id", F.col("text").alias("new"), "old", (F.col("source") == F.col("other")).alias("shares_entity"), F.col("s").alias("a"), "b")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT doc_id, subject FROM w")
+def subject_overlap(spark, sf):
+    return _pairs(spark, sf).select("doc_id", belief.subject_overlap(F.col("a"), F.col("b")).alias("subject"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT doc_id, clash FROM w")
+def incompatible_pairs(spark, sf):
+    return _pairs(spark, sf).select("doc_id", belief.incompatible(F.col("new"), F.col("old"), F.col("a"), F.col("b")).alias("clash"))
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT doc_id, sim, CASE WHEN sha256({norm('new')}) = sha256({norm('old')}) OR sim >= 0.93 THEN 'duplicate'
+  WHEN NOT ((subject OR shares_entity) AND sim >= CASE WHEN subject THEN 0.38 ELSE 0.55 END) THEN 'none' WHEN clash THEN 'supersedes' WHEN sim >= 0.82 THEN 'ambiguous' ELSE 'none' END AS verdict FROM w""")
+def adjudicate_pairs(spark, sf):
+    return belief.verdicts(_pairs(spark, sf)).select("doc_id", "sim", "verdict")
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '{_q(belief.DIRECTIVE)}') THEN 'directive marker' WHEN regexp_matches(trim(text), '{_q(belief.OPENING)}') THEN 'imperative opening' ELSE '' END AS why FROM conversations")
+def imperative_screen(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", belief.imperative(F.col("text")).alias("why"))

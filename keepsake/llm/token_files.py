@@ -121,7 +121,7 @@ class Encoder(dict):
 
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_300_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -135,13 +135,15 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         lines = piece.split("\n")
         if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].lstrip(" ") or "", *lines[1:])):
-            ids = self["\n"].join(self[x] for x in lines)
+            return self["\n"].join(self[x] for x in lines)  # these seldom come again
+        core = piece.rstrip(".,")
+        if core and core != piece and core[-1].isalpha() and core[-1] < "ɐ":
+            seen = core in self
+            ids = self[core] + self[piece[len(core) :]]
+            if not seen:
+                return ids
         else:
-            core = piece.rstrip(".,")
-            if core and core != piece and core[-1].isalpha() and core[-1] < "ɐ":
-                ids = self[core] + self[piece[len(core) :]]
-            else:
-                ids = self._library(piece)
+            ids = self._library(piece)
         self[piece] = ids
         return ids
 

@@ -24,6 +24,8 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.llm.common import least_of_most, saved
+
 BUCKETS = 1 << 16
 #: Higher than any rank.
 NONE = 1 << 30
@@ -115,31 +117,23 @@ class BytePairs:
         return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.parts, i)), ""), "ISO-8859-1")
 
 
-def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 200_000, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1 << 17, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of its texts (array<int>) in ``out_col``."""
-    common = (
-        docs.select(F.explode(pairs.pieces(F.col(text_col))).alias("piece"))
-        .groupBy("piece")
-        .count()
-        .orderBy(F.desc("count"), "piece")
-        .limit(dictionary)
-        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        .select("piece", pairs.fold(F.col("piece")).alias("ids"))
-    )
-    known = literal_map({r["piece"]: r["ids"] for r in common.toLocalIterator()}, "array<int>")
-    found = "__found_" + out_col
-    pieces = "__pieces_" + out_col
-    rare = "__rare_" + out_col
-
-    def with_rare(row_pieces, row_found):
-        missing = F.array_distinct(F.filter(row_pieces, lambda p, i: F.get(row_found, i).isNull()))
-        return F.map_from_entries(F.transform(missing, lambda p: F.struct(p, pairs.fold(p))))
-
-    out = docs.withColumn(pieces, pairs.pieces(F.col(text_col)))
-    out = out.withColumn(found, F.transform(pieces, lambda p: looked_up(known, p)))
-    out = out.withColumn(rare, with_rare(F.col(pieces), F.col(found)))
-    ids = F.flatten(F.transform(pieces, lambda p, i: F.coalesce(F.get(F.col(found), i), F.element_at(F.col(rare), p))))
-    return out.withColumn(out_col, ids).drop(pieces, found, rare)
+    counts = saved(docs.select(F.explode(pairs.pieces(F.col(text_col))).alias("piece")).groupBy("piece").count().where("count > 1"), "pieces")
+    common = counts.where(F.col("count") >= least_of_most(counts, "count", dictionary))
+    common = common.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("piece", pairs.fold(F.col("piece")).alias("ids"))
+    known = literal_map({r["piece"]: r["ids"] for r in common.collect()}, "array<int>")
+
+    # every intermediate array is bound once: inside a lambda, a column that is used there would be computed for each element
+    def of(pieces):
+        return _let(F.transform(pieces, lambda p: looked_up(known, p)), lambda found: with_rare(pieces, found))
+
+    def with_rare(pieces, found):
+        missing = F.array_distinct(F.filter(pieces, lambda p, i: F.get(found, i).isNull()))
+        rare = F.map_from_entries(F.transform(missing, lambda p: F.struct(p, pairs.fold(p))))
+        return _let(rare, lambda r: F.flatten(F.transform(pieces, lambda p, i: F.coalesce(F.get(found, i), F.element_at(r, p)))))
+
+    return docs.withColumn(out_col, _let(pairs.pieces(F.col(text_col)), of))
 
 
 def op6_bpe(spark, sf_dir):

@@ -92,3 +92,15 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     if 0 < len(h) < n:
         return window_hashes(h, len(h)) + np.uint64(len(h))
     return np.unique(window_hashes(h, n))
+
+
+def least_of_most(df: DataFrame, col: str, most: int) -> int:
+    """The least power of two that at most ``most`` rows of ``df`` reach in ``col``: a bound found by counting, without a sort."""
+    classes = df.where(F.col(col) >= 1).groupBy(F.floor(F.log2(F.col(col).cast("double") + 1e-9)).cast("int").alias("k")).count().collect()
+    total, least = 0, max((r["k"] for r in classes), default=0) + 1
+    for r in sorted(classes, key=lambda r: -r["k"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["k"]
+    return 1 << max(least, 0)

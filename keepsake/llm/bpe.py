@@ -104,7 +104,7 @@ class BytePairs:
             return F.when(F.coalesce(low, F.lit(NONE)) >= NONE, state).otherwise(_let(place, lambda at: merged(state["parts"], state["ranks"], at)))
 
         def run(latin):
-            one_by_one = F.split(latin, "(?!^)(?!$)")
+            one_by_one = F.split(latin, r"(?!^)(?!\z)")
             return _let(one_by_one, lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), begin(parts), step, lambda s: F.transform(s["parts"], rank)))
 
         def whole(latin):

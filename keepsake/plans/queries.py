@@ -356,6 +356,16 @@ def write_policy(spark, sf):
     return scan.policy(table(spark, sf, "documents")).select("doc_id", "policy")
 
 
+@query()
+def scan_catalogue(spark, sf):
+    return scan.catalogue_summary(table(spark, sf, "documents"))
+
+
+@query()
+def write_policy_catalogue(spark, sf):
+    return scan.catalogue_policy(table(spark, sf, "documents")).select("doc_id", "policy")
+
+
 # --- lifecycle -------------------------------------------------------------------------------------------
 
 

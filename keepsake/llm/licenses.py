@@ -1,25 +1,27 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, templates are the token sets of known notices. A block meets a
-template when it holds at least ``threshold`` of the template's distinct tokens (containment). The
+Blocks are runs of words that cross line ends, each twice as long as the longest window and begun one
+window after the last, so every window lies whole in a block. Templates are the token sets of known
+notices. A text meets a template when some window of half as many words again as the template has holds at least ``threshold``
+of its distinct tokens (containment) and those that tell it from its kin (``TELLING``). The
 join is exact and works with filters on tokens in one global order, rarest first, where a token's
 frequency is the number of documents that hold it, counted over all of them:
 
 * prefix: a block that holds a of a template's n tokens, with a at least the needed overlap o,
-  holds one of the template's first n - o + 1. Only lines with such a token become blocks, and
+  holds one of the template's first n - o + 1. Only runs with such a token become blocks, and
   only (block, template) pairs that share one become candidates;
 * length: a block with fewer than o tokens of any template is no candidate;
 * positions: with the shared prefix token at place i of the template and place j of the block
   (among its tokens that occur in templates at all), at most 1 + min(rest of template, rest of
   block) tokens can be shared.
 
-Survivors are verified by intersection. Beside this, base phrases are found as runs of words.
+Survivors are verified window by window, each window begun at a token of the template. Beside this, base phrases are found as runs of words.
 
 Only DataFrame functions are used. The templates are a fixed list in the plan; nothing that grows
 with the data is broadcast, and a text is never shuffled.
 
 Edge cases: null or empty text has no words, no labels and score 0; rows are answered one by one,
-so repeated rows and null ids keep their own answers. Lines may be of any length.
+so repeated rows and null ids keep their own answers. Lines and texts may be of any length.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ TEMPLATES = [
     ("proprietary", "All rights reserved. No part of this work may be reproduced without written permission."),
 ]
 THRESHOLD = 0.8
+#: Tokens without which a notice is none of the label: those of them that a template holds must be in the window.
+TELLING = {"mit": {"mit"}, "apache-2": {"apache", "2"}, "cc-by-nc": {"nc", "noncommercial"}, "cc-by": {"attribution"}, "gpl-3": {"gnu", "3"}, "mpl-2": {"mozilla", "2"}}
 
 
 def template_tokens(text: str) -> list[str]:
@@ -83,29 +87,60 @@ def ordered_templates(frequencies: dict[str, int], templates=TEMPLATES, threshol
     for n, (label, text) in enumerate(templates):
         own = sorted(place[t] for t in template_tokens(text))
         need = math.ceil(threshold * len(own) - 1e-9)
-        out.append({"template": n, "label": label, "tokens": own, "need": need, "prefix": own[: len(own) - need + 1]})
+        words = len(re.sub(NOT_WORD, " ", text).split())
+        telling = sorted(place[t] for t in TELLING.get(label, set()) & set(template_tokens(text)))
+        out.append({"template": n, "label": label, "tokens": own, "need": need, "prefix": own[: len(own) - need + 1], "telling": telling, "width": words + words // 2})
     return out, tokens
 
 
+def blocks_of(text: Column, width: int) -> Column:
+    """Runs of 2 * width words in lower case, one from each width-th word on: any run of width words lies in one of them."""
+    letters = F.translate(normalised(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def cut(words):
+        starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / width).cast("int"))
+        return F.transform(starts, lambda k: F.array_join(F.slice(words, k * width + 1, 2 * width), " "))
+
+    # inside a lambda the words are computed once, not once a block
+    return F.get(F.transform(F.array(F.split(F.trim(letters), " ")), cut), F.lit(0))
+
+
+def _best_window(codes: Column, tokens: Column, telling: Column, width: Column) -> Column:
+    """The most distinct tokens of the template in any window that holds its telling ones; 0 if none does."""
+
+    def best(own):
+        def step(most, s):
+            held = F.array_distinct(F.array_compact(F.slice(own, s + 1, width)))
+            return F.when(F.get(own, s).isNull(), most).otherwise(F.greatest(most, F.when(F.size(F.array_except(telling, held)) == 0, F.size(held)).otherwise(0)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), F.lit(0), step)
+
+    own = F.transform(codes, lambda c: F.when(F.array_contains(tokens, c), c))
+    return F.get(F.transform(F.array(own), best), F.lit(0))
+
+
 def matches(docs: DataFrame, templates: list[dict], tokens: list[str], key: list[str], text_col: str = "text") -> DataFrame:
-    """One row a distinct document (by ``key``), matching line and template: key, line, template, label, containment."""
+    """One row a distinct document (by ``key``), matching block and template: key, template, label, containment."""
     spark = docs.sparkSession
     prefix = "|".join(sorted({tokens[i] for t in templates for i in t["prefix"]}, key=len, reverse=True))
-    known = "|".join(sorted(tokens, key=len, reverse=True))
-    # prefix filter: only lines with a prefix token
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(rf"(?i)(?<![0-9A-Za-z\x80-\x{{10FFFF}}])({prefix})(?![0-9A-Za-z\x80-\x{{10FFFF}}])"))
-    blocks = docs.where(F.col(text_col).rlike(rf"(?i)(?<![0-9A-Za-z\x80-\x{{10FFFF}}])({prefix})(?![0-9A-Za-z\x80-\x{{10FFFF}}])")).select(*key, F.explode(F.array_distinct(lines)).alias("line"))
-    held = F.regexp_extract_all(normalised(F.col("line")), F.lit(f"(?i)(?<= )({known})(?= )"), F.lit(1))
+    # prefix filter: only texts, and of these only blocks, with a prefix token
+    some = docs.where(F.col(text_col).rlike(rf"(?i)(?<![0-9A-Za-z\x80-\x{{10FFFF}}])({prefix})(?![0-9A-Za-z\x80-\x{{10FFFF}}])"))
+    runs = F.filter(blocks_of(F.col(text_col), max(t["width"] for t in templates)), lambda x: x.rlike(rf"(?:^| )(?:{prefix})(?: |$)"))
     order = F.create_map(*[F.lit(x) for i, t in enumerate(tokens) for x in (t, i)])
-    blocks = blocks.select(*key, "line", F.array_sort(F.array_distinct(F.transform(held, lambda t: order[F.lower(t)]))).alias("block"))
+    codes = F.transform(F.split("run", " "), lambda t: F.when(t.isin(tokens), order[t]))
+    blocks = some.select(*key, F.explode(F.array_distinct(runs)).alias("run")).select(*key, codes.alias("codes"))
+    blocks = blocks.withColumn("block", F.array_sort(F.array_distinct(F.array_compact("codes"))))
     index = spark.createDataFrame(
-        [(t["template"], t["label"], t["tokens"], t["need"], p, i) for t in templates for i, p in enumerate(t["prefix"])],
-        "template int, label string, tokens array<int>, need int, token int, i int",
+        [(t["template"], t["label"], t["tokens"], t["need"], t["telling"], t["width"], p, i) for t in templates for i, p in enumerate(t["prefix"])],
+        "template int, label string, tokens array<int>, need int, telling array<int>, width int, token int, i int",
     )
-    seeds = blocks.where(F.size("block") >= min(t["need"] for t in templates)).select(*key, "line", "block", F.posexplode("block").alias("j", "token"))
+    seeds = blocks.where(F.size("block") >= min(t["need"] for t in templates)).select(*key, "codes", "block", F.posexplode("block").alias("j", "token"))
     candidates = seeds.join(F.broadcast(index), "token").where((F.size("block") >= F.col("need")) & (1 + F.least(F.size("tokens") - 1 - F.col("i"), F.size("block") - 1 - F.col("j")) >= F.col("need")))
-    shared = F.size(F.array_intersect("tokens", "block"))
-    return candidates.where(shared >= F.col("need")).select(*key, "line", "template", "label", (shared / F.size("tokens")).alias("containment")).distinct()
+    shared = F.array_intersect("tokens", "block")
+    # each pair once, by its first shared token
+    candidates = candidates.where((F.size(shared) >= F.col("need")) & (F.array_min(shared) == F.col("token")) & (F.size(F.array_except("telling", "block")) == 0))
+    best = candidates.select(*key, "template", "label", "need", F.size("tokens").alias("n"), _best_window(F.col("codes"), F.col("tokens"), F.col("telling"), F.col("width")).alias("best"))
+    return best.where("best >= need").select(*key, "template", "label", (F.col("best") / F.col("n")).alias("containment")).distinct()
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,3 +55,31 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def labels(spark, *texts):
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [r["labels"] for r in rows]
+
+
+def wrapped(text, n, mark="# "):
+    words = text.split()
+    return "\n".join(mark + " ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
+def test_notices_wrapped_over_lines(spark):
+    texts = [wrapped(t, n) for _, t in TEMPLATES for n in (3, 7)]
+    got = labels(spark, *texts, "word " * 5000 + "\n" + wrapped(TEMPLATES[9][1], 6, " * ") + "\n" + "word " * 5000)
+    want = [label for label, _ in TEMPLATES for _ in (3, 7)] + ["gpl-3"]
+    # the notice of CC BY-NC holds every word of that of CC BY
+    assert got == ["cc-by,cc-by-nc" if t.startswith("# This work is") and "NonCommercial" in t else w for t, w in zip([*texts, ""], want, strict=True)]
+
+
+def test_windows_at_every_place(spark):
+    notice = wrapped(TEMPLATES[10][1], 5)
+    assert labels(spark, *["x " * n + notice + " y" * 200 for n in range(0, 130, 3)]) == ["bsd"] * 44
+
+
+def test_words_that_tell_a_license_from_its_kin(spark):
+    scattered = [w for t in TEMPLATES for w in t[1].split()]
+    assert labels(spark, "Released under the GPL License.", TEMPLATES[7][1], "Licensed under CC BY 4.0.", TEMPLATES[8][1].replace("3", "2"), (" pad" * 60).join(scattered)) == ["", "cc-by", "", "", ""]

@@ -537,6 +537,11 @@ def absolutize_dates(spark, sf):
     return m.select("id", consolidate.absolute_dates(text, F.col("updated_at")).alias("content"))
 
 
+@query()
+def absolutize_content(spark, sf):
+    return memories(spark, sf).select("id", consolidate.absolute_dates(F.col("content"), F.col("updated_at")).alias("content"))
+
+
 @query(f"WITH {MEMORIES_SQL}, {EFF} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN status = 'active' AND eff < 0.35 THEN 'demoted' WHEN status = 'superseded' THEN 'resolved' ELSE 'kept' END AS kind FROM s) GROUP BY 1")
 def consolidate_report(spark, sf):
     was = memories(spark, sf)

@@ -4,13 +4,15 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 last return the columns of ``documents``; between stages the rows are written as Parquet in the
 shared folder and read again, so a lost executor costs no earlier stage.
 
-Rows with a null id or text pass every stage that has no reason to drop them.
+Decisions hold for a row, not for all rows of its id: rows are told apart by id and hash of text,
+null ids included. Rows with a null id or text pass every stage that has no reason to drop them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake.llm import bpe, decontaminate, jaccard, quality, secrets
 from keepsake.llm.common import saved, table
@@ -27,19 +29,37 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model, score_col="__score").where(F.col("__score") >= LEAST_QUALITY).drop("__score")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key, never null and equal only for rows of one id and text; keys sort by id, null ids last."""
+    number = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    # the sign bit is turned, so that hexadecimal text sorts as the numbers do
+    name = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0") if number else F.col("doc_id").cast("string")
+    text = F.when(F.col("text").isNull(), "null").otherwise(F.hex(F.xxhash64("text")))
+    return docs.withColumn("__key", F.concat_ws(":", F.coalesce(name, F.lit("~")), text))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that share an id and text, one."""
-    groups = saved(jaccard.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "groups")
-    kept = docs.join(groups, "doc_id", "left_anti")
-    again = saved(docs.groupBy("doc_id").count().where(F.col("doc_id").isNotNull() & (F.col("count") > 1)).select("doc_id"), "again")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """Of each group of near duplicates one row stays, that with the smallest id, and one of its rows with a null id; of rows that share an id and text, one.
+
+    Rows with a null id and no words have nothing to be compared by and stay.
+    """
+    rows = keyed(docs)
+    groups = saved(jaccard.near_duplicates(rows, id_col="__key"), "groups")
+    null = F.col("__key").startswith("~")
+    nulls = groups.where(null)
+    first = nulls.groupBy("component_id").agg(F.min("__key").alias("__key")).select("__key")
+    lost = groups.where(~null & (F.col("__key") != F.col("component_id"))).select("__key").unionByName(nulls.select("__key").join(first, "__key", "left_anti")).distinct()
+    kept = rows.join(lost, "__key", "left_anti")
+    again = saved(groups.where(~null | (F.col("n_shingles") > 0)).groupBy("__key").count().where("count > 1").select("__key"), "again")
+    once = kept.join(again, "__key", "left_anti")
+    return once.unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"])).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold enough of a benchmark item."""
-    leaks = saved(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rows that hold enough of a benchmark item."""
+    rows = keyed(docs)
+    leaks = saved(decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="__key").select("__key").distinct(), "leaks")
+    return rows.join(leaks, "__key", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,27 @@ def test_run_on_the_smallest_table(spark):
     kept = {r["doc_id"] for r in rows}
     assert len(kept) == len(rows) and kept < docs and all(r["round_trip"] for r in rows)
     assert len(kept & bad) <= 0.1 * len(bad) and len(kept) > 0.4 * len(docs)
+
+
+def test_rows_that_share_an_id_and_null_ids(spark, tmp_path):
+    rng = random.Random(9)
+    good = [" ".join(f"word{rng.randrange(997)}" for _ in range(60)) for _ in range(12)]
+    item = " ".join(f"item{k}" for k in range(25))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    sf = f"file://{tmp_path}"
+
+    def stage(name, rows):
+        docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, docs, sf).collect()), key=repr)
+
+    leak = good[0] + " " + item
+    # a shared id loses its leaking row only, and a null id does not save one
+    clean = [(7, good[1]), (7, good[2]), (None, good[3]), (None, None), (8, good[4])]
+    assert stage("benchmark decontamination", [*clean, (7, leak), (None, leak + " x"), (9, leak)]) == sorted(clean, key=repr)
+    # of near copies one row with an id and one without stay
+    rows = [(5, good[5]), (7, good[5] + " more"), (7, good[6]), (None, good[5] + " end"), (None, good[7]), (None, good[7] + " more"), (None, good[7]), (None, None), (None, None), (-3, good[8]), (2, good[8] + " x"), (10, good[8])]
+    kept = stage("n-gram jaccard join", [*rows, (4, good[9]), (4, good[9] + " more"), (4, good[9] + " end"), (4, good[9]), (6, None), (6, None)])
+    one = [r for r in kept if (r[1] or "").startswith((good[7], good[9]))]
+    assert [r[0] for r in one] in ([4, None], [None, 4])
+    assert [r for r in kept if r not in one] == sorted([(5, good[5]), (7, good[6]), (None, good[5] + " end"), (None, None), (None, None), (-3, good[8]), (6, None)], key=repr)

@@ -15,6 +15,7 @@ that repeat an id are kept, in the order of their texts. An empty table gives an
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import zlib
@@ -112,53 +113,112 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 class Encoder(dict):
-    """The tokenizers library behind a memo of the pieces between places where its pattern always cuts.
+    """The tokenizers library, as loaded from its file, behind a memo of the units between places where its pattern always cuts.
 
     Its pattern always cuts before a single space between two other characters, on both sides of a
     single line feed between two other characters, and between a letter and '.' or ','. What stands
-    between such cuts is encoded by the library on its own, once for as long as the memo holds it.
+    between such cuts is a unit. Units that the memo lacks go to the library many at a time, as the
+    lines of one text; the token of the line feed parts their ids again. The memo has two
+    generations: when the younger is full, the elder is dropped, so what is in use stays.
+
+    Strings of the file's special tokens become those tokens wherever they stand, as the library
+    has it; texts that hold one go to the library whole.
+
+    A key of the memo is a unit without the space before it; a tab marks units that have none.
     """
 
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, limit: int = 1_300_000):
+    def __init__(self, path: str, limit: int = 650_000, characters: int = 1 << 21):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit, self.characters, self.elder = limit, characters, {}
+        self.line_feed = self._library("\n")
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        lines = piece.split("\n")
-        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].lstrip(" ") or "", *lines[1:])):
-            return self["\n"].join(self[x] for x in lines)  # these seldom come again
-        core = piece.rstrip(".,")
-        if core and core != piece and core[-1].isalpha() and core[-1] < "ɐ":
-            seen = core in self
-            ids = self[core] + self[piece[len(core) :]]
-            if not seen:
-                return ids
-        else:
-            ids = self._library(piece)
-        self[piece] = ids
+    @staticmethod
+    def _text(key: str) -> str:
+        return key[1:] if key[0] == "\t" else " " + key
+
+    @staticmethod
+    def parts(key: str) -> list[str]:
+        """A key as smaller ones, cut at its line feeds and before '.' or ',' at its end."""
+        if "\n" in key:
+            lines = key.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].removeprefix("\t"), *lines[1:])):
+                return [*Encoder.parts(lines[0]), *[y for x in lines[1:] for y in ("\t\n", *Encoder.parts("\t" + x))]]
+        core = key.rstrip(".,")
+        if core != key and core and core[-1].isalpha() and core[-1] < "ɐ":
+            return [core, "\t" + key[len(core) :]]
+        return [key]
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.elder.get(key)
+        if ids is None:
+            own = self.parts(key)
+            ids = b"".join([self[x] for x in own]) if len(own) > 1 else self._library(self._text(key))
+            if len(own) > 2:
+                return ids  # whole lines seldom come again
+        self[key] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if len(self) > self.limit:
-            self.clear()
+    def _learn(self, keys: set[str]) -> None:
+        """Adds units that the memo lacks."""
+        lacking = {y for x in keys for y in self.parts(x)}
+        lacking = [x for x in lacking if x not in self and x not in self.elder and (w := x.split()) and x in (w[0], "\t" + w[0])]
+        for i in range(0, len(lacking), 4096):
+            own = lacking[i : i + 4096]
+            ids = np.frombuffer(self._library("\n".join(map(self._text, own))), "<u4")
+            cut = np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")[0]) * 4
+            raw, starts, ends = ids.tobytes(), [0, *(cut + 4).tolist()], [*cut.tolist(), 4 * len(ids)]
+            self.update(zip(own, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+
+    def units(self, text: str) -> list[str]:
         words = text.split()
         if len("".join(words)) + len(words) - 1 == len(text):  # no white space beside white space, none at the ends
-            head, *rest = text.split(" ")
-        elif text:
-            head, *rest = self._CUT.split(text)
-        else:
-            return b""
-        return self[head] + b"".join([self[" " + x] for x in rest])
+            return text.replace("\n", " \t\n \t").split(" ")
+        return self._CUT.split(text)
+
+    def encode_all(self, texts: list[str]):
+        """Ids of each text as little-endian unsigned 32-bit integers, some ``characters`` of text at a time."""
+        at = 0
+        while at < len(texts):
+            size, held, lacking = 0, [], set()
+            if len(self) > self.limit:
+                self.elder = dict(self)
+                self.clear()
+            while at < len(texts) and size < self.characters:
+                text = texts[at]
+                size, at = size + len(text), at + 1
+                if not text or any(x in text for x in self.special):
+                    held.append((None, self._library(text)))
+                    continue
+                keys = self.units(text)
+                head = self._library(keys[0])
+                del keys[0]
+                ids = [head, *map(self.get, keys)]
+                try:
+                    held.append((None, b"".join(ids)))
+                except TypeError:  # some are None
+                    lacking.update([k for k, x in zip(keys, ids[1:], strict=True) if x is None and k not in self.elder])
+                    held.append((keys, head))
+            self._learn(lacking)
+            for keys, ids in held:
+                yield ids if keys is None else ids + b"".join([self[x] for x in keys])
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, so that its memo serves all tasks there."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", block_ids: int = BLOCK_IDS) -> None:
@@ -167,7 +227,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        encoder, end = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4").tobytes()
         part, start, block, ids, doc_ids, sizes, held = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
 
         def row():
@@ -175,8 +235,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             return pd.DataFrame({"part": [part], "block": [block], "start_in_part": [start], "n_ids": [held], "doc_ids": [doc_ids], "n_tokens": [sizes], "words": [words.astype("<u8").tobytes()]})
 
         for pdf in batches:
-            for doc_id, text in zip(pdf["id"], pdf["text"], strict=True):
-                own = encoder.encode(text) + end if text else end
+            texts = [x or "" for x in pdf["text"]]
+            for doc_id, own in zip(pdf["id"], encoder(tokenizer).encode_all(texts), strict=True):
+                own += end
                 ids.append(own)
                 doc_ids.append(None if doc_id is None else int(doc_id))
                 sizes.append(len(own) // 4)

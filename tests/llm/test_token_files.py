@@ -11,7 +11,6 @@ from keepsake.llm.token_files import Encoder, pack, read_tokens, token_digests,
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 ENCODER = Encoder(PATH)
 
 
@@ -58,3 +57,31 @@ def test_empty(spark):
     path = scratch(spark, "t")
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH, 2)
     assert token_digests(spark, path).collect() == []
+
+
+def test_special_tokens_as_the_library_has_them():
+    text = "x <|endoftext|> y"
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert 50256 in want and np.frombuffer(ENCODER.encode(text), "<u4").tolist() == want
+
+
+def test_memo_of_two_generations():
+    small = Encoder(PATH, limit=5, characters=20)
+    texts = [f"some words, no. {i % 3} and\nlines {i}." for i in range(40)] + ["", "  a  b "]
+    for text, ids in zip(texts, small.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(small) <= 5 + 40
+
+
+def test_query_equals_library(spark):
+    from keepsake.llm.token_files import op2_token_output
+
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    start, want = 0, []
+    for doc_id, text in docs:
+        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in op2_token_output(spark, sf).collect())
+    assert got == want

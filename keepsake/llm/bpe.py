@@ -6,29 +6,39 @@ the first pair of lowest rank and looks up the two ranks beside it, until no pai
 rank map is a literal in the plan: an array of small maps, found by crc32, because Spark's map
 lookup is linear. Bytes are held as Latin-1 text, one character a byte, so that parts are strings.
 
-Distinct pieces are counted over all documents; the ``dictionary`` commonest (a bound on a literal,
-not on the pieces) are folded once and also put into the plan. Every other piece is folded where it
-stands, once a document. Both paths use the same fold, so results do not depend on the bound.
-
-Edge cases: null or empty text has no ids and decodes to no bytes; a null array of ids decodes to
-null. Repeated rows and null ids are kept, for encoding works row by row. Very long pieces take
-time in the square of their length.
+Distinct pieces are counted over all documents. Those that recur are folded once; up to
+``dictionary`` of them, the commonest, go to the tasks in packed arrays. A task cuts its texts into
+runs of ids of known pieces and, between them, the other pieces (those of one document, and what is
+beyond the bound), which the same fold then turns into ids where they stand. So results do not
+depend on the bound, and a text is never shuffled. Pieces of more than ``LONG`` bytes are merged with
+a heap instead, for the fold's time grows with the square of a piece's length.
+
+Pieces are known by 64-bit hashes in the packed arrays. Edge cases: null or empty text has no ids
+and decodes to no bytes; a null array of ids decodes to null. Repeated rows and null ids are kept,
+for encoding works row by row. The columns ``__cut`` and ``out_col`` must not stand in the input.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import least_of_most, saved
+from keepsake.llm.common import least_of_most, saved, unit_text, units
 
 BUCKETS = 1 << 16
 #: Higher than any rank.
 NONE = 1 << 30
+#: Pieces of more bytes are merged with a heap.
+LONG = 256
 #: White space as the tokenizer's regex library sees it (fixed values).
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 
@@ -65,7 +75,7 @@ class BytePairs:
     """A vocabulary of ranks as plan expressions."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = java_pattern(pattern)
+        self.pattern, self.table = java_pattern(pattern), ranks
         self.ranks = literal_map({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
         parts = [""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
@@ -117,23 +127,171 @@ class BytePairs:
         return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.parts, i)), ""), "ISO-8859-1")
 
 
-def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1 << 17, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of its texts (array<int>) in ``out_col``."""
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece by the same merges, with a heap: for pieces too long for the fold."""
+    n = len(piece)
+    ends, begins = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts here, of the part that ends here
+    heap = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
+    heapq.heapify(heap)
+
+    def offer(i):
+        stop = ends[ends[i]] if ends[i] < n else 0
+        if stop and (r := ranks.get(piece[i:stop])) is not None:
+            heapq.heappush(heap, (r, i, stop))
+
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = ends[i]
+        if not middle or middle >= n or ends[middle] != stop:
+            continue  # one of its parts is gone
+        ends[i], ends[middle], begins[stop] = stop, 0, i
+        offer(i)
+        if i:
+            offer(begins[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : ends[i]]])
+        i = ends[i]
+    return out
+
+
+class Known:
+    """Ids of common pieces in arrays, by 64-bit hash of the piece."""
+
+    def __init__(self, rows):
+        hashes = np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(r["hashes"], "<u8") for r in rows]])
+        sizes = np.concatenate([np.zeros(0, "<u2"), *[np.frombuffer(r["sizes"], "<u2") for r in rows]]).astype(np.int64)
+        order = np.argsort(hashes)
+        self.hashes, self.sizes, self.starts = hashes[order], sizes[order].astype(np.uint16), (np.cumsum(sizes) - sizes)[order].astype(np.uint32)
+        self.ids = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(r["ids"], "<u4") for r in rows]])
+
+    def of(self, pieces: list[str]) -> list[bytes | None]:
+        h = np.fromiter([xxhash.xxh64_intdigest(x) for x in pieces], np.uint64, len(pieces))
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        there = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        spans = zip(there.tolist(), *[x[at].tolist() if len(x) else [0] * len(h) for x in (self.starts, self.sizes)], strict=True)
+        return [self.ids[a : a + n].tobytes() if t else None for t, a, n in spans]
+
+    @staticmethod
+    def pack(batches):
+        """Rows (piece, ids) as few packed ones."""
+        hashes, sizes, ids = [], [], []
+        for b in batches:
+            hashes += [xxhash.xxh64_intdigest(x) for x in b.column("piece").to_pylist()]
+            lists = b.column("ids")
+            sizes.append(lists.value_lengths().to_numpy(zero_copy_only=False))
+            ids.append(lists.flatten().to_numpy(zero_copy_only=False))
+        if hashes:
+            own = [np.array(hashes, "<u8"), np.concatenate(sizes).astype("<u2"), np.concatenate(ids).astype("<u4")]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in own], names=["hashes", "sizes", "ids"])
+
+
+class Cutter(dict):
+    """Texts as runs of known ids with the rare pieces between them; a memo of units of known pieces, in two generations."""
+
+    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 500_000):
+        super().__init__()
+        self.known, self.ranks, self.pattern, self.at_spaces, self.limit, self.elder = known, ranks, regex.compile(pattern), at_spaces, limit, {}
+
+    def _learn(self, keys: set[str]) -> dict[str, list]:
+        """Puts units of known pieces into the memo; returns the others as ids (bytes) and rare pieces (str) in order."""
+        own = {k: self.pattern.findall(unit_text(k)) for k in keys}
+        pieces = list({p for ps in own.values() for p in ps})
+        ids = dict(zip(pieces, self.known.of(pieces), strict=True))
+        for p in pieces:
+            if ids[p] is None and len(raw := p.encode()) > LONG:
+                ids[p] = np.array(merged(raw, self.ranks), "<u4").tobytes()
+        others = {}
+        for k, ps in own.items():
+            got = [ids[p] for p in ps]
+            if None in got:
+                others[k] = [p if x is None else x for p, x in zip(ps, got, strict=True)]
+            elif len(k) > LONG:
+                others[k] = got  # too long to come again
+            else:
+                self[k] = b"".join(got)
+        return others
+
+    def cut(self, texts: list[str | None]) -> pa.Array:
+        """array of struct<runs, rare>: one run more than rare pieces."""
+        runs, rare, run_ends, text_runs, text_rare = [], [], [], [0], [0]
+        size, at = 0, 0
+        while at < len(texts):
+            if len(self) > self.limit:
+                self.elder = dict(self)
+                self.clear()
+            held, lacking, characters = [], set(), 0
+            while at < len(texts) and characters < 1 << 21:
+                text = texts[at] or ""
+                at, characters = at + 1, characters + len(text)
+                keys = (units(text) if self.at_spaces else ["\t" + text]) if text else []
+                ids = [*map(self.get, keys)]
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                for i in gaps:
+                    if (x := self.elder.get(keys[i])) is not None:
+                        ids[i] = self[keys[i]] = x
+                    else:
+                        lacking.add(keys[i])
+                held.append((keys, ids, gaps))
+            others = self._learn(lacking)
+            for keys, ids, gaps in held:
+                done, own = 0, []
+                for i in gaps:
+                    if ids[i] is not None:
+                        continue
+                    own += ids[done:i]
+                    for x in others[keys[i]] if keys[i] in others else [self[keys[i]]]:
+                        if isinstance(x, bytes):
+                            own.append(x)
+                        else:
+                            runs.append(b"".join(own))
+                            size += len(runs[-1]) // 4
+                            run_ends.append(size)
+                            rare.append(x)
+                            own = []
+                    done = i + 1
+                runs.append(b"".join(own + ids[done:]))
+                size += len(runs[-1]) // 4
+                run_ends.append(size)
+                text_runs.append(len(runs))
+                text_rare.append(len(rare))
+        flat = pa.array(np.frombuffer(b"".join(runs), "<i4"))
+        inner = pa.ListArray.from_arrays(pa.array(np.array([0, *run_ends], np.int32)), flat)
+        parts = [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values) for ends, values in ((text_runs, inner), (text_rare, pa.array(rare, pa.string())))]
+        return pa.StructArray.from_arrays(parts, names=["runs", "rare"])
+
+
+_cutters: list = []
+
+
+def cutter(value: tuple, at_spaces: bool) -> Cutter:
+    """One cutter a worker process and broadcast, so that its memo serves all tasks there."""
+    if not _cutters or _cutters[0] is not value:
+        _cutters[:] = [value, Cutter(*value, at_spaces)]
+    return _cutters[1]
+
+
+def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_col: str = "text", out_col: str = "ids", at_spaces: bool = True) -> DataFrame:
+    """``docs`` with the ids of its texts (array<int>) in ``out_col``.
+
+    ``at_spaces``: whether the pattern always cuts before a single space between two other
+    characters and beside a line feed between two others, as ``public_tokenizers.PATTERN`` does.
+    """
+    spark = docs.sparkSession
     counts = saved(docs.select(F.explode(pairs.pieces(F.col(text_col))).alias("piece")).groupBy("piece").count().where("count > 1"), "pieces")
-    common = counts.where(F.col("count") >= least_of_most(counts, "count", dictionary))
-    common = common.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("piece", pairs.fold(F.col("piece")).alias("ids"))
-    known = literal_map({r["piece"]: r["ids"] for r in common.collect()}, "array<int>")
-
-    # every intermediate array is bound once: inside a lambda, a column that is used there would be computed for each element
-    def of(pieces):
-        return _let(F.transform(pieces, lambda p: looked_up(known, p)), lambda found: with_rare(pieces, found))
-
-    def with_rare(pieces, found):
-        missing = F.array_distinct(F.filter(pieces, lambda p, i: F.get(found, i).isNull()))
-        rare = F.map_from_entries(F.transform(missing, lambda p: F.struct(p, pairs.fold(p))))
-        return _let(rare, lambda r: F.flatten(F.transform(pieces, lambda p, i: F.coalesce(F.get(found, i), F.element_at(r, p)))))
-
-    return docs.withColumn(out_col, _let(pairs.pieces(F.col(text_col)), of))
+    common = counts.where((F.col("count") >= least_of_most(counts, "count", dictionary)) & (F.octet_length("piece") <= LONG))
+    common = common.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("piece", pairs.fold(F.col("piece")).alias("ids"))
+    known = Known(common.mapInArrow(Known.pack, "hashes binary, sizes binary, ids binary").collect())
+    shared = spark.sparkContext.broadcast((known, pairs.table, pairs.pattern))
+
+    @F.arrow_udf("struct<runs:array<array<int>>,rare:array<string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return cutter(shared.value, at_spaces).cut(texts.to_pylist())
+
+    held = docs.withColumn("__cut", cut(F.col(text_col)))
+    with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.concat(pairs.fold(p), F.get(F.col("__cut.runs"), i + 1)))
+    return held.withColumn(out_col, F.concat(F.get(F.col("__cut.runs"), F.lit(0)), F.flatten(with_rare))).drop("__cut")
 
 
 def op6_bpe(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,6 +51,28 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def units(text: str) -> list[str]:
+    """A text cut before each single space between two other characters, and beside each lone line feed.
+
+    A unit is given without the space before it; those that have none (the first, line feeds, what
+    follows them) begin with a tab instead, which no other unit does.
+    """
+    words = text.split()
+    if len("".join(words)) + len(words) - 1 == len(text):  # no white space beside white space, none at the ends
+        out = text.replace("\n", " \t\n \t").split(" ")
+    else:
+        out = _CUT.split(text)
+    out[0] = "\t" + out[0]
+    return out
+
+
+def unit_text(unit: str) -> str:
+    return unit[1:] if unit[0] == "\t" else " " + unit
+
+
 class WordHashes(dict):
     """Memo of 64-bit word hashes; it is emptied when it holds ``limit`` words, so memory stays bounded."""
 

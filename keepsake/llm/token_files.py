@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import zlib
 
 import numpy as np
@@ -26,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepsake.llm.common import unit_text, units
+
 #: Fixed values of the format: ids in a word by selector.
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
@@ -124,11 +125,8 @@ class Encoder(dict):
     Strings of the file's special tokens become those tokens wherever they stand, as the library
     has it; texts that hold one go to the library whole.
 
-    A key of the memo is a unit without the space before it; a tab marks units that have none.
     """
 
-    _CUT = re.compile(r"(?<=\S) (?=\S)")
-
     def __init__(self, path: str, limit: int = 650_000, characters: int = 1 << 21):
         super().__init__()
         from tokenizers import Tokenizer
@@ -141,10 +139,6 @@ class Encoder(dict):
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    @staticmethod
-    def _text(key: str) -> str:
-        return key[1:] if key[0] == "\t" else " " + key
-
     @staticmethod
     def parts(key: str) -> list[str]:
         """A key as smaller ones, cut at its line feeds and before '.' or ',' at its end."""
@@ -161,7 +155,7 @@ class Encoder(dict):
         ids = self.elder.get(key)
         if ids is None:
             own = self.parts(key)
-            ids = b"".join([self[x] for x in own]) if len(own) > 1 else self._library(self._text(key))
+            ids = b"".join([self[x] for x in own]) if len(own) > 1 else self._library(unit_text(key))
             if len(own) > 2:
                 return ids  # whole lines seldom come again
         self[key] = ids
@@ -173,17 +167,11 @@ class Encoder(dict):
         lacking = [x for x in lacking if x not in self and x not in self.elder and (w := x.split()) and x in (w[0], "\t" + w[0])]
         for i in range(0, len(lacking), 4096):
             own = lacking[i : i + 4096]
-            ids = np.frombuffer(self._library("\n".join(map(self._text, own))), "<u4")
+            ids = np.frombuffer(self._library("\n".join(map(unit_text, own))), "<u4")
             cut = np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")[0]) * 4
             raw, starts, ends = ids.tobytes(), [0, *(cut + 4).tolist()], [*cut.tolist(), 4 * len(ids)]
             self.update(zip(own, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
-    def units(self, text: str) -> list[str]:
-        words = text.split()
-        if len("".join(words)) + len(words) - 1 == len(text):  # no white space beside white space, none at the ends
-            return text.replace("\n", " \t\n \t").split(" ")
-        return self._CUT.split(text)
-
     def encode_all(self, texts: list[str]):
         """Ids of each text as little-endian unsigned 32-bit integers, some ``characters`` of text at a time."""
         at = 0
@@ -198,9 +186,8 @@ class Encoder(dict):
                 if not text or any(x in text for x in self.special):
                     held.append((None, self._library(text)))
                     continue
-                keys = self.units(text)
-                head = self._library(keys[0])
-                del keys[0]
+                keys = units(text)
+                head = self._library(keys.pop(0)[1:])
                 ids = [head, *map(self.get, keys)]
                 try:
                     held.append((None, b"".join(ids)))

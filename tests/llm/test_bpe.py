@@ -3,14 +3,14 @@ import hashlib
 import public_tokenizers as P
 import tiktoken
 
-from keepsake.llm.bpe import BytePairs, encode, load_ranks
+from keepsake.llm.bpe import BytePairs, encode, load_ranks, merged
 
 RANKS = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def test_equals_tiktoken(spark):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-    texts = [None, "", " ", "a", "hello world's  naïve\tcafé\n\n end ", "日本語テキスト 😀😀 x", "   \u00a0\u3000 x\x85y", "\x00\x01 !!!???'ll I'LL", "ab" * 300, "zq" * 7 + " 12345 ٣٤", "x\r\n\r\n y", "word " * 5000]
+    texts = [None, "", " ", "a", "hello world's  naïve\tcafé\n\n end ", "日本語テキスト 😀😀 x", "   \u00a0\u3000 x\x85y", "\x00\x01 !!!???'ll I'LL", "ab" * 300, "zq" * 7 + " 12345 ٣٤", "x\r\n\r\n y", "word " * 5000, "qzxj" * 300 + " end", "x\ny z\n", "\u1c80 \x1c \x1d\x85 a\x1fb", "a " * 40]
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(None, "hello hello", None), (1, "dup", "c"), (1, "dup", "c")]
     pairs = BytePairs(RANKS, P.PATTERN)
     for bound in (3, 200_000):
@@ -32,3 +32,23 @@ def test_query_over_small_table(spark):
         ids = library.encode_ordinary(texts[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_heap_equals_tiktoken():
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    letters = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(30_000))
+    for piece in (letters, "a" * 5000, "ab" * 777, "x", "日本" * 400):
+        assert merged(piece.encode(), RANKS) == library.encode_ordinary(piece)
+
+
+def test_empty_table(spark):
+    pairs = BytePairs(RANKS, P.PATTERN)
+    assert encode(spark.createDataFrame([], "doc_id long, text string"), pairs).collect() == []
+
+
+def test_any_pattern(spark):
+    pattern = r"[a-z ]+|[^a-z ]+"
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    texts = ["hello there  big world", "It IS 5 o'clock", "x"]
+    got = encode(spark.createDataFrame([(t,) for t in texts], "text string"), BytePairs(RANKS, pattern), at_spaces=False).collect()
+    assert {r["text"]: list(r["ids"]) for r in got} == {t: library.encode_ordinary(t) for t in texts}

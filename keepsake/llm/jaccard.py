@@ -7,19 +7,24 @@ shingles (those of few documents first, then by hash) points within epsilon shar
 n - ceil(percent * n) + 1 shingles. So every point meets, for each such shingle, the points that
 share it, and
 
-* a shingle of few points (to ``SMALL``) gives pairs directly, which the number of shared first
-  shingles cuts down before any set is fetched;
+* a shingle of few points (to ``SMALL``) bounds where links can be: points that share enough of
+  their first shingles are candidates, and what candidates connect is a region to begin with;
 * points with a commoner one among them (members of large groups of near copies, for the order puts
-  common shingles last) form the dense part, which is divided by pivots: in every round, a bounded
-  number of pivots is drawn from the points of each region, every point goes to the region of its
-  nearest pivot, and points on the border (nearer than 2 * epsilon more than to their own pivot, as the
-  triangle inequality asks) are replicated. Points with no pivot within ``RADIUS`` stay in the rest
-  region, which is divided by new pivots in the next round. Regions small enough are joined.
-
-Within a region, a pivot is compared with all its points; links join points into classes, and only
-points of different classes still need comparing, for only the classes are asked for. A region is
-done when every point outside its largest class has been a pivot. Large regions do so by rounds of
-Spark jobs with ``PIVOTS`` pivots at a time. No cap drops a pair: all decisions only order the work.
+  common shingles last) form one more region.
+
+So a point is in one or two of the first regions, and only there are its links; points that are no
+candidates have none. Every region is joined by pivots: they are drawn from its points (farthest
+first), links to them are found at once, every point goes to the Voronoi cell of its nearest pivot,
+and points on the border (nearer than 2 * epsilon more than to their own pivot, as the triangle
+inequality asks) are replicated. Points with no pivot within ``RADIUS`` stay in a rest cell. Cells are
+joined in the same way, recursively, down to leaves, in which only pairs whose distances to all
+pivots differ by no more than epsilon (the window of the triangle inequality) are verified. Regions of
+more than ``REGION`` shingles are dealt out by rounds of Spark jobs with up to ``PIVOTS`` pivots each,
+until their cells fit one task.
+
+Links join points into classes, and only points of different classes still need comparing, for only
+the classes are asked for. A cell whose pivots do not divide it is done when every point outside its
+largest class has been a pivot. No cap drops a pair: all decisions only order the work.
 
 Shingles are 64-bit hashes; with n shingles in all, the chance that any two differing ones meet is
 about n * n / 2**65. Points of the same set are told apart by a 128-bit digest.
@@ -42,9 +47,11 @@ from keepsake.llm.common import WordHashes, saved, shingle_set, words_of
 
 #: Fixed parameters: words in a shingle, similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Sizes that order the work: points that share a shingle before it counts as common, points of a
-#: region that one task joins, pivots of a round.
-SMALL, REGION, PIVOTS = 16, 20_000, 64
+#: Sizes that order the work: points that share a shingle before it counts as common, shingles of a
+#: region that one task joins, pivots of a round, shingles of pivots that go to the tasks at a time.
+SMALL, REGION, PIVOTS, PIVOT_SHINGLES = 16, 2_000_000, 64, 2_000_000
+#: Points of a leaf, pivots of a cell in a task, and how near a cell's pivot is.
+LEAF, CELL_PIVOTS, RADIUS = 32, 8, 0.6
 #: The most rows (two short strings each) of a table that is sent to every task.
 BROADCAST = 250_000
 
@@ -207,30 +214,80 @@ class Classes:
         return a != b
 
     def all(self) -> np.ndarray:
-        return np.array([self.find(i) for i in range(len(self.up))])
-
-
-def region_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join each class of a region: pivots are compared with all until every point outside the largest class has been one."""
-    n = len(sets)
-    if n < 2:
-        return []
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if both >= needed(len(sets[0]), len(sets[1]), percent) else []
-    held, classes, links, asked = Region(sets), Classes(n), [], np.zeros(n, bool)
-    while True:
-        of = classes.all()
-        outside = of != np.argmax(np.bincount(of, minlength=n))
-        todo = np.flatnonzero(outside & ~asked)
-        if asked.any() and not len(todo):
-            return links
-        pivot = int(todo[0]) if asked.any() else 0
-        asked[pivot] = True
-        near = np.flatnonzero(held.overlaps(pivot) >= needed(held.sizes[pivot], held.sizes, percent))
-        for i in near:
-            if i != pivot and classes.join(pivot, int(i)):
-                links.append((pivot, int(i)))
+        while True:
+            up = self.up[self.up]
+            if np.array_equal(up, self.up):
+                return up
+            self.up = up
+
+
+def reach_of(nearest: np.ndarray, epsilon: float, radius: float) -> np.ndarray:
+    """How far from a pivot a point still belongs to that pivot's cell, by the distance to its nearest one: the border of the triangle inequality."""
+    return np.minimum(nearest + 2 * epsilon, radius + epsilon) + 1e-9
+
+
+def region_links(sets: list[np.ndarray], percent: int = PERCENT, leaf: int = LEAF, pivots: int = CELL_PIVOTS, cells: list | None = None) -> list[tuple[int, int]]:
+    """Links that join each class of a region, by pivots and Voronoi cells; ``cells`` collects the cells (arrays of places), for tests."""
+    epsilon, classes, links = 1 - percent / 100, Classes(len(sets)), []
+
+    def link(i, others):
+        for j in others:
+            if classes.join(int(i), int(j)):
+                links.append((int(i), int(j)))
+
+    todo = [np.arange(len(sets))]
+    while todo:
+        cell = todo.pop()
+        if len(np.unique(classes.all()[cell])) < 2:
+            continue
+        if cells is not None:
+            cells.append(cell)
+        if len(cell) == 2:
+            a, b = (sets[i] for i in cell)
+            if len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b), percent):
+                link(*cell[:1], cell[1:])
+            continue
+        held, near, at = Region([sets[i] for i in cell]), [], 0
+        for _ in range(min(pivots, len(cell))):  # each pivot is the point farthest from those before
+            over = held.overlaps(at)
+            link(cell[at], cell[over >= needed(held.sizes[at], held.sizes, percent)])
+            near.append(1 - over / (held.sizes[at] + held.sizes - over))
+            at = int(np.argmax(np.min(near, axis=0)))
+        distance = np.array(near)
+        home, nearest = distance.argmin(0), distance.min(0)
+        reach = reach_of(nearest, epsilon, RADIUS)
+        parts = [cell[((home == p) & (nearest <= RADIUS)) | (d <= reach)] for p, d in enumerate(distance)] + [cell[nearest > RADIUS]]
+        if len(cell) > leaf and max(map(len, parts)) < 0.8 * len(cell):
+            todo += [x for x in parts if len(x) > 1]
+        elif len(cell) <= leaf:
+            for i in range(len(cell)):
+                of = classes.all()[cell]
+                window = (np.abs(distance - distance[:, i : i + 1]) <= epsilon + 1e-9).all(0) & (of != of[i])
+                window[: i + 1] = False
+                for j in np.flatnonzero(window):
+                    if len(np.intersect1d(sets[cell[i]], sets[cell[j]], assume_unique=True)) >= needed(held.sizes[i], held.sizes[j], percent):
+                        link(cell[i], cell[j : j + 1])
+        else:  # its points are about as far from each other as from the pivots: all outside the largest class become pivots
+            asked = np.zeros(len(cell), bool)
+            while True:
+                of = classes.all()[cell]
+                outside = np.flatnonzero((of != np.argmax(np.bincount(of))) & ~asked)
+                if not len(outside):
+                    break
+                asked[outside[0]] = True
+                link(cell[outside[0]], cell[held.overlaps(outside[0]) >= needed(held.sizes[outside[0]], held.sizes, percent)])
+    return links
+
+
+def bounded_links(links: list[tuple[int, int]], n: int, branches: int = 16) -> list[tuple[int, int]]:
+    """Links of the same classes in which no point has more than branches + 1."""
+    classes = Classes(n)
+    for i, j in links:
+        classes.join(i, j)
+    members: dict[int, list[int]] = {}
+    for i in sorted({x for both in links for x in both}):
+        members.setdefault(classes.find(i), []).append(i)
+    return [(m[(k - 1) // branches], m[k]) for m in members.values() for k in range(1, len(m))]
 
 
 def smallest_reachable(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -265,47 +322,48 @@ def _own_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInPandas(run, "rep string, set binary").groupBy("rep").agg(F.first("set").alias("set"))
 
 
-def _verify(percent: int):
-    def run(batches):
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b), percent))
-            yield pdf[["a", "b"]][keep]
-
-    return run
-
-
 def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
     """Links of regions that one task can hold: region, rep, set -> a, b."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(pdf):
-        pdf = pdf.sort_values("rep")
-        reps = pdf["rep"].tolist()
-        links = region_links([np.frombuffer(s, np.uint64) for s in pdf["set"]], percent)
-        return pd.DataFrame([(reps[i], reps[j]) for i, j in links], columns=["a", "b"])
+    def joined(reps, own):
+        links = region_links([np.frombuffer(x, np.uint64) for x in own], percent)
+        return [(reps[i], reps[j]) for i, j in bounded_links(links, len(own))]
 
-    return sets.groupBy("region").applyInPandas(run, "a string, b string")
+    def run(batches):
+        now, reps, own, out = None, [], [], []
+        for pdf in batches:
+            for region, rep, raw in zip(pdf["region"], pdf["rep"], pdf["set"], strict=True):
+                if region != now:
+                    out += joined(reps, own)
+                    now, reps, own = region, [], []
+                reps.append(rep)
+                own.append(raw)
+            yield pd.DataFrame(out, columns=["a", "b"])
+            out = []
+        yield pd.DataFrame(joined(reps, own), columns=["a", "b"])
 
+    return sets.select("region", "rep", "set").repartition(parts, "region").sortWithinPartitions("region", "rep").mapInPandas(run, "a string, b string")
 
-def _divide(space: DataFrame, percent: int, region: int, pivots: int, radius: float = 0.6) -> DataFrame:
-    """Links of a space of points (rep, set), by rounds of pivots and Voronoi regions.
 
-    ``space`` starts as one region. A round draws pivots in each region that is too large, links them
+def _divide(space: DataFrame, percent: int, region: int, pivots: int, radius: float = RADIUS) -> DataFrame:
+    """Links of points in regions (region, rep, set), by rounds of pivots and Voronoi cells.
+
+    Regions of up to ``region`` shingles are joined by a task each. Otherwise a round draws pivots in each region that is too large, links them
     with the points within epsilon, and deals the points out to the regions of their nearest pivot with
     the border the triangle inequality asks for. A region that does not get smaller that way keeps only
     points outside its largest class as pivots, so it ends after as many rounds as those need.
     """
     spark, epsilon = space.sparkSession, 1 - percent / 100
     links = []
-    current = saved(space.select(F.lit("0").alias("region"), "rep", "set", F.lit(False).alias("asked"), F.col("rep").alias("class")), "regions")
+    current = space.select("region", "rep", "set", F.lit(False).alias("asked"), F.col("rep").alias("class"))
     while True:
-        sizes = saved(current.groupBy("region").agg(F.count("*").alias("size"), F.count_distinct("class").alias("classes")), "sizes")
-        open_ = sizes.where(F.col("classes") > 1)
-        fit = current.join(open_.where(F.col("size") <= region), "region", "left_semi")
-        links.append(saved(_join_regions(fit.select("region", "rep", "set"), percent), "region-links"))
-        large = open_.where(F.col("size") > region)
+        shingles = F.sum(F.octet_length("set") / 8)
+        sizes = saved(current.groupBy("region").agg(F.count("*").alias("size"), shingles.alias("shingles"), (F.min("class") != F.max("class")).alias("open")), "sizes")
+        open_ = sizes.where("open and size > 1")
+        fit = current.join(open_.where(F.col("shingles") <= region).select("region"), "region", "left_semi")
+        links.append(saved(_join_regions(fit, percent), "region-links"))
+        large = open_.where(F.col("shingles") > region).select("region")
         if not large.limit(1).count():
             break
         work = current.join(large, "region", "left_semi")
@@ -313,12 +371,11 @@ def _divide(space: DataFrame, percent: int, region: int, pivots: int, radius: fl
         by_class = work.groupBy("region", "class").agg(F.count("*").alias("of"))
         biggest = by_class.groupBy("region").agg(F.max(F.struct("of", "class")).alias("top"))
         pool = work.where("not asked").join(biggest, "region").where((F.col("class") != F.col("top.class")) | (F.col("top.of") == 1))
-        drawn = saved(_first(pool, pivots), "pivots")
-        n_regions = large.count()
+        drawn = saved(_first(pool, pivots, region), "pivots")
         chosen = drawn.join(work.select("region", "rep", "set"), ["region", "rep"])
         out = []
-        # a bounded number of regions' pivots at a time goes to the tasks
-        slices = max(1, -(-n_regions * pivots // 2048))
+        # a bounded size of pivots at a time goes to the tasks
+        slices = max(1, -(-(drawn.agg(F.sum("shingles")).first()[0] or 0) // PIVOT_SHINGLES))
         for i in range(slices):
             mine = F.pmod(F.xxhash64("region"), F.lit(slices)) == i
             held = spark.sparkContext.broadcast([(r["region"], r["rep"], bytes(r["set"])) for r in chosen.where(mine).collect()])
@@ -352,12 +409,13 @@ def _divide(space: DataFrame, percent: int, region: int, pivots: int, radius: fl
     return out
 
 
-def _first(pool: DataFrame, n: int) -> DataFrame:
-    """n rows a region, by a hash of rep: a rank limit that is applied before the shuffle."""
+def _first(pool: DataFrame, n: int, shingles: int) -> DataFrame:
+    """Up to n rows a region (two at least if it has them), of ``shingles`` shingles in all, by a hash of rep: a rank limit that is applied before the shuffle."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep")
-    return pool.select("region", "rep", F.row_number().over(w).alias("r")).where(F.col("r") <= n).select("region", "rep")
+    rows = pool.select("region", "rep", (F.octet_length("set") / 8).cast("long").alias("shingles"), F.row_number().over(w).alias("r")).where(F.col("r") <= n)
+    return rows.withColumn("so_far", F.sum("shingles").over(w)).where((F.col("so_far") <= shingles) | (F.col("r") <= 2)).select("region", "rep", "shingles")
 
 
 def _deal(held, percent, epsilon, radius):
@@ -372,7 +430,7 @@ def _deal(held, percent, epsilon, radius):
             order = np.argsort(values, kind="stable")
             index[region] = ([r for r, _ in own], np.array([len(s) for _, s in own]), values[order], owner[order])
         for pdf in batches:
-            rows = []
+            rows, met = [], {}
             for region, rep, raw, asked in zip(pdf["region"], pdf["rep"], pdf["set"], pdf["asked"], strict=True):
                 if region not in index:
                     rows.append((region, None, rep, raw, asked, []))
@@ -382,41 +440,52 @@ def _deal(held, percent, epsilon, radius):
                 a, b = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
                 over = np.bincount(owner[_runs(a, b)], minlength=len(names))
                 distance = 1 - over / np.maximum(sizes + len(s) - over, 1)
-                near = [names[i] for i in np.flatnonzero(over >= needed(sizes, len(s), percent)) if names[i] != rep]
+                near = []
+                for i in np.flatnonzero(over >= needed(sizes, len(s), percent)):
+                    if names[i] != rep:  # points near one pivot hang together as a tree, so that none has very many links
+                        own = met.setdefault((region, i), [names[i]])
+                        near.append(own[(len(own) - 1) // 16])
+                        own.append(rep)
                 home = int(np.argmin(distance))
                 mine = distance[home] <= radius
                 rows.append((region, names[home] if mine else "rest", rep, raw, bool(asked) or rep in names, near))
                 # the border: nearer than 2 epsilon more than its own pivot, and within the reach of a home of that pivot
-                reach = distance <= min(distance[home] + 2 * epsilon, radius + epsilon) + 1e-9
-                rows += [(region, names[i], rep, raw, False, None) for i in np.flatnonzero(reach) if not (mine and i == home)]
+                border = distance <= reach_of(distance[home], epsilon, radius)
+                rows += [(region, names[i], rep, raw, False, None) for i in np.flatnonzero(border) if not (mine and i == home)]
             yield pd.DataFrame(rows, columns=["region", "sub", "rep", "set", "asked", "links"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", small: int = SMALL, region: int = REGION, pivots: int = PIVOTS) -> DataFrame:
-    """Each row's id with n_shingles and component_id, the smallest id that links reach from it."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), "text")
-    common = common_shingles(rows, shingle, small)
-    held = saved(points(rows, common, shingle, percent), "points")
-    # points of equal sets are one; it is named by its digest
+def point_reps(held: DataFrame, kind: str) -> DataFrame:
+    """Points of equal sets as one, named by its digest: rep, mark, n, p, dense, low (the smallest id) and one (an id as text)."""
     slim = held.where("n > 0").select(F.hex("digest").alias("rep"), "mark", "n", "p", "dense", "id")
-    reps = saved(slim.groupBy("rep").agg(*[F.min(c).alias(c) for c in ("mark", "n", "p", "dense")], F.min(F.col("id").cast(kind)).alias("low"), F.min("id").alias("one")), "reps")
+    return saved(slim.groupBy("rep").agg(*[F.min(c).alias(c) for c in ("mark", "n", "p", "dense")], F.min(F.col("id").cast(kind)).alias("low"), F.min("id").alias("one")), "reps")
+
+
+def first_regions(rows: DataFrame, held: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The regions to begin with: region, rep, set; a point may stand in two."""
     candidates = saved(pairs_of_rare(held, reps, percent), "candidates")
-    dense = reps.where("dense").select("rep")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(dense).distinct()
-    one = saved(reps.join(wanted, "rep", "left_semi").select("rep", "one"), "wanted")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    connected = smallest_reachable(ends, candidates).select(F.col("component").alias("region"), "rep")
+    regions = saved(connected.unionByName(reps.where("dense").select(F.lit("dense").alias("region"), "rep")), "first-regions")
+    one = saved(reps.join(regions.select("rep").distinct(), "rep", "left_semi").select("rep", "one"), "wanted")
     if one.count() <= BROADCAST:
         one = F.broadcast(one)  # else their texts are found by a shuffle
     texts = rows.withColumn("key", F.col("id").cast("string"))
     texts = texts.join(one, texts["key"].eqNullSafe(one["one"])).select("rep", "text")
-    sets = saved(_own_sets(texts, shingle), "sets")
-    # candidate pairs are verified where their sets meet
-    a, b = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-    rare_links = candidates.join(a, "a").join(b, "b").mapInPandas(_verify(percent), "a string, b string")
-    dense_links = _divide(sets.join(dense, "rep", "left_semi").select("rep", "set"), percent, region, pivots)
-    links = saved(rare_links.unionByName(dense_links).distinct(), "links")
+    return saved(_own_sets(texts, shingle).join(regions, "rep").select("region", "rep", "set"), "sets")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", small: int = SMALL, region: int = REGION, pivots: int = PIVOTS) -> DataFrame:
+    """Each row's id with n_shingles and component_id, the smallest id that links reach from it."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), "text")
+    common = common_shingles(rows, shingle, small)
+    held = saved(points(rows, common, shingle, percent), "points")
+    reps = point_reps(held, kind)
+    space = first_regions(rows, held, reps, shingle, percent)
+    links = saved(_divide(space, percent, region, pivots).distinct(), "links")
     classes = smallest_reachable(reps.select("rep"), links)
     members = reps.select("rep", "low").join(classes, "rep")
     lows = members.join(members.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("rep", "component_id")

@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from keepsake.llm.jaccard import near_duplicates, op3_jaccard, region_links
+from keepsake.llm.jaccard import bounded_links, common_shingles, first_regions, near_duplicates, op3_jaccard, point_reps, points, region_links
 
 
 def shingles(text):
@@ -51,7 +52,7 @@ def corpus(seed, n_groups=25):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("small", "region", "pivots"), [(16, 20_000, 64), (2, 20, 4)])
+@pytest.mark.parametrize(("small", "region", "pivots"), [(16, 2_000_000, 64), (2, 500, 4)])
 def test_equals_brute_force(spark, small, region, pivots):
     rows = corpus(small) + [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "one two"), (1004, "ONE  two"), (1005, "one two three"), (None, "one two"), (1006, "é É ß"), (1006, "é É ß"), (1007, None), (7, "other text with the same id as one before it"), (None, None), (1008, "x y z " * 20_000)]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, rep string").repartition(3)
@@ -60,7 +61,7 @@ def test_equals_brute_force(spark, small, region, pivots):
 
 
 def test_region_joins_all_classes():
-    rng = np.random.default_rng(4)
+    rng, many = np.random.default_rng(4), 0
     for _ in range(30):
         base = [rng.choice(200, 40, replace=False) for _ in range(4)]
         sets = []
@@ -81,10 +82,16 @@ def test_region_joins_all_classes():
                 both = len(np.intersect1d(sets[i], sets[j]))
                 if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                     want[find(i, want)] = find(j, want)
-        for i, j in region_links(sets):
+        cells = []
+        links = region_links(sets, leaf=8, pivots=4, cells=cells)
+        many += len(cells) > 2
+        bounded = bounded_links(links, len(sets), 2)
+        assert max(sum(i in both for both in bounded) for i in range(len(sets))) <= 3
+        for i, j in bounded:
             got[find(i, got)] = find(j, got)
         same = lambda u: {frozenset(k for k in range(len(u)) if find(k, u) == r) for r in {find(k, u) for k in range(len(u))}}
         assert same(want) == same(got)
+    assert many
 
 
 def test_query_equals_brute_force(spark):
@@ -93,5 +100,35 @@ def test_query_equals_brute_force(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in op3_jaccard(spark, sf).collect()), key=repr) == brute(rows)
 
 
+def test_query_begins_with_many_regions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    held = points(rows, common_shingles(rows, 5, 16), 5, 80).cache()
+    space = first_regions(rows, held, point_reps(held, "long"), 5, 80)
+    assert space.select("region").distinct().count() > 1
+    sets = {(r["region"], r["rep"]): np.frombuffer(r["set"], np.uint64) for r in space.collect()}
+    assert all(len({k for k in sets if k[0] == region}) > 1 for region, _ in sets if region != "dense")
+
+
+def test_borders_are_replicated():
+    # a chain of sets, each linked with the next four only
+    sets = [np.arange(5 * i, 5 * i + 100, dtype=np.uint64) for i in range(100) if i != 50]
+    for gap in (0, 1):
+        own = [s for i, s in enumerate(sets) if not gap or not 50 <= i < 54]
+        cells = []
+        links = region_links(own, leaf=8, pivots=4, cells=cells)
+        first = [i for c in cells[1:] for i in c.tolist()]
+        assert len(first) > len(set(first))  # points on borders stand in more than one cell
+        assert len(links) == len(own) - 1 - gap
+
+
+def test_no_division_needed():
+    rng = np.random.default_rng(1)
+    base = rng.choice(10_000, 400, replace=False)
+    # all points halfway from each other: pivots divide nothing
+    sets = [np.unique(np.append(base[:200], 20_000 + 200 * i + np.arange(100))).astype(np.uint64) for i in range(60)]
+    sets += [np.append(s[:-3], [99_999]).astype(np.uint64) for s in sets[:3]]
+    assert sorted(tuple(sorted(x)) for x in region_links(sets)) == [(0, 60), (1, 61), (2, 62)]
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []

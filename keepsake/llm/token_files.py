@@ -163,8 +163,10 @@ class Encoder(dict):
 
     def _learn(self, keys: set[str]) -> None:
         """Adds units that the memo lacks."""
-        lacking = {y for x in keys for y in self.parts(x)}
-        lacking = [x for x in lacking if x not in self and x not in self.elder and (w := x.split()) and x in (w[0], "\t" + w[0])]
+        whole = [x for x in keys if x[-1] in ".," or "\n" in x]
+        lacking = keys.difference(whole).union([y for x in whole for y in self.parts(x) if y not in self and y not in self.elder])
+        # what holds no white space but a tab in front
+        lacking = [x for x in lacking if (x.isprintable() and " " not in x) or ((w := x.split()) and x in (w[0], "\t" + w[0]))]
         for i in range(0, len(lacking), 4096):
             own = lacking[i : i + 4096]
             ids = np.frombuffer(self._library("\n".join(map(unit_text, own))), "<u4")
@@ -188,15 +190,22 @@ class Encoder(dict):
                     continue
                 keys = units(text)
                 head = self._library(keys.pop(0)[1:])
-                ids = [head, *map(self.get, keys)]
+                ids = [*map(self.get, keys)]
                 try:
-                    held.append((None, b"".join(ids)))
+                    held.append((None, head + b"".join(ids)))
                 except TypeError:  # some are None
-                    lacking.update([k for k, x in zip(keys, ids[1:], strict=True) if x is None and k not in self.elder])
-                    held.append((keys, head))
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    lacking.update([keys[i] for i in gaps if keys[i] not in self.elder])
+                    ids.append(head)
+                    held.append(([(i, keys[i]) for i in gaps], ids))
             self._learn(lacking)
-            for keys, ids in held:
-                yield ids if keys is None else ids + b"".join([self[x] for x in keys])
+            for gaps, ids in held:
+                if gaps is None:
+                    yield ids
+                else:
+                    for i, key in gaps:
+                        ids[i] = self[key]
+                    yield ids.pop() + b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))

@@ -5,8 +5,11 @@ them in a histogram per query, sums the histograms over all tasks and narrows th
 holds the k-th highest score. When the interval is a single integer, one last pass keeps what
 reaches that score and settles ties by the smaller id.
 
-Edge cases: rows whose id or vector is null, or whose vector is empty or holds a null or
-non-finite component, take no part. A query with fewer than k candidates gets all of them. A row
+Scores are exact: products go through float64 where their sums stay below 2**53, else through Python's
+integers. Components beyond the range of a long are its ends, and so are scores beyond it.
+
+Edge cases: rows whose id or vector is null, or whose vector holds a null or non-finite component,
+take no part. Empty vectors score 0 with each other. A query with fewer than k candidates gets all of them. A row
 that repeats a query's id counts as the query's own row and is no candidate; repeated candidate
 rows are candidates once each. An empty table gives an empty result. Vectors whose length differs
 from the query's are no candidates of it.
@@ -28,13 +31,21 @@ SCHEMA = "query_id long, vec_id long, score long"
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """id and floor(scale * x) for each component; only rows with whole finite vectors."""
     x = F.col(vec_col)
-    big = float(1 << 24)
-    fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < big))
+    fine = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
 
 
-def _matrix(col) -> np.ndarray:
-    return np.array(col.tolist(), dtype=np.float64) if len(col) else np.zeros((0, 0))
+def _matrix(col, length: int) -> np.ndarray:
+    return np.array(col.tolist(), dtype=np.int64).reshape(len(col), length)
+
+
+def _products(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows as longs, cut to the range of a long."""
+    top = [int(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, vectors)]
+    if top[0] * top[1] * max(q.shape[1], 1) < 1 << 52:
+        return np.rint(q.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
+    exact = q.astype(object) @ vectors.astype(object).T
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _scores(batches, queries):
@@ -45,22 +56,22 @@ def _scores(batches, queries):
             q = queries.get(n)
             if q is None:
                 continue
-            ids, vectors = part["vec_id"].to_numpy(), _matrix(part["v"])
+            ids, vectors = part["vec_id"].to_numpy(), _matrix(part["v"], n)
             for at in range(0, len(q[0]), 512):
                 rows = slice(at, at + 512)
-                # integers below 2**53 are exact in float64
-                score = np.rint(q[1][rows] @ vectors.T).astype(np.int64)
-                yield q[2][rows], ids, score, q[0][rows][:, None] != ids[None, :]
+                yield q[2][rows], ids, _products(q[1][rows], vectors), q[0][rows][:, None] != ids[None, :]
 
 
 def _histogram(shared, bins):
     def run(batches):
         queries, lo, width = shared.value
         for index, _, score, other in _scores(batches, queries):
-            at = (score - lo[index][:, None]) // width
+            low = lo[index][:, None]
+            # differences of longs fit an unsigned long
+            at = (score.view(np.uint64) - low.view(np.uint64)) // np.uint64(width)
             # what lies above the interval is counted in an extra bin, what lies below is left out
-            at = np.where(at >= bins, bins, at)
-            keep = other & (at >= 0)
+            at = np.minimum(at, np.uint64(bins)).astype(np.int64)
+            keep = other & (score >= low)
             key, n = np.unique((index[:, None] * (bins + 1) + at)[keep], return_counts=True)
             yield pd.DataFrame({"q": key // (bins + 1), "bin": key % (bins + 1), "n": n})
 
@@ -82,7 +93,7 @@ def _reached(shared, k):
     return run
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, bins: int = 256) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, bins: int = 256) -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank (from 1), vec_id, score.
 
     ``vectors`` and ``queries`` hold vec_id and v (array<long>). Queries are taken in blocks of
@@ -93,31 +104,30 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))  # a repeated query row asks once
     n_queries = queries.count()
     blocks = max(1, math.ceil(n_queries / block))
-    bound = vectors.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).alias("m")).first()["m"] or 0
+    bound = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("m")).first()["m"] or 0
     out = None
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
         by_length: dict = {}
         for i, row in enumerate(rows):
             by_length.setdefault(len(row["v"]), []).append((row["vec_id"], row["v"], i))
-        packed = {n: (np.array([x[0] for x in g], dtype=np.int64), np.array([x[1] for x in g], dtype=np.float64), np.array([x[2] for x in g], dtype=np.int64)) for n, g in by_length.items()}
+        packed = {n: (np.array([x[0] for x in g], dtype=np.int64), np.array([x[1] for x in g], dtype=np.int64).reshape(len(g), n), np.array([x[2] for x in g], dtype=np.int64)) for n, g in by_length.items()}
         norms = np.array([math.sqrt(sum(float(x) * x for x in row["v"])) for row in rows] or [0.0])
-        limit = int(norms.max() * math.sqrt(bound)) + 1  # Cauchy-Schwarz
-        lo, width = np.full(len(rows), -limit, dtype=np.int64), math.ceil((2 * limit + 1) / bins)
+        limit = min(int(norms.max() * math.sqrt(bound) * 1.000001) + 1, 2**63 - 1)  # Cauchy-Schwarz
+        lo, width = np.full(len(rows), -limit - 1, dtype=np.int64), -(-(2 * limit + 2) // bins)
         need = np.full(len(rows), k, dtype=np.int64)
         while rows:
             shared = spark.sparkContext.broadcast((packed, lo, width))
-            counted = vectors.mapInPandas(_histogram(shared, bins), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect()
+            counted = vectors.mapInPandas(_histogram(shared, bins), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
             table = np.zeros((len(rows), bins + 1), dtype=np.int64)
-            for r in counted:
-                table[r["q"], r["bin"]] = r["n"]
+            table[counted["q"].to_numpy(), counted["bin"].to_numpy()] = counted["n"].to_numpy()
             # from the top: the first bin at which k scores are reached; with fewer than k, the lowest
             reached = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] >= need[:, None]
             pick = np.where(reached.any(axis=1), bins - np.argmax(reached[:, ::-1], axis=1), 0)
-            lo = lo + np.minimum(pick, bins - 1) * width
+            lo = (lo.view(np.uint64) + np.minimum(pick, bins - 1).astype(np.uint64) * np.uint64(width)).view(np.int64)
             if width == 1:
                 break
-            width = math.ceil(width / bins)
+            width = -(-width // bins)
         if rows:
             shared = spark.sparkContext.broadcast((packed, lo, 1))
             best = vectors.mapInPandas(_reached(shared, k), SCHEMA)
@@ -138,7 +148,7 @@ def op5_topk(spark, sf_dir):
 OP5_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score

@@ -20,12 +20,16 @@ each answered; a null doc_id is an id like any other. Offsets are code points, e
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.llm.common import saved
+
 #: The kinds in the order that breaks ties, and the base patterns.
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 BASE = {
@@ -55,7 +59,13 @@ def weak_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     """Weak parts; a ``key`` that overlaps a base finding or an endpoint is left out."""
     found = [(kind, m.start(), m.end()) for kind in ("id", "endpoint") for m in WEAK[kind].finditer(text)]
     taken = [x for x in base + found if x[0] != "id"]
-    found += [("key", m.start(), m.end()) for m in WEAK["key"].finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in taken)]
+    # the ends of what starts before a place, as a running maximum: a key is free if all that starts before its end has ended
+    taken.sort(key=lambda x: x[1])
+    starts, ends = [x[1] for x in taken], list(itertools.accumulate((x[2] for x in taken), max))
+    for m in WEAK["key"].finditer(text):
+        before = bisect.bisect_left(starts, m.end())
+        if not before or ends[before - 1] <= m.start():
+            found.append(("key", m.start(), m.end()))
     return found
 
 
@@ -104,7 +114,8 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
     """One row a distinct document with anything to report: id, text_hash, spans array<struct<start, order, kind, end, weak>> in order."""
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct("start", order.alias("order"), "kind", "end", "weak")
-    return linked(parts(docs, id_col, text_col), scope).groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    # parts are few beside the texts they were found in; they are kept, so that the texts are searched once
+    return linked(saved(parts(docs, id_col, text_col), "parts"), scope).groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"))
 
 
 def with_spans(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

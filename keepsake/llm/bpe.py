@@ -190,7 +190,7 @@ class Known:
 class Cutter(dict):
     """Texts as runs of known ids with the rare pieces between them; a memo of units of known pieces, in two generations."""
 
-    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 500_000):
+    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 200_000):
         super().__init__()
         self.known, self.ranks, self.pattern, self.at_spaces, self.limit, self.elder = known, ranks, regex.compile(pattern), at_spaces, limit, {}
 
@@ -213,52 +213,44 @@ class Cutter(dict):
                 self[k] = b"".join(got)
         return others
 
-    def cut(self, texts: list[str | None]) -> pa.Array:
+    def cut(self, texts: pa.Array) -> pa.Array:
         """array of struct<runs, rare>: one run more than rare pieces."""
-        runs, rare, run_ends, text_runs, text_rare = [], [], [], [0], [0]
-        size, at = 0, 0
-        while at < len(texts):
+        flat, rare, run_ends, text_runs, text_rare = bytearray(), [], [0], [0], [0]
+        for at in range(0, len(texts), 256):
             if len(self) > self.limit:
                 self.elder = dict(self)
                 self.clear()
-            held, lacking, characters = [], set(), 0
-            while at < len(texts) and characters < 1 << 21:
-                text = texts[at] or ""
-                at, characters = at + 1, characters + len(text)
+            held, lacking = [], set()
+            for text in texts.slice(at, 256).to_pylist():
                 keys = (units(text) if self.at_spaces else ["\t" + text]) if text else []
                 ids = [*map(self.get, keys)]
-                gaps = [i for i, x in enumerate(ids) if x is None]
-                for i in gaps:
-                    if (x := self.elder.get(keys[i])) is not None:
-                        ids[i] = self[keys[i]] = x
-                    else:
-                        lacking.add(keys[i])
-                held.append((keys, ids, gaps))
+                gaps = [(i, keys[i]) for i, x in enumerate(ids) if x is None]
+                lacking.update([k for _, k in gaps if k not in self.elder])
+                held.append((gaps, ids))
             others = self._learn(lacking)
-            for keys, ids, gaps in held:
-                done, own = 0, []
-                for i in gaps:
-                    if ids[i] is not None:
+            for gaps, ids in held:
+                done = 0
+                for i, key in gaps:
+                    if key not in others:
+                        if (x := self.get(key)) is None:
+                            x = self[key] = self.elder[key]
+                        ids[i] = x
                         continue
-                    own += ids[done:i]
-                    for x in others[keys[i]] if keys[i] in others else [self[keys[i]]]:
+                    flat += b"".join(ids[done:i])
+                    done = i + 1
+                    for x in others[key]:
                         if isinstance(x, bytes):
-                            own.append(x)
+                            flat += x
                         else:
-                            runs.append(b"".join(own))
-                            size += len(runs[-1]) // 4
-                            run_ends.append(size)
+                            run_ends.append(len(flat) // 4)
                             rare.append(x)
-                            own = []
-                    done = i + 1
-                runs.append(b"".join(own + ids[done:]))
-                size += len(runs[-1]) // 4
-                run_ends.append(size)
-                text_runs.append(len(runs))
+                flat += b"".join(ids[done:])
+                run_ends.append(len(flat) // 4)
+                text_runs.append(len(run_ends) - 1)
                 text_rare.append(len(rare))
-        flat = pa.array(np.frombuffer(b"".join(runs), "<i4"))
-        inner = pa.ListArray.from_arrays(pa.array(np.array([0, *run_ends], np.int32)), flat)
-        parts = [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values) for ends, values in ((text_runs, inner), (text_rare, pa.array(rare, pa.string())))]
+        ids = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
+        runs = pa.ListArray.from_arrays(pa.array(np.array(run_ends, np.int32)), ids)
+        parts = [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values) for ends, values in ((text_runs, runs), (text_rare, pa.array(rare, pa.string())))]
         return pa.StructArray.from_arrays(parts, names=["runs", "rare"])
 
 
@@ -287,7 +279,7 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
 
     @F.arrow_udf("struct<runs:array<array<int>>,rare:array<string>>")
     def cut(texts: pa.Array) -> pa.Array:
-        return cutter(shared.value, at_spaces).cut(texts.to_pylist())
+        return cutter(shared.value, at_spaces).cut(texts)
 
     held = docs.withColumn("__cut", cut(F.col(text_col)))
     with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.concat(pairs.fold(p), F.get(F.col("__cut.runs"), i + 1)))

@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a local one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; where that is unset, a local one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -117,6 +119,38 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(window_hashes(h, n))
 
 
+def running_hashes(h: np.ndarray):
+    """Karp-Rabin: a function from n to the hashes of all runs of n words, each from sums that are made once.
+
+    The hash of a run is the polynomial of its word hashes in an odd base, modulo 2**64, which a
+    difference of two running sums gives after division by a power of the base.
+    """
+    powers = np.cumprod(np.append(np.uint64(1), np.full(len(h), _MULTIPLIER)))
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(len(h), np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64)))))
+    sums = np.append(np.uint64(0), np.cumsum(mix(h) * powers[:-1]))
+
+    def of(n: int) -> np.ndarray:
+        m = max(len(h) - n + 1, 0)
+        return mix((sums[n : n + m] - sums[:m]) * inverse[:m]) if m else np.zeros(0, np.uint64)
+
+    return of
+
+
+def hash_sample(rows: DataFrame, most: int, by: str | None = None, key=("doc_id", "text")) -> DataFrame:
+    """About ``most`` rows (for each value of ``by``) by a hash of ``key``, in column __key; rows that repeat a key are one.
+
+    The share to keep follows from a count, so no group is sorted or gathered. The number kept
+    exceeds ``most`` by a few times its square root at most, but for chance of less than one in a million.
+    """
+    keyed = rows.withColumn("__key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key]))
+    group = F.lit("") if by is None else F.col(by).cast("string")
+    counts = {r["g"]: r["n"] for r in rows.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return keyed.limit(0)
+    share = F.element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, most / n))]), group)
+    return keyed.where(F.shiftrightunsigned("__key", 1) < share * float(1 << 63)).dropDuplicates(["__key", *([by] if by else [])])
+
+
 def least_of_most(df: DataFrame, col: str, most: int) -> int:
     """The least power of two that at most ``most`` rows of ``df`` reach in ``col``: a bound found by counting, without a sort."""
     classes = df.where(F.col(col) >= 1).groupBy(F.floor(F.log2(F.col(col).cast("double") + 1e-9)).cast("int").alias("k")).count().collect()

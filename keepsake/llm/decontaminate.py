@@ -3,7 +3,7 @@
 Texts and benchmark items are white-space words (A-Z lower-cased). Items are cut into seeds, runs
 of ``min_match`` words; a document that shares a seed with an item is compared with it by greedy
 string tiling: again and again the longest run of words that both still have unmarked becomes a
-tile (found by running Karp-Rabin hashes of falling length), until no run of ``min_match`` words
+tile (found by running Karp-Rabin hashes: those of any length follow from sums that are made once), until no run of ``min_match`` words
 is left. An item whose tiles cover at least ``threshold`` of its words is reported. Tiles need not
 stand in the item's order, so reordered passages are caught.
 
@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import WordHashes, window_hashes, words_of
+from keepsake.llm.common import WordHashes, running_hashes, window_hashes, words_of
 
 #: Fixed parameters: words in a seed, share of an item's words that its tiles must cover.
 MIN_MATCH, THRESHOLD = 5, 0.5
-#: Beyond so many seeds the seeds are joined by a shuffle instead of being sent to every task.
+#: The most seeds that are sent to every task at a time; a larger benchmark takes several passes over the documents.
 BROADCAST_SEEDS = 2_000_000
 
 
@@ -32,7 +32,7 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int,
     """Tiles (start in item, start in text, length) of two arrays of word hashes."""
     min_match = max(1, min(min_match, len(item)))
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
-    tiles = []
+    of_item, of_text, tiles = running_hashes(item), running_hashes(text), []
 
     def starts(free, n):
         """Where a run of n unmarked words begins."""
@@ -43,7 +43,7 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int,
         a, b = starts(free_item, n), starts(free_text, n)
         if not len(a) or not len(b):
             return None
-        ha, hb = window_hashes(item, n)[a], window_hashes(text, n)[b]
+        ha, hb = of_item(n)[a], of_text(n)[b]
         return (a, ha, b, hb) if np.isin(ha, hb).any() else None
 
     longest = min(len(item), len(text))
@@ -134,7 +134,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     a larger benchmark is taken in as many such parts as it needs, one pass over the documents each.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.length(F.coalesce("text", F.lit(""))) > 0)
+    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where(F.length(F.coalesce("text", F.lit(""))) > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // (2 * broadcast_seeds)))  # a seed for every two characters at most
     kind = docs.schema[id_col].dataType.simpleString()
@@ -157,9 +158,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
                     yield pd.DataFrame(found, columns=["id", "item_id", "n_tiles", "coverage"])
 
         # ids travel as text: pandas would turn whole numbers beside nulls into floats
-        got = docs.select(F.col(id_col).cast("string").alias("id"), F.col("text").alias("text")).mapInPandas(run, "id string, item_id long, n_tiles long, coverage double")
+        got = docs.select(F.col(id_col).cast("string").alias("id"), F.col("text").alias("text")).mapInPandas(run, "id string, item_id string, n_tiles long, coverage double")
         out = got if out is None else out.unionByName(got)
-    return out.select(F.col("id").cast(kind).alias(id_col), "item_id", "n_tiles", "coverage")
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("item_id").cast(item_kind).alias("item_id"), "n_tiles", "coverage")
 
 
 def op9_decontaminate(spark, sf_dir):

@@ -51,6 +51,8 @@ def test_reordered_passages_and_odd_rows(spark):
     for parts in (2_000_000, 50):
         got = sorted(((r["doc_id"] or -1, r["item_id"], r["n_tiles"], r["coverage"]) for r in contaminated(df, bench, broadcast_seeds=parts).collect()))
         assert got == [(-1, 11, 1, 1.0), (1, 10, 2, 1.0), (5, 10, 1, 1.0), (7, 14, 1, 1.0), (7, 14, 1, 1.0)]
+    named = bench.selectExpr("concat('item-', item_id) AS item_id", "text")
+    assert {r["item_id"] for r in contaminated(df, named).collect()} == {"item-10", "item-11", "item-14"}
     assert contaminated(df.limit(0), bench).collect() == [] and contaminated(df, bench.limit(0)).collect() == []
 
 

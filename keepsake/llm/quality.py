@@ -1,17 +1,19 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small network.
 
-Random indexing gives every word symbol a fixed sparse random index vector (a function of its
-hash). A symbol's context vector is the sum of the index vectors that stand within two words of
-it in the training texts. A document is the mean over its words of index and context vectors,
-scaled to length one, with the log of its length. A two-layer numpy network turns it into a logit; a
-temperature fitted on texts that the network did not see makes the logit a probability.
+Random indexing gives every word a fixed sparse random index vector of ``DIMS`` places, four of them
+1 or -1, all drawn from the word's own 64-bit hash, so there is no table of words and none is left
+out. A word's context vector is the sum of the index vectors that stand within two words of it in
+all training texts; these sums are a Spark aggregation over every text of the training rows. They
+are kept in ``ROWS`` rows by hash of the word, a fixed size: rare words may share a row, in which the
+commonest of them weighs most.
 
-Word symbols: a word's shape (runs of its capitals, small letters, digits, each mark) with its
-ending marks, and whether it repeats the word before; common short words (to ``SHORT`` bytes) keep
-their letters. Symbols are hashed to ``SYMBOLS`` numbers, so the vectors that are sent to tasks have
-a fixed size. Neither ids nor languages, sources or labels are inputs of a score.
+A document is the mean over its words of index and context vectors, each scaled to length one,
+beside them the same mean over the shapes of its words (runs of capitals, small letters, digits and
+marks, and whether a word repeats the one before), and the log of its length. A two-layer numpy
+network turns it into a logit; a temperature fitted on texts that the network did not see makes the
+logit a probability. Neither ids nor languages, sources or labels are inputs of a score.
 
-The network is fitted on at most ``sample`` labelled rows, the first by a hash of the id.
+The network alone is fitted on a sample: about ``sample`` labelled rows, chosen by a hash.
 
 Edge cases: null and empty texts are scored like a text of no words. Rows that repeat are each
 scored. Labels that are null or not 0 or 1, and ids with several labels that differ, teach nothing.
@@ -21,15 +23,18 @@ Where no labelled rows are left, or only one class, the score is that class's sh
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed parameters of the model.
-SYMBOLS, DIMS, SHORT, HIDDEN = 4096, 64, 3, 32
-#: The most labelled rows it is fitted on.
+from keepsake.llm.common import WordHashes, hash_sample
+
+#: Fixed parameters of the model: places of index vectors, rows of context vectors, words to either side, shapes, hidden units.
+DIMS, ROWS, REACH, SHAPES, HIDDEN = 64, 1 << 14, 2, 2048, 32
+#: About so many labelled rows the network is fitted on.
 SAMPLE = 12_000
 
 _RUNS = re.compile(rb"[A-Z]+|[a-z\x80-\xff]+|[0-9]+|(.)\1*", re.S)
@@ -45,56 +50,102 @@ def _shape(word: bytes) -> bytes:
     return _RUNS.sub(one, word)[:12]
 
 
-class Symbols(dict):
-    """Memo of words' symbols, bounded."""
+class Shapes(dict):
+    """Memo of words' shapes as numbers, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        import zlib
-
         if len(self) > 300_000:
             self.clear()
-        key = word if len(word) <= SHORT else b"\0" + _shape(word)
-        value = self[word] = zlib.crc32(key) % (SYMBOLS // 2)
+        value = self[word] = zlib.crc32(_shape(word)) % (SHAPES // 2)
         return value
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Symbols of the words of a text; the upper half are words that repeat the one before."""
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
-        if not words:
-            return np.zeros(0, np.int64)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The upper half are words that repeat the one before."""
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out[1:] += (SYMBOLS // 2) * np.fromiter(map(bytes.__eq__, words[1:], words), bool, len(words) - 1)
+        out[1:] += (SHAPES // 2) * np.fromiter(map(bytes.__eq__, words[1:], words), bool, max(len(words) - 1, 0))
         return out
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse random vectors with entries of -1, 0 and 1, the same for every run."""
-    rng = np.random.default_rng(20)
-    return rng.choice([-1.0, 0.0, 1.0], p=[0.1, 0.8, 0.1], size=(SYMBOLS, DIMS))
+def shape_vectors() -> np.ndarray:
+    return np.random.default_rng(20).choice([-1.0, 0.0, 1.0], p=[0.1, 0.8, 0.1], size=(SHAPES, DIMS))
+
+
+def index_entries(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs (words x 4) of the index vectors of word hashes."""
+    k = np.arange(4, dtype=np.uint64)
+    places = (h[:, None] >> (k * np.uint64(6)) & np.uint64(DIMS - 1)).astype(np.int64)
+    signs = 1.0 - 2.0 * (h[:, None] >> (k + np.uint64(32)) & np.uint64(1)).astype(np.float64)
+    return places, signs
+
+
+def rows_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % ROWS
+
+
+def add_contexts(h: np.ndarray, sums: np.ndarray) -> None:
+    """Adds to each word's row the index vectors within ``REACH`` words of it (``sums`` is flat)."""
+    places, signs = index_entries(h)
+    rows = rows_of(h) * DIMS
+    for k in range(1, min(REACH, len(h) - 1) + 1):
+        for own, other in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+            np.add.at(sums, (rows[own, None] + places[other]).ravel(), signs[other].ravel())
+
+
+def context_vectors(texts: DataFrame, buckets: int = 64) -> np.ndarray:
+    """Context vectors, to length one, from all texts; what reaches the driver has a fixed size."""
+
+    def run(batches):
+        memo, sums = WordHashes(), np.zeros(ROWS * DIMS)
+        for pdf in batches:
+            for t in pdf["text"]:
+                if len(h := memo.of(t.encode("utf-8", "surrogatepass").split() if t else [])) > 1:
+                    add_contexts(h, sums)
+        for i, part in enumerate(np.split(sums, buckets)):
+            yield pd.DataFrame({"bucket": [i], "part": [part.astype("<f8").tobytes()]})
+
+    def add(pdf):
+        # sums of whole numbers are exact, whatever their order
+        total = np.zeros(ROWS * DIMS // buckets)
+        for x in pdf["part"]:
+            total += np.frombuffer(x, "<f8")
+        return pd.DataFrame({"bucket": pdf["bucket"][:1], "part": [total.astype("<f8").tobytes()]})
+
+    got = texts.select("text").mapInPandas(run, "bucket int, part binary").groupBy("bucket").applyInPandas(add, "bucket int, part binary").collect()
+    sums = np.zeros((buckets, ROWS * DIMS // buckets))
+    for r in got:
+        sums[r["bucket"]] = np.frombuffer(r["part"], "<f8")
+    sums = sums.reshape(ROWS, DIMS)
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(v)
+    return v / norm if norm else v
 
 
-def context_vectors(texts: list[np.ndarray], index: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Sums of neighbours' index vectors, to length one."""
-    pairs = np.zeros((SYMBOLS, DIMS))
-    for s in texts:
-        v = index[s]
-        around = np.zeros_like(v)
-        for k in range(1, min(reach, len(s) - 1) + 1):
-            around[k:] += v[:-k]
-            around[:-k] += v[k:]
-        np.add.at(pairs, s, around)
-    norm = np.linalg.norm(pairs, axis=1, keepdims=True)
-    return pairs / np.where(norm > 0, norm, 1)
+class Pooling:
+    """Documents as vectors."""
 
+    def __init__(self, contexts: np.ndarray):
+        self.contexts, self.shapes, self.hashes, self.memo = contexts, shape_vectors(), WordHashes(), Shapes()
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = text.encode("utf-8", "surrogatepass").split() if text else []
+        if not words:
+            return np.zeros(3 * DIMS + 1)
+        h = self.hashes.of(words)
+        places, signs = index_entries(h)
+        index = np.bincount(places.ravel(), signs.ravel(), DIMS)
+        context = np.zeros(DIMS)
+        for at in range(0, len(h), 1 << 16):  # very long texts a part at a time
+            context += self.contexts[rows_of(h[at : at + (1 << 16)])].sum(0, dtype=np.float64)
+        counts = np.bincount(self.memo.of(words), minlength=SHAPES)
+        held = np.flatnonzero(counts)
+        return np.concatenate([_unit(index), _unit(context), _unit(counts[held] @ self.shapes[held]), [np.log1p(len(words)) / 10]])
 
-def pooled(symbols: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    if not len(symbols):
-        return np.zeros(vectors.shape[1] + 1)
-    counts = np.bincount(symbols, minlength=SYMBOLS)
-    held = np.flatnonzero(counts)
-    mean = counts[held] @ vectors[held] / len(symbols)
-    norm = np.linalg.norm(mean)
-    return np.append(mean / norm if norm else mean, np.log1p(len(symbols)) / 10)
+    def all(self, texts) -> np.ndarray:
+        return np.array([self.of(t) for t in texts]).reshape(len(texts), 3 * DIMS + 1)
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = 60) -> dict:
@@ -137,24 +188,39 @@ def probability(net: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from=None, sample: int = SAMPLE) -> dict:
-    """A model from labelled rows (those of ``learn_from``, a condition on doc_id), at most ``sample`` of them."""
-    once = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    """A model from the texts of ``learn_from`` (a condition on doc_id) and the labels of about ``sample`` of them."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     if learn_from is not None:
         rows = rows.where(learn_from)
-    # ids are chosen before any text is moved
-    ids = rows.select("doc_id").join(once.where("low = high"), F.col("doc_id") == F.col("__id")).select("doc_id", "low").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = rows.join(F.broadcast(ids), "doc_id").select("low", "text").toLocalIterator()
-    memo, texts, y = Symbols(), [], []
-    for r in got:
-        texts.append(memo.of(r["text"]).astype(np.int16))
-        y.append(r["low"])
-    y = np.array(y, dtype=float)
-    index = index_vectors()
-    vectors = np.hstack([index, context_vectors([t.astype(np.int64) for t in texts], index)])
+    contexts = context_vectors(rows)
+    once = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    once = once.where("low = high").select("__id", "low")
+    # ids are chosen before any text is moved; then rows, for an id may have many
+    ids = hash_sample(rows.join(once, F.col("doc_id") == F.col("__id")).select("doc_id", "low"), 4 * sample, key=("doc_id",)).select("doc_id", "low")
+    chosen = hash_sample(rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "low"), sample)
+    shared = spark.sparkContext.broadcast(contexts)
+
+    def features(batches):
+        pooling = Pooling(shared.value)
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["__key"], "y": pdf["low"], "x": [v.astype("<f4").tobytes() for v in pooling.all(pdf["text"])]})
+
+    got = chosen.select("__key", "low", "text").mapInPandas(features, "key long, y int, x binary").toPandas().sort_values("key")
+    y = got["y"].to_numpy(np.float64)
     if len(set(y)) < 2 or len(y) < 10:
-        return {"vectors": vectors, "share": float(y.mean()) if len(y) else 0.5}
-    return {"vectors": vectors, "net": fit_network(np.array([pooled(t.astype(np.int64), vectors) for t in texts]), y)}
+        return {"contexts": contexts, "share": float(y.mean()) if len(y) else 0.5}
+    return {"contexts": contexts, "net": fit_network(np.array([np.frombuffer(x, "<f4") for x in got["x"]], dtype=np.float64), y)}
+
+
+_poolings: list = []
+
+
+def _pooling(model: dict) -> Pooling:
+    """One a worker process and model, so that its memo serves all batches."""
+    if not _poolings or _poolings[0] is not model:
+        _poolings[:] = [model, Pooling(model["contexts"])]
+    return _poolings[1]
 
 
 def scored(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -163,10 +229,10 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text", score_col: str
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        held, memo = shared.value, Symbols()
+        held = shared.value
         if "net" not in held:
             return pd.Series(np.full(len(texts), held["share"]))
-        return pd.Series(probability(held["net"], np.array([pooled(memo.of(t), held["vectors"]) for t in texts]).reshape(len(texts), -1)))
+        return pd.Series(probability(held["net"], _pooling(held).all(texts)))
 
     return docs.withColumn(score_col, score(F.col(text_col)))
 

@@ -18,7 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from keepsake.llm.common import hash_sample
 
 #: Fixed parameters: hashed dimensions, training texts a language for the centroids, centroids a language.
 DIMS, SAMPLE, CENTROIDS = 1 << 14, 1500, 4
@@ -92,25 +93,22 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn_from=None, sample: int = SAMPLE, centroids: int = CENTROIDS, reject_quantile: float = 0.001) -> dict:
-    """A model from text and lang of the rows of ``learn_from``; at most ``sample`` texts a language form centroids."""
+    """A model from text and lang of the rows of ``learn_from``; about ``sample`` texts a language form centroids, chosen by a hash of id and text."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn_from is not None:
         rows = rows.where(learn_from)
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids are chosen before any text is moved; a rank limit is applied before the shuffle
-    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
     by: dict[str, list] = {}
-    for r in rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").toLocalIterator():
-        if has_letter(r["text"]) and len(by.setdefault(r["lang"], [])) < sample:
+    for r in hash_sample(rows, sample, "lang").select("__key", "lang", "text").toLocalIterator():
+        if has_letter(r["text"]):
             held, counts = counts_of(r["text"])
             v = np.zeros(DIMS, np.float32)
             v[held] = vector(held, counts, idf)
-            by[r["lang"]].append(v)
+            by.setdefault(r["lang"], []).append((r["__key"], v))
     langs, centres, limits = [], [], []
     for lang in sorted(x for x in by if by[x]):
-        x = np.array(by.pop(lang))
+        x = np.array([v for _, v in sorted(by.pop(lang), key=lambda kv: kv[0])])
         c = spherical_kmeans(x, centroids)
         limits += [float(np.quantile((x @ c.T).max(1), reject_quantile))] * len(c)
         langs += [lang] * len(c)

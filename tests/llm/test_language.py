@@ -1,6 +1,52 @@
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from keepsake.llm.language import fit, op8_language, predicted
+from keepsake.llm.language import DIMS, fit, op8_language, predicted
+
+
+def brute_vector(text, idf):
+    raw = b" " + text.encode() + b" "
+    b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in raw)
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            g = b[i : i + n]
+            if (n == 1 and g != b" ") or (n == 2 and g != b"  ") or (n == 3 and b"  " not in g):
+                code = int.from_bytes(g, "big") | (n - 1) << 24
+                k = (code * 2654435761 % 2**32) >> 18
+                counts[k] = counts.get(k, 0) + 1
+    v = np.zeros(DIMS)
+    for k, c in counts.items():
+        v[k] = math.log(1 + c) * idf[k]
+    return v / (np.linalg.norm(v) or 1), set(counts)
+
+
+def test_equals_brute_force(spark):
+    rows = [(1, "the cat sat", "en"), (2, "a dog ran off", "en"), (3, "der hund", "de"), (4, "die katze, klein", "de"), (5, "le chat", "fr"), (6, "", "fr"), (7, "the cat sat", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df, sample=100, centroids=1)
+    frequencies = np.zeros(DIMS)
+    for _, text, _ in rows:
+        frequencies[list(brute_vector(text, np.ones(DIMS))[1])] += 1
+    idf = np.log((1 + len(rows)) / (1 + frequencies)) + 1
+    assert np.allclose(model["idf"], idf)
+    centres = {}
+    for lang in ("de", "en", "fr", "xx"):  # one centroid: the mean, to length one
+        own = [brute_vector(text, idf)[0] for _, text, k in rows if k == lang and text]
+        centres[lang] = np.mean(own, axis=0) / np.linalg.norm(np.mean(own, axis=0))
+    asked = [(i, t) for i, t in enumerate(["the dog", "katze", "chat chat", "the cat sat", "zzz"])]
+    for r in predicted(spark.createDataFrame(asked, "doc_id long, text string"), model).collect():
+        cosine = {k: float(brute_vector(r["text"], idf)[0] @ c) for k, c in centres.items()}
+        best = max(cosine, key=lambda k: (round(cosine[k], 6), [-ord(c) for c in k]))  # ties to the first in order
+        assert abs(r["language"]["score"] - cosine[best]) < 1e-5 and r["language"]["lang"] == best
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "same text", lang) for i, lang in enumerate(["b", "a", "c"] * 5)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert predicted(spark.createDataFrame([("same text",)], "text string"), model).first()["language"]["lang"] == "a"
 
 
 def test_odd_rows(spark):

@@ -24,6 +24,7 @@ import base64
 import heapq
 import json
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -254,16 +255,6 @@ class Cutter(dict):
         return pa.StructArray.from_arrays(parts, names=["runs", "rare"])
 
 
-_cutters: list = []
-
-
-def cutter(value: tuple, at_spaces: bool) -> Cutter:
-    """One cutter a worker process and broadcast, so that its memo serves all tasks there."""
-    if not _cutters or _cutters[0] is not value:
-        _cutters[:] = [value, Cutter(*value, at_spaces)]
-    return _cutters[1]
-
-
 def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_col: str = "text", out_col: str = "ids", at_spaces: bool = True) -> DataFrame:
     """``docs`` with the ids of its texts (array<int>) in ``out_col``.
 
@@ -278,8 +269,10 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     shared = spark.sparkContext.broadcast((known, pairs.table, pairs.pattern))
 
     @F.arrow_udf("struct<runs:array<array<int>>,rare:array<string>>")
-    def cut(texts: pa.Array) -> pa.Array:
-        return cutter(shared.value, at_spaces).cut(texts)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cutter = Cutter(*shared.value, at_spaces)
+        for texts in batches:
+            yield cutter.cut(texts)
 
     held = docs.withColumn("__cut", cut(F.col(text_col)))
     with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.concat(pairs.fold(p), F.get(F.col("__cut.runs"), i + 1)))

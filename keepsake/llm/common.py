@@ -78,7 +78,7 @@ def unit_text(unit: str) -> str:
 class WordHashes(dict):
     """Memo of 64-bit word hashes; it is emptied when it holds ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

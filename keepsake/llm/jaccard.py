@@ -94,7 +94,7 @@ def common_shingles(docs: DataFrame, shingle: int, small: int, most: int = 1 <<
                 s = shingle_set(memo.of(words_of(t)), shingle)
                 held.append(s)
                 size += len(s)
-                if size > 6_000_000:
+                if size > 4_000_000:
                     yield rows()
                     held, size = [], 0
         if size:

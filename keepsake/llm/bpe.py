@@ -3,10 +3,11 @@
 A text is cut into pieces by the tokenizer's pattern. A piece starts as its bytes; an
 ``aggregate`` folds merges over them: each step looks up the ranks of neighbouring parts, joins
 the first pair of lowest rank and looks up the two ranks beside it, until no pair has a rank. The
-rank map is a literal in the plan: an array of small maps, found by crc32, because Spark's map
+rank map is a literal in the plan: an array of small maps, found by a hash, because Spark's map
 lookup is linear. Bytes are held as Latin-1 text, one character a byte, so that parts are strings.
 
-Distinct pieces are counted over all documents. Those that recur are folded once; up to
+Distinct pieces are counted over all documents (those beside more than one space at a time as if one stood there, for
+the counts only choose what is worth keeping). Those that recur are folded once; up to
 ``dictionary`` of them, the commonest, go to the tasks in packed arrays. A task cuts its texts into
 runs of ids of known pieces and, between them, the other pieces (those of one document, and what is
 beyond the bound), which the same fold then turns into ids where they stand. So results do not
@@ -23,7 +24,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,16 +55,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def literal_map(entries: dict[str, object], value_type: str) -> Column:
-    """A literal array of maps; an entry's place is its key's crc32 modulo BUCKETS."""
+    """A literal array of maps; an entry's place is its key's 64-bit hash (as Spark's function has it) modulo BUCKETS."""
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
     for key, value in entries.items():
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = value
+        buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS][key] = value
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<map<string,{value_type}>>")
 
 
 def looked_up(mapping: Column, key: Column) -> Column:
     """The entry of ``key``, else null."""
-    return F.element_at(F.get(mapping, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
+    return F.element_at(F.get(mapping, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
 
 def _let(value: Column, use) -> Column:
@@ -78,10 +78,11 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern, self.table = java_pattern(pattern), ranks
         self.ranks = literal_map({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
-        parts = [""] * (max(ranks.values(), default=-1) + 1)
+        parts = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
-            parts[v] = k.decode("latin-1")
-        self.parts = F.from_json(F.lit(json.dumps(parts)), "array<string>")
+            parts[v] = k
+        # strings that hold the pieces' very bytes, whether or not these are characters; they are only joined
+        self.parts = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in parts])), "array<binary>").cast("array<string>")
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -125,7 +126,7 @@ class BytePairs:
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids (binary)."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.parts, i)), ""), "ISO-8859-1")
+        return F.array_join(F.transform(ids, lambda i: F.get(self.parts, i)), "").cast("binary")
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -191,13 +192,14 @@ class Known:
 class Cutter(dict):
     """Texts as runs of known ids with the rare pieces between them; a memo of units of known pieces, in two generations."""
 
-    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 200_000):
+    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 260_000):
         super().__init__()
         self.known, self.ranks, self.pattern, self.at_spaces, self.limit, self.elder = known, ranks, regex.compile(pattern), at_spaces, limit, {}
 
     def _learn(self, keys: set[str]) -> dict[str, list]:
         """Puts units of known pieces into the memo; returns the others as ids (bytes) and rare pieces (str) in order."""
-        own = {k: self.pattern.findall(unit_text(k)) for k in keys}
+        # letters after a space are one piece, if spaces are cuts
+        own = {k: [" " + k] if k.isalpha() and self.at_spaces else self.pattern.findall(unit_text(k)) for k in keys}
         pieces = list({p for ps in own.values() for p in ps})
         ids = dict(zip(pieces, self.known.of(pieces), strict=True))
         for p in pieces:
@@ -262,7 +264,12 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     characters and beside a line feed between two others, as ``public_tokenizers.PATTERN`` does.
     """
     spark = docs.sparkSession
-    counts = saved(docs.select(F.explode(pairs.pieces(F.col(text_col))).alias("piece")).groupBy("piece").count().where("count > 1"), "pieces")
+    if at_spaces:  # what stands between spaces is counted first, so that the pattern is applied to each such unit once
+        found = docs.select(F.explode(F.split(F.coalesce(text_col, F.lit("")), " ")).alias("unit")).groupBy("unit").count()
+        found = found.select(F.explode(pairs.pieces(F.concat(F.lit(" "), F.col("unit")))).alias("piece"), "count").groupBy("piece").agg(F.sum("count").alias("count"))
+    else:
+        found = docs.select(F.explode(pairs.pieces(F.col(text_col))).alias("piece")).groupBy("piece").count()
+    counts = saved(found.where("count > 1"), "pieces")
     common = counts.where((F.col("count") >= least_of_most(counts, "count", dictionary)) & (F.octet_length("piece") <= LONG))
     common = common.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("piece", pairs.fold(F.col("piece")).alias("ids"))
     known = Known(common.mapInArrow(Known.pack, "hashes binary, sizes binary, ids binary").collect())
@@ -289,6 +296,6 @@ def op6_bpe(spark, sf_dir):
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.translate(F.to_json("ids"), "[]", "").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(pairs.decoded(F.col("ids")), 256).alias("decoded_sha256"),
     )

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
+import struct
 import zlib
 
 import numpy as np
@@ -113,13 +115,24 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder(dict):
     """The tokenizers library, as loaded from its file, behind a memo of the units between places where its pattern always cuts.
 
     Its pattern always cuts before a single space between two other characters, on both sides of a
     single line feed between two other characters, and between a letter and '.' or ','. What stands
     between such cuts is a unit. Units that the memo lacks go to the library many at a time, as the
-    lines of one text; the token of the line feed parts their ids again. The memo has two
+    lines of one text; the token of the line feed parts their ids again. Plain words, which are single
+    pieces, go straight to the library's model. The memo has two
     generations: when the younger is full, the elder is dropped, so what is in use stays.
 
     Strings of the file's special tokens become those tokens wherever they stand, as the library
@@ -135,6 +148,9 @@ class Encoder(dict):
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.characters, self.elder = limit, characters, {}
         self.line_feed = self._library("\n")
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        self.plain = parts["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -165,6 +181,12 @@ class Encoder(dict):
         """Adds units that the memo lacks."""
         whole = [x for x in keys if x[-1] in ".," or "\n" in x]
         lacking = keys.difference(whole).union([y for x in whole for y in self.parts(x) if y not in self and y not in self.elder])
+        if self.plain:
+            model, pack_ids = self.tokenizer.model, struct.pack
+            for x in [x for x in lacking if x.isalpha() and max(x) < "ɐ"]:
+                ids = [t.id for t in model.tokenize((" " + x).encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                self[x] = pack_ids(f"<{len(ids)}I", *ids)
+            lacking = [x for x in lacking if x not in self]
         # what holds no white space but a tab in front
         lacking = [x for x in lacking if (x.isprintable() and " " not in x) or ((w := x.split()) and x in (w[0], "\t" + w[0]))]
         for i in range(0, len(lacking), 4096):

@@ -355,67 +355,75 @@ def _divide(space: DataFrame, percent: int, region: int, pivots: int, radius: fl
     points outside its largest class as pivots, so it ends after as many rounds as those need.
     """
     spark, epsilon = space.sparkSession, 1 - percent / 100
-    links = []
-    current = space.select("region", "rep", "set", F.lit(False).alias("asked"), F.col("rep").alias("class"))
+    slim = ["region", "rep", "n", "asked"]
+    current, classes, links = space.select("region", "rep", "set", (F.octet_length("set") / 8).cast("long").alias("n"), F.lit(False).alias("asked")), None, []
     while True:
-        shingles = F.sum(F.octet_length("set") / 8)
-        sizes = saved(current.groupBy("region").agg(F.count("*").alias("size"), shingles.alias("shingles"), (F.min("class") != F.max("class")).alias("open")), "sizes")
-        open_ = sizes.where("open and size > 1")
-        fit = current.join(open_.where(F.col("shingles") <= region).select("region"), "region", "left_semi")
-        links.append(saved(_join_regions(fit, percent), "region-links"))
-        large = open_.where(F.col("shingles") > region).select("region")
+        # decisions are made on rows without their sets; sets stay where they are until a region goes to its task
+        rows = current.select(*slim)
+        rows = rows.withColumn("class", F.col("rep")) if classes is None else rows.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        rows = saved(rows, "rows")
+        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), (F.min("class") != F.max("class")).alias("open"))
+        large = saved(sizes.where(F.col("open") & (F.col("shingles") > region) & (F.col("size") > 1)).select("region", "size"), "large")
+        links.append(saved(_join_regions(_of(current, sizes.where(F.col("shingles") > region).select("region"), "left_anti"), percent), "region-links"))
         if not large.limit(1).count():
             break
-        work = current.join(large, "region", "left_semi")
+        work = _of(current, large.select("region"), "left_semi")
+        rows = _of(rows, large.select("region"), "left_semi")
         # the commonest class of a region needs no pivots once there is any other; pivots come from the smaller classes first
-        by_class = work.groupBy("region", "class").agg(F.count("*").alias("of"))
+        by_class = rows.groupBy("region", "class").agg(F.count("*").alias("of"))
         biggest = by_class.groupBy("region").agg(F.max(F.struct("of", "class")).alias("top"))
-        pool = work.where("not asked").join(biggest, "region").where((F.col("class") != F.col("top.class")) | (F.col("top.of") == 1))
+        pool = _of(rows.where("not asked"), biggest, "inner").where((F.col("class") != F.col("top.class")) | (F.col("top.of") == 1))
         drawn = saved(_first(pool, pivots, region), "pivots")
-        chosen = drawn.join(work.select("region", "rep", "set"), ["region", "rep"])
+        chosen = work.join(F.broadcast(drawn.select("region", "rep")) if drawn.count() <= BROADCAST else drawn.select("region", "rep"), ["region", "rep"])
         out = []
         # a bounded size of pivots at a time goes to the tasks
-        slices = max(1, -(-(drawn.agg(F.sum("shingles")).first()[0] or 0) // PIVOT_SHINGLES))
+        slices = max(1, -(-(drawn.agg(F.sum("n")).first()[0] or 0) // PIVOT_SHINGLES))
         for i in range(slices):
             mine = F.pmod(F.xxhash64("region"), F.lit(slices)) == i
-            held = spark.sparkContext.broadcast([(r["region"], r["rep"], bytes(r["set"])) for r in chosen.where(mine).collect()])
-            out.append(work.where(mine).mapInPandas(_deal(held, percent, epsilon, radius), "region string, sub string, rep string, set binary, asked boolean, links array<string>"))
+            held = spark.sparkContext.broadcast([(r["region"], r["rep"], bytes(r["set"])) for r in chosen.where(mine).select("region", "rep", "set").collect()])
+            out.append(work.where(mine).select("region", "rep", "set", "asked").mapInPandas(_deal(held, percent, epsilon, radius), "region string, sub string, rep string, set binary, asked boolean, links array<string>"))
         dealt = out[0]
         for x in out[1:]:
             dealt = dealt.unionByName(x)
-        dealt = saved(dealt, "dealt")
-        new = saved(dealt.where("links is not null").select("region", F.col("rep").alias("a"), F.explode("links").alias("b")), "pivot-links")
-        links.append(new.select("a", "b"))
-        # classes within each region so far
+        dealt = saved(dealt.withColumn("n", (F.octet_length("set") / 8).cast("long")), "dealt")
+        links.append(saved(dealt.where("links is not null").select(F.col("rep").alias("a"), F.explode("links").alias("b")), "pivot-links"))
         all_links = links[0]
         for x in links[1:]:
             all_links = all_links.unionByName(x)
-        reps = dealt.select("rep").distinct()
-        classes = smallest_reachable(reps, all_links.where("a <> b")).withColumnsRenamed({"component": "class"})
-        shrunk = saved(dealt.groupBy("region", "sub").agg(F.count("*").alias("n")).join(sizes, "region").select("region", "sub", (F.col("n") < 0.8 * F.col("size")).alias("less")), "shrunk")
+        classes = smallest_reachable(dealt.select("rep").distinct(), all_links.where("a <> b")).withColumnsRenamed({"component": "class"})
+        parts = dealt.where("sub is not null").groupBy("region", "sub").agg(F.sum("n").alias("part"))
+        whole = dealt.where("links is not null").groupBy("region").agg(F.sum("n").alias("whole"))
+        divided = saved(parts.join(whole, "region").groupBy("region").agg(F.bool_and(F.col("part") < 0.8 * F.col("whole")).alias("divided")), "divided")
         # regions whose parts are hardly smaller stay whole: their next pivots come from what is still outside
-        whole = shrunk.groupBy("region").agg(F.bool_and("less").alias("divided"))
-        parts = dealt.where("sub is not null").join(whole.where("divided"), "region", "left_semi").select(F.concat_ws("/", "region", "sub").alias("region"), "rep", "set", F.lit(False).alias("asked"))
-        same = dealt.where("links is not null").join(whole.where("not divided"), "region", "left_semi").select("region", "rep", "set", "asked")
-        current = saved(parts.unionByName(same).join(classes, "rep").select("region", "rep", "set", "asked", "class"), "regions")
+        cells = _of(dealt.where("sub is not null"), divided.where("divided").select("region"), "left_semi")
+        cells = cells.select(F.hex(F.xxhash64("region", "sub")).alias("region"), "rep", "set", "n", F.lit(False).alias("asked"))
+        same = _of(dealt.where("links is not null"), divided.where("not divided").select("region"), "left_semi").select("region", "rep", "set", "n", "asked")
+        current = saved(cells.unionByName(same), "regions")
         # a region is done when all points outside its largest class have been asked
-        left = current.where("not asked").select("region", "class").distinct()
-        top = current.groupBy("region", "class").agg(F.count("*").alias("of")).groupBy("region").agg(F.max(F.struct("of", "class")).alias("top"))
-        unfinished = left.join(top, "region").where(F.col("class") != F.col("top.class")).select("region").distinct()
-        current = current.join(unfinished, "region", "left_semi")
+        rows = current.select(*slim).join(classes, "rep")
+        left = rows.where("not asked").select("region", "class").distinct()
+        top = rows.groupBy("region", "class").agg(F.count("*").alias("of")).groupBy("region").agg(F.max(F.struct("of", "class")).alias("top"))
+        unfinished = saved(left.join(top, "region").where(F.col("class") != F.col("top.class")).select("region").distinct(), "unfinished")
+        current = _of(current, unfinished, "left_semi")
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _of(df: DataFrame, regions: DataFrame, how: str) -> DataFrame:
+    """Rows of some regions; their names are sent to every task where there are few enough of them, else rows are shuffled."""
+    regions = saved(regions, "names")
+    return df.join(F.broadcast(regions) if regions.count() <= BROADCAST else regions, "region", how)
+
+
 def _first(pool: DataFrame, n: int, shingles: int) -> DataFrame:
     """Up to n rows a region (two at least if it has them), of ``shingles`` shingles in all, by a hash of rep: a rank limit that is applied before the shuffle."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep")
-    rows = pool.select("region", "rep", (F.octet_length("set") / 8).cast("long").alias("shingles"), F.row_number().over(w).alias("r")).where(F.col("r") <= n)
-    return rows.withColumn("so_far", F.sum("shingles").over(w)).where((F.col("so_far") <= shingles) | (F.col("r") <= 2)).select("region", "rep", "shingles")
+    rows = pool.select("region", "rep", "n", F.row_number().over(w).alias("r")).where(F.col("r") <= n)
+    return rows.withColumn("so_far", F.sum("n").over(w)).where((F.col("so_far") <= shingles) | (F.col("r") <= 2)).select("region", "rep", "n")
 
 
 def _deal(held, percent, epsilon, radius):

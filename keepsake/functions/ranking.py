@@ -33,16 +33,16 @@ def _age(now: Column, then: Column) -> Column:
 
 
 def effective_confidence(confidence: Column, kind: Column, anchor: Column, now: Column) -> Column:
-    """Confidence halved for every half-life since the anchor."""
+    """Confidence halved for every half-life since the anchor; without an anchor, and before it, as it is."""
     age = _age(now, anchor)
-    return F.when(half_life(kind).isNull() | (age <= 0), confidence).otherwise(confidence * F.pow(F.lit(2.0), -age / half_life(kind)))
+    return F.when(half_life(kind).isNull() | age.isNull() | (age <= 0), confidence).otherwise(confidence * F.pow(F.lit(2.0), -age / half_life(kind)))
 
 
 def recency(kind: Column, anchor: Column, now: Column) -> Column:
     """0.3 + 0.7 times a halving that is linear between whole half-lives."""
     x = _age(now, anchor) / half_life(kind)
     decay = F.pow(F.lit(2.0), -F.floor(x)) * (1 - 0.5 * (x - F.floor(x)))
-    return F.when(half_life(kind).isNull() | (_age(now, anchor) <= 0), 1.0).otherwise(0.3 + 0.7 * decay)
+    return F.when(x.isNull() | (x <= 0), 1.0).otherwise(0.3 + 0.7 * decay)
 
 
 def confidence_multiplier(effective: Column, status: Column) -> Column:
@@ -56,9 +56,15 @@ def reciprocal_rank(*ranks: Column) -> Column:
     return out
 
 
-def modulated(base: Column, importance: Column, trust: Column, kind: Column, confidence: Column, status: Column, anchor: Column, now: Column) -> Column:
+def factors(importance: Column, trust: Column, kind: Column, confidence: Column, status: Column, anchor: Column, now: Column) -> dict[str, Column]:
+    """What a score is multiplied by, part by part."""
     eff = effective_confidence(confidence, kind, anchor, now)
-    return base * (0.6 + 0.1 * importance) * trust_factor(trust) * recency(kind, anchor, now) * confidence_multiplier(eff, status)
+    return {"importance": 0.6 + 0.1 * importance, "trust": trust_factor(trust), "recency": recency(kind, anchor, now), "confidence": confidence_multiplier(eff, status)}
+
+
+def modulated(base: Column, importance: Column, trust: Column, kind: Column, confidence: Column, status: Column, anchor: Column, now: Column) -> Column:
+    f = factors(importance, trust, kind, confidence, status, anchor, now)
+    return base * f["importance"] * f["trust"] * f["recency"] * f["confidence"]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions import text as X
+from keepsake.sources.scratch import saved
 
 #: Patterns that Java and RE2 read alike.
 RULES = {
@@ -132,20 +133,54 @@ def _spans(text: Column, cls: str, kind: str, pattern: str) -> Column:
     return F.when(_may(text, kind) & text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
 
 
-def findings(text: Column) -> Column:
-    """start, end (code points, ends exclusive), class and kind of all findings in order; one that an earlier rule's finding holds is left out."""
+#: Fixed values of the entropy pass: credential words, tokens, and how many characters around a token count.
+CREDENTIAL = rf"(?i){_B}(key|secret|token|auth|bearer|credential|password|passwd){_B}"
+TOKEN = rf"{_B}[A-Za-z0-9/+_\-]{{20,}}{_B}"
+BEFORE, AFTER = 48, 16
+HIGH_ENTROPY = "high-entropy-near-credential-word"
+
+
+def _random_tokens(text: Column, kept: Column) -> Column:
+    """Tokens that look random, near a credential word, and are in no finding of a rule. Distances are in characters."""
+    pairs = F.arrays_zip(F.split(text, TOKEN, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("match"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(s, x):
+        at = s["at"] + F.length(x["gap"])
+        end = at + F.coalesce(F.length(x["match"]), F.lit(0))
+        around = F.substr(text, F.greatest(at - BEFORE, F.lit(0)).cast("int") + 1, (end + AFTER - F.greatest(at - BEFORE, F.lit(0))).cast("int"))
+        held = F.exists(kept, lambda g: (g["start"] <= at) & (end <= g["end"]))
+        random = X.let(X.entropy(x["match"]), lambda h: (h >= 3.9) | (x["match"].rlike(r"^[0-9a-fA-F]+$") & (F.length(x["match"]) >= 32) & (h >= 3.0)))
+        good = x["match"].isNotNull() & ~held & around.rlike(CREDENTIAL) & random
+        span = F.struct(at.alias("start"), end.alias("end"), F.lit("secret").alias("class"), F.lit(HIGH_ENTROPY).alias("kind"))
+        return F.struct(end.alias("at"), F.when(good, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+    return F.when(text.rlike(CREDENTIAL) & text.rlike(r"[A-Za-z0-9/+_\-]{20}"), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+
+
+def findings(text: Column, random: bool = False) -> Column:
+    """start, end (code points, ends exclusive), class and kind of all findings in order; one that an earlier finding holds is left out.
+
+    ``random`` adds the entropy pass: long random-looking tokens near credential words.
+    """
     alone = lambda kept, f: ~F.exists(kept, lambda g: (g["start"] <= f["start"]) & (f["end"] <= g["end"]))
-    kept = F.aggregate(
-        F.concat(*[_spans(text, *rule) for rule in CATALOGUE]),
-        F.array().cast(_SPAN),
-        lambda kept, f: F.when(alone(kept, f), F.concat(kept, F.array(f))).otherwise(kept),
-    )
+    ruled = F.concat(*[_spans(text, *rule) for rule in CATALOGUE])
+    if random:
+        ruled = X.let(ruled, lambda own: F.concat(own, _random_tokens(text, own)))
+    kept = F.aggregate(ruled, F.array().cast(_SPAN), lambda kept, f: F.when(alone(kept, f), F.concat(kept, F.array(f))).otherwise(kept))
     return F.array_sort(kept)
 
 
+def summary_line(found: Column) -> Column:
+    """One line with the number of findings of each class and kind, in the order they come."""
+    kinds = F.array_distinct(F.transform(found, lambda f: F.concat_ws(":", f["class"], f["kind"])))
+    said = lambda k: F.concat(k, F.lit(" ×"), F.size(F.filter(found, lambda f: F.concat_ws(":", f["class"], f["kind"]) == k)).cast("string"))
+    return F.when(F.size(found) == 0, "no secrets or PII detected").otherwise(F.array_join(F.transform(kinds, said), ", "))
+
+
 def masked(text: Column, secrets: Column) -> Column:
-    """The text with each secret as [REDACTED:kind]; secrets that overlap are one, of kind multiple where their kinds differ."""
-    said = lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), (s["start"] - s["at"]).cast("int")), F.lit("[REDACTED:"), s["kind"], F.lit("]"))
+    """The text with each span as [redacted:kind]; spans that overlap are one, of kind multiple where their kinds differ."""
+    said = lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), (s["start"] - s["at"]).cast("int")), F.lit("[redacted:"), s["kind"], F.lit("]"))
     state = lambda out, at, start, end, kind: F.struct(out.alias("out"), at.alias("at"), start.alias("start"), end.alias("end"), kind.alias("kind"))
     none = state(F.lit(""), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("string"))
 
@@ -160,6 +195,23 @@ def masked(text: Column, secrets: Column) -> Column:
     return F.aggregate(secrets, none, step, done)
 
 
+def secrets_of(found: Column) -> Column:
+    return F.filter(found, lambda f: f["class"] == "secret")
+
+
+def redacted_claims(rows: DataFrame, text_col: str = "content", everything: bool = False) -> DataFrame:
+    """``rows`` with secrets (or all findings) masked, and ``findings``: what every export goes through."""
+    found = saved(rows.withColumn("findings", findings(F.col(text_col), random=True)), "scanned")
+    hit = F.col("findings") if everything else secrets_of(F.col("findings"))
+    return found.withColumn(text_col, F.when(F.size(hit) > 0, masked(F.col(text_col), hit)).otherwise(F.col(text_col)))
+
+
+def report(rows: DataFrame, text_col: str = "content") -> DataFrame:
+    """One row: claims scanned, flagged and masked, and findings in all."""
+    found = rows.select(findings(F.col(text_col), random=True).alias("f"))
+    return found.agg(F.count("*").alias("scanned"), F.count_if(F.size("f") > 0).alias("flagged"), F.count_if(F.size(secrets_of(F.col("f"))) > 0).alias("redacted"), F.coalesce(F.sum(F.size("f")), F.lit(0)).cast("long").alias("n_findings"))
+
+
 def catalogue_summary(docs: DataFrame) -> DataFrame:
     """class, kind and n of all findings."""
     return docs.select(F.inline(findings(F.col("text")))).groupBy("class", "kind").agg(F.count("*").alias("n"))

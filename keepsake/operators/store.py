@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keepsake.functions import text as X
+from keepsake.sources.scratch import saved
+
 #: The longest chain of superseded claims that is followed.
 MAX_HOPS = 32
 
 
-def listed(memories: DataFrame, statuses=None, types=None, trusts=None, since=None, limit=None) -> DataFrame:
+def listed(memories: DataFrame, statuses=None, types=None, trusts=None, since=None, limit=None, order=True) -> DataFrame:
     """Claims that pass all given filters, newest first."""
     out = memories
     for col, wanted in (("status", statuses), ("type", types), ("trust", trusts)):
@@ -21,7 +24,8 @@ def listed(memories: DataFrame, statuses=None, types=None, trusts=None, since=No
             out = out.where(F.col(col).isin(*wanted))
     if since:
         out = out.where(F.col("updated_at") >= F.lit(since).cast("timestamp"))
-    out = out.orderBy(F.desc("updated_at"), "id")
+    if order:
+        out = out.orderBy(F.desc("updated_at"), "id")
     return out.limit(limit) if limit else out
 
 
@@ -36,8 +40,23 @@ def count_by(memories: DataFrame, col: str) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(position))).where("__r = 1").drop("__r")
+    """The first row of each key: a minimum that tasks fold before anything moves, so a hot key is no hot task."""
+    others = [c for c in rows.columns if c not in (key, position)]
+    best = rows.groupBy(key).agg(F.min_by(F.struct(position, *others), F.struct(position)).alias("r"))
+    return best.select(key, "r.*").select(*rows.columns)
+
+
+def lower_percentiles(rows: DataFrame, points: dict[str, float]) -> DataFrame:
+    """n and, for each name, the value at place floor(p * (n - 1)) in order, of rows (label, value).
+
+    Values are counted first, so that no task sorts all rows of a label, only its distinct values.
+    """
+    counts = rows.groupBy("label", "value").agg(F.count("*").alias("c"))
+    totals = counts.groupBy("label").agg(F.sum("c").alias("n"))
+    w = Window.partitionBy("label").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = counts.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(totals), "label")
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(p * (F.col("n") - 1)), F.col("value")))
+    return held.groupBy("label").agg(F.first("n").alias("n"), *[F.round(at(p).cast("double"), 6).alias(k) for k, p in points.items()])
 
 
 def recent_ops(ops: DataFrame, op: str, n: int) -> DataFrame:
@@ -77,16 +96,38 @@ def newest_in_chain(memories: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
 
     A step joins the links with themselves, so five of them follow 32 hops; a dangling link ends a chain before it.
     """
-    ids = memories.select(F.col("id").alias("to"))
-    links = memories.where("superseded_by is not null").select(F.col("id").alias("start"), F.col("superseded_by").alias("to"), F.lit(1).alias("depth")).join(ids, "to", "left_semi").select("start", "to", "depth")
-    hops, out = 1, links
+    slim = memories.select("id", "superseded_by")
+    ids = slim.select(F.col("id").alias("to"))
+    links = slim.where("superseded_by is not null").select(F.col("id").alias("start"), F.col("superseded_by").alias("to"), F.lit(1).alias("depth"))
+    hops, out = 1, saved(links.join(ids, "to", "left_semi").select("start", "to", "depth"), "chain")
     while hops < max_hops:
         onward = out.select(F.col("start").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        out = out.join(onward, "to", "left").select("start", F.coalesce("next", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        # saved, or each step would hold all scans and joins of the ones before it twice
+        out = saved(out.join(onward, "to", "left").select("start", F.coalesce("next", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "chain")
         hops *= 2
+        if not out.where("moved").limit(1).count():
+            break
+        out = out.drop("moved")
     return out.select("start", F.least("depth", F.lit(max_hops)).alias("depth"), F.col("to").alias("newest"))
 
 
+def older_chain(memories: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """start, hop and id: what each claim replaced, hop by hop, and what that replaced; of several only the newest by created_at goes on.
+
+    A hop costs a join; it ends when no chain goes on.
+    """
+    back = memories.where("superseded_by is not null").groupBy(F.col("superseded_by").alias("id")).agg(F.max_by("id", F.struct("created_at", "id")).alias("older"))
+    back = saved(back, "older")
+    frontier = saved(back.select(F.col("id").alias("start"), F.lit(1).alias("hop"), F.col("older").alias("id")), "older")
+    out = frontier
+    for hop in range(2, max_hops + 1):
+        frontier = saved(frontier.join(back, "id").select("start", F.lit(hop).alias("hop"), F.col("older").alias("id")), "older")
+        if not frontier.limit(1).count():
+            break
+        out = out.unionByName(frontier)
+    return out
+
+
 def restore_target(status: Column, trust: Column) -> Column:
     return F.when(status == "active", "active").when(status == "superseded", "refused").when(trust == 3, "quarantined").otherwise("active")
 
@@ -123,7 +164,44 @@ def approved(memories: DataFrame, which: Column) -> DataFrame:
     return memories.withColumns({"trust": F.when(which, 1).otherwise(F.col("trust")), "confidence": F.when(which, 0.95).otherwise(F.col("confidence")), "status": F.when(which, "active").otherwise(F.col("status"))})
 
 
-def screened(text: Column, role: Column) -> Column:
-    """What becomes of a candidate from a transcript: the first reason that holds decides."""
-    secret = text.rlike("(?i)password|secret|token")
-    return F.when(text.isNull() | (F.trim(text) == ""), "drop").when(secret, "drop").when(role == "system", "quarantine").otherwise("store")
+def ids_of(memories: DataFrame, statuses=None, types=None, trusts=None, since=None) -> DataFrame:
+    """Ids alone of the claims that pass the filters; the scan reads no other column than those."""
+    return listed(memories, statuses, types, trusts, since, order=False).select("id")
+
+
+def with_entity(memories: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Claims linked with an entity, whatever the case of its name; none if there is no such entity."""
+    ids = links.where(F.lower("name") == name.lower()).select(F.col("memory_id").alias("id")).distinct()
+    return memories.join(ids, "id", "left_semi")
+
+
+def browse(memories: DataFrame, status: str = "live", text: str | None = None, limit: int = 500) -> DataFrame:
+    """Newest first: live (active and aging), all, or one status; of those that hold a text."""
+    rows = memories
+    if status == "live":
+        rows = rows.where(F.col("status").isin("active", "aging"))
+    elif status != "all":
+        rows = rows.where(F.col("status") == status)
+    if text:
+        rows = rows.where(F.contains(F.lower("content"), F.lit(text.lower())))
+    return rows.orderBy(F.desc("updated_at"), "id").limit(limit)
+
+
+def placed(rows: DataFrame, key: str, slices: int = 64) -> DataFrame:
+    """``rows`` with place: their number within the key, newest first, ties by memory_id.
+
+    A key's rows are numbered in slices of time that are sorted apart, so that a key with a third of
+    all rows does not go to one task whole; the slices before one are added from their counts.
+    """
+    span = rows.groupBy(key).agg(F.min("updated_at").alias("__lo"), F.max("updated_at").alias("__hi"))
+    width = F.greatest((F.unix_micros("__hi") - F.unix_micros("__lo")) / slices, F.lit(1.0))
+    cut = rows.join(span, key).withColumn("__s", F.floor((F.unix_micros("__hi") - F.unix_micros("updated_at")) / width)).drop("__lo", "__hi")
+    before = Window.partitionBy(key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(key, "__s").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = Window.partitionBy(key, "__s").orderBy(F.desc("updated_at"), "memory_id")
+    return cut.withColumn("__r", F.row_number().over(within)).join(counts, [key, "__s"]).withColumn("place", (F.col("__r") + F.col("__before")).cast("int")).drop("__r", "__s", "__before")
+
+
+def newest_of_hash(claims: DataFrame) -> DataFrame:
+    """content_hash and id of the newest claim of each content, of any status."""
+    return claims.select("id", "created_at", X.content_hash(F.col("content")).alias("content_hash")).groupBy("content_hash").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))

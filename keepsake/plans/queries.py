@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keepsake.functions import ranking as R
 from keepsake.functions import text as X
@@ -191,13 +190,6 @@ def entity_dossier(spark, sf):
     return m.groupBy(F.col("scope").alias("name")).agg(F.count("*").alias("n"), F.max("updated_at").alias("newest"), F.array_join(order, ",").alias("ids"))
 
 
-@query(f"WITH {MEMORIES_SQL} SELECT id FROM memories WHERE scope = 'src3'")
-def filter_by_entity(spark, sf):
-    m = memories(spark, sf)
-    wanted = m.where(F.col("scope") == "src3").select("id")
-    return m.join(wanted, "id", "left_semi").select("id")
-
-
 @query(f"WITH {MEMORIES_SQL} SELECT m.id, m.superseded_by FROM memories m WHERE m.superseded_by IS NOT NULL AND NOT EXISTS (SELECT 1 FROM memories n WHERE n.id = m.superseded_by)")
 def orphan_links(spark, sf):
     m = memories(spark, sf)
@@ -205,14 +197,6 @@ def orphan_links(spark, sf):
     return links.join(m.select(F.col("id").alias("superseded_by")), "superseded_by", "left_anti").select("id", "superseded_by")
 
 
-@query("SELECT DISTINCT d.doc_id, d.source AS name FROM documents d WHERE lower(d.source) IN ('src1', 'src2') OR upper(d.source) IN ('SRC5')")
-def alias_resolve(spark, sf):
-    d = table(spark, sf, "documents")
-    entities = d.select(F.col("source").alias("name")).distinct().select("name", F.array(F.upper("name")).alias("aliases"))
-    mentions = spark.createDataFrame([("Src1",), ("SRC2",), ("src5",)], "mention string")
-    return store.resolve(mentions, entities).join(d.select("doc_id", F.col("source").alias("name")), "name").select("doc_id", "name").distinct()
-
-
 # --- ranking -------------------------------------------------------------------------------------------
 
 
@@ -302,12 +286,6 @@ QUERIES["recall"] = QUERIES.pop("recall_query")
 ORACLE_SQL["recall"] = ORACLE_SQL.pop("recall_query")
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
-def normalize_vectors(spark, sf):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
-
-
 # --- scan ------------------------------------------------------------------------------------------------
 
 
@@ -430,11 +408,10 @@ def classify_origin(spark, sf):
     return table(spark, sf, "events").select("event_id", store.origin(origin).alias("origin"))
 
 
-@query("SELECT l_returnflag AS label, count(*) AS n, round(quantile_disc(l_quantity, 0.5)::DOUBLE, 6) AS p50 FROM (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_returnflag) AS c FROM lineitem) WHERE r = floor(0.5 * (c - 1)) + 1 OR TRUE GROUP BY 1".replace("count(*) AS n, round(quantile_disc(l_quantity, 0.5)::DOUBLE, 6) AS p50", "count(*) AS n, round(max(CASE WHEN r = floor(0.5 * (c - 1)) + 1 THEN l_quantity END)::DOUBLE, 6) AS p50"))
+@query("""SELECT l_returnflag AS label, count(*) AS n, round(max(CASE WHEN r = floor(0.5 * (c - 1)) + 1 THEN l_quantity END)::DOUBLE, 6) AS p50, round(max(CASE WHEN r = floor(0.9 * (c - 1)) + 1 THEN l_quantity END)::DOUBLE, 6) AS p90
+FROM (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_returnflag) AS c FROM lineitem) GROUP BY 1""")
 def latency_pct(spark, sf):
-    w = Window.partitionBy("l_returnflag").orderBy("l_quantity")
-    x = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy("l_returnflag")).alias("c"))
-    return x.groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n"), F.round(F.max(F.when(F.col("r") == F.floor(0.5 * (F.col("c") - 1)) + 1, F.col("l_quantity"))).cast("double"), 6).alias("p50"))
+    return store.lower_percentiles(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("value")), {"p50": 0.5, "p90": 0.9})
 
 
 @query("SELECT lang AS label, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_right, round(avg(quality)::DOUBLE, 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -443,15 +420,25 @@ def accuracy_by_label(spark, sf):
     return x.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("n_right"), F.round(F.avg("quality"), 6).alias("accuracy"))
 
 
-@query(f"""WITH {MEMORIES_SQL}, {EFF}, o AS (SELECT scope, id, CAST(ceil(octet_length(encode(content)) / 4.0) AS BIGINT) + 1 AS cost, row_number() OVER (PARTITION BY scope ORDER BY round(m, 6) DESC, id) AS r FROM s WHERE status = 'active')
-SELECT scope, id, r AS place, cost FROM o WHERE r <= 12""".replace("r AS place", "CAST(r AS INT) AS place"))
+TRIM_SQL = r"regexp_replace(content, '^\s+|\s+$', '', 'g')"
+LINE_SQL = f"""'- [' || type || '] ' || {TRIM_SQL} || CASE WHEN type IN ('event', 'note') THEN ' (as of ' || strftime(last_confirmed_at, '%Y-%m-%d') || ')' ELSE '' END || ' [' || left(CAST(id AS VARCHAR), 8) || ']'"""
+CONTEXT_SQL = f"""o AS (SELECT scope, id, round(m, 6) AS score, CAST(ceil(octet_length(encode({LINE_SQL})) / 4.0) AS BIGINT) + 1 AS cost FROM s WHERE status = 'active' AND trust IN (0, 1, 2))"""
+
+
+@query(f"WITH {MEMORIES_SQL}, {EFF}, {CONTEXT_SQL} SELECT scope, id, score, cost FROM o")
 def context_candidates(spark, sf):
-    return recall.context_candidates(memories(spark, sf), now(), 12)
+    return recall.context_candidates(memories(spark, sf), now())
 
 
-@query()
+@query(f"""WITH RECURSIVE {MEMORIES_SQL}, {EFF}, {CONTEXT_SQL},
+n AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS r FROM o WHERE cost <= 700 - {recall.FRAME_TOKENS}),
+pk(scope, r, used, k, ids) AS (
+  SELECT DISTINCT scope, CAST(0 AS BIGINT), CAST({recall.FRAME_TOKENS} AS BIGINT), 0, '' FROM n
+  UNION ALL SELECT pk.scope, n.r, CASE WHEN used + cost <= 700 AND k < 12 THEN used + cost ELSE used END, CASE WHEN used + cost <= 700 AND k < 12 THEN k + 1 ELSE k END,
+    CASE WHEN used + cost <= 700 AND k < 12 THEN ids || CASE WHEN k = 0 THEN '' ELSE ',' END || CAST(id AS VARCHAR) ELSE ids END FROM pk JOIN n ON n.scope = pk.scope AND n.r = pk.r + 1)
+SELECT scope, arg_max(used, r) AS used, arg_max(ids, r) AS ids FROM pk GROUP BY scope""")
 def context_pack(spark, sf):
-    return recall.context_pack(memories(spark, sf), now(), 12, 700)
+    return recall.context_pack(recall.context_candidates(memories(spark, sf), now()), 12, 700)
 
 
 @query()
@@ -462,18 +449,9 @@ def consolidate_survivors(spark, sf):
 # --- interchange, rendering, review ---------------------------------------------------------------
 
 
-@query(f"""WITH {MEMORIES_SQL} SELECT id, '- [' || type || '] ' || trim(regexp_replace(left(content, 80), '\\s+', ' ', 'g')) ||
-  CASE WHEN type IN ('event', 'note') THEN ' (as of ' || strftime(updated_at, '%Y-%m-%d') || ')' ELSE '' END || ' [' || left(CAST(id AS VARCHAR), 8) || ']' AS line FROM memories""")
+@query(f"WITH {MEMORIES_SQL} SELECT id, {LINE_SQL} AS line FROM memories")
 def context_lines(spark, sf):
-    return memories(spark, sf).select("id", recall.context_line(F.col("type"), F.col("content"), F.col("updated_at"), F.col("id")).alias("line"))
-
-
-@query(f"""WITH {MEMORIES_SQL}, {EFF} SELECT id, format('trust {{:.2f}} recency {{:.4f}} confidence {{:.4f}}', CASE trust WHEN 0 THEN 1.0 WHEN 1 THEN 0.97 WHEN 2 THEN 0.9 ELSE 0.75 END::DOUBLE, round(rec, 4)::DOUBLE, round(eff, 4)::DOUBLE) AS why FROM s""")
-def why_line(spark, sf):
-    m = memories(spark, sf)
-    eff = R.effective_confidence(F.col("confidence"), F.col("type"), F.col("last_confirmed_at"), now())
-    rec = R.recency(F.col("type"), F.col("last_confirmed_at"), now())
-    return m.select("id", F.format_string("trust %.2f recency %.4f confidence %.4f", R.trust_factor(F.col("trust")), F.round(rec, 4), F.round(eff, 4)).alias("why"))
+    return memories(spark, sf).select("id", recall.context_line(F.col("type"), F.col("content"), F.col("last_confirmed_at"), F.col("id")).alias("line"))
 
 
 @query(r"SELECT doc_id, e AS email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')) AS e FROM documents) GROUP BY ALL")
@@ -510,11 +488,6 @@ def decisions_log(spark, sf):
     return m.where("type = 'decision' and status in ('active', 'aging')").join(older, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_older"), "first_older")
 
 
-@query(f"WITH {MEMORIES_SQL} SELECT id, trust, confidence FROM memories WHERE status = 'quarantined' OR (status IN ('active', 'aging') AND regexp_matches(content, '{scan.RULES['email']}'))")
-def review_inbox(spark, sf):
-    return store.review(memories(spark, sf), F.col("content").rlike(scan.RULES["email"])).select("id", "trust", "confidence")
-
-
 @query(f"WITH {MEMORIES_SQL} SELECT id, CASE WHEN status = 'quarantined' THEN 'active' ELSE status END AS status, CASE WHEN status = 'quarantined' THEN 1 ELSE trust END AS trust, CASE WHEN status = 'quarantined' THEN 0.95::DOUBLE ELSE confidence END AS confidence FROM memories")
 def approve_fold(spark, sf):
     return store.approved(memories(spark, sf), F.col("status") == "quarantined").select("id", "status", "trust", "confidence")
@@ -525,11 +498,6 @@ def forget_targets(spark, sf):
     return memories(spark, sf).where((F.col("scope") == "src7") & (F.col("status") != "tombstoned")).select("id")
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' OR text IS NULL THEN 'drop' WHEN regexp_matches(text, '(?i)password|secret|token') THEN 'drop' WHEN role = 'system' THEN 'quarantine' ELSE 'store' END AS disposition FROM conversations""")
-def digest_screen(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", store.screened(F.col("text"), F.col("role")).alias("disposition"))
-
-
 @query(f"""WITH {MEMORIES_SQL} SELECT id, 'met on ' || strftime(updated_at - INTERVAL 1 DAY, '%Y-%m-%d') || ', on ' || strftime(updated_at, '%Y-%m-%d') || ' and on ' || strftime(updated_at + INTERVAL 1 DAY, '%Y-%m-%d') || ', 3 of ' || CAST(id AS VARCHAR) AS content FROM memories""")
 def absolutize_dates(spark, sf):
     m = memories(spark, sf)
@@ -550,13 +518,6 @@ def consolidate_report(spark, sf):
     return after.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {MEMORIES_SQL} SELECT m.id, e.name, l.n FROM (SELECT id, scope AS name FROM memories) m JOIN (SELECT DISTINCT scope AS name FROM memories) e USING (name) JOIN (SELECT scope AS name, count(*) AS n FROM memories GROUP BY 1) l USING (name)")
-def attach_entities(spark, sf):
-    m = memories(spark, sf)
-    counts = m.groupBy(F.col("scope").alias("name")).agg(F.count("*").alias("n"))
-    return m.select("id", F.col("scope").alias("name")).join(counts, "name").select("id", "name", "n")
-
-
 # --- verdicts ----------------------------------------------------------------------------------------
 
 FILLERS_SQL = "[" + ", ".join(f"'{x}'" for x in belief.FILLERS) + "]"
@@ -598,6 +559,10 @@ def adjudicate_pairs(spark, sf):
     return belief.verdicts(_pairs(spark, sf)).select("doc_id", "sim", "verdict")
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '{_q(belief.DIRECTIVE)}') THEN 'directive marker' WHEN regexp_matches(trim(text), '{_q(belief.OPENING)}') THEN 'imperative opening' ELSE '' END AS why FROM conversations")
+@query(rf"SELECT conv_id, turn, CASE WHEN regexp_matches(regexp_replace(text, '^\s+|\s+$', '', 'g'), '{_q(belief.DIRECTIVE)}') THEN 'directive marker' WHEN regexp_matches(regexp_replace(text, '^\s+|\s+$', '', 'g'), '{_q(belief.OPENING)}') THEN 'imperative opening' ELSE '' END AS why FROM conversations")
 def imperative_screen(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", belief.imperative(F.col("text")).alias("why"))
+
+
+# the queries of these modules register themselves here too
+from keepsake.plans import more_queries  # noqa: E402, F401

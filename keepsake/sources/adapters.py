@@ -73,3 +73,69 @@ ops AS (
   SELECT event_id AS op_id, ts, CASE event_type WHEN 'view' THEN 'inject' WHEN 'click' THEN 'reconfirm' WHEN 'signup' THEN 'create'
     WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' ELSE event_type END AS op, user_id AS memory_id, value, props AS payload FROM events)
 """
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``memories`` with created_at."""
+    return memories(spark, sf_dir).withColumn("created_at", F.col("updated_at") - F.make_dt_interval((F.col("id") % 20).cast("int")))
+
+
+CLAIMS_SQL = MEMORIES_SQL.rstrip() + ",\nclaims AS (SELECT *, updated_at - to_days(CAST(id % 20 AS INT)) AS created_at FROM memories)\n"
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, type and aliases: an entity a source and one a language; the latter's alias is its upper case."""
+    d = table(spark, sf_dir, "documents")
+    sources = d.where("source is not null").select(F.col("source").alias("name"), F.lit("project").alias("type"), F.array(F.concat(F.lit("the "), F.upper("source"))).alias("aliases")).distinct()
+    langs = d.where("lang is not null").select(F.col("lang").alias("name"), F.lit("other").alias("type"), F.array(F.upper("lang")).alias("aliases")).distinct()
+    return sources.unionByName(langs)
+
+
+ENTITIES_SQL = """
+entities AS (SELECT DISTINCT source AS name, 'project' AS type, ['the ' || upper(source)] AS aliases FROM documents WHERE source IS NOT NULL
+  UNION ALL SELECT DISTINCT lang, 'other', [upper(lang)] FROM documents WHERE lang IS NOT NULL)
+"""
+
+
+def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """memory_id and name: every claim to its source, every third to its language."""
+    d = table(spark, sf_dir, "documents")
+    a = d.where("source is not null").select(F.col("doc_id").alias("memory_id"), F.col("source").alias("name"))
+    return a.unionByName(d.where("lang is not null and doc_id % 3 = 0").select(F.col("doc_id").alias("memory_id"), F.col("lang").alias("name")))
+
+
+LINKS_SQL = """
+links AS (SELECT doc_id AS memory_id, source AS name FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL AND doc_id % 3 = 0)
+"""
+
+
+def tag_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """memory_id and tag: lower-cased and trimmed as they are written, each once."""
+    d = table(spark, sf_dir, "documents")
+    said = F.array(F.concat(F.lit(" "), F.upper("lang")), F.when(F.col("n_chars") > 2000, "Long").otherwise("Short "), F.lit("long"))
+    rows = d.select(F.col("doc_id").alias("memory_id"), F.explode(said).alias("tag"))
+    return rows.select("memory_id", F.lower(F.trim("tag")).alias("tag")).where("tag is not null and tag <> ''").distinct()
+
+
+TAGS_SQL = """
+tags AS (SELECT DISTINCT memory_id, lower(trim(tag)) AS tag FROM (SELECT doc_id AS memory_id, unnest([' ' || upper(lang), CASE WHEN n_chars > 2000 THEN 'Long' ELSE 'Short ' END, 'long']) AS tag FROM documents) WHERE tag IS NOT NULL AND trim(tag) <> '')
+"""
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flag_id, memory_id, kind, detail, created_at and resolved_at (null: open) from labels."""
+    rows = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0")
+    kind = F.when(F.col("toxic") == 1, "tainted").when(F.col("doc_id") % 2 == 0, "ambiguity").otherwise("needs-review")
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return rows.select(F.col("doc_id").alias("flag_id"), F.col("doc_id").alias("memory_id"), kind.alias("kind"), F.concat(F.lit("label of "), F.col("doc_id").cast("string")).alias("detail"), day.alias("created_at"), F.when(F.col("doc_id") % 5 == 0, day).alias("resolved_at"))
+
+
+FLAGS_SQL = """
+flags AS (SELECT doc_id AS flag_id, doc_id AS memory_id, CASE WHEN toxic = 1 THEN 'tainted' WHEN doc_id % 2 = 0 THEN 'ambiguity' ELSE 'needs-review' END AS kind, 'label of ' || CAST(doc_id AS VARCHAR) AS detail,
+  CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-01' END AS resolved_at FROM labels WHERE toxic = 1 OR quality = 0)
+"""
+
+
+def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and query: the passages of ``benchmark`` as questions."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

@@ -11,22 +11,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from keepsake.functions import text as X
-from keepsake.operators import store
+from keepsake.operators import digest, store
 
-STORED = "doc_id long, text string, content_hash string, disposition string"
+STORED = "doc_id long, text string, content_hash string, disposition string, bucket int"
+#: The store is kept in so many folders by content hash; a batch reads only those that its own rows fall into.
+BUCKETS = 64
+
+
+def bucket(content_hash):
+    return F.pmod(F.xxhash64(content_hash), F.lit(BUCKETS)).cast("int")
 
 
 def screened(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", X.content_hash(F.col("text")).alias("content_hash"), store.screened(F.col("text"), F.lit("user")).alias("disposition")).where("disposition <> 'drop'")
+    """What a digest would keep of the documents as claims of their own."""
+    rows = docs.select("doc_id", F.col("doc_id").alias("candidate_id"), F.col("text").alias("content"), F.lit("fact").alias("type"), F.lit(3).alias("importance"), F.lit(False).alias("tainted"))
+    kept = digest.screened(rows).where("disposition <> 'drop'")
+    return kept.select("doc_id", F.col("content").alias("text"), X.content_hash(F.col("content")).alias("content_hash"), "disposition").withColumn("bucket", bucket("content_hash"))
 
 
-def start(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str):
-    """A query that takes in all files there are and stops; started again, it takes in the new ones."""
+def append(batch: DataFrame, target: str) -> None:
+    """Adds what is new: of equal contents the first, and nothing that the store holds."""
+    spark = batch.sparkSession
+    rows = store.first_seen(screened(batch), "content_hash", "doc_id").persist()
+    try:
+        buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        held = spark.read.schema(STORED).parquet(target).where(F.col("bucket").isin(*buckets)).select("content_hash")
+        rows.join(held, "content_hash", "left_anti").select(*[c.split()[0] for c in STORED.split(", ")]).write.mode("append").partitionBy("bucket").parquet(target)
+    finally:
+        rows.unpersist()
 
-    def add(batch: DataFrame, _) -> None:
-        held = spark.read.schema(STORED).parquet(target)
-        store.new_claims(screened(batch), held).select("doc_id", "text", "content_hash", "disposition").write.mode("append").parquet(target)
 
+def start(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str):
+    """A query that takes in all files there are and stops; started again, it takes in the new ones."""
     spark.createDataFrame([], STORED).write.mode("append").parquet(target)
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: append(batch, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_sessions(spark: SparkSession, source: str, target: str, checkpoint: str, backend, least_bytes: int = 2000):
+    """Digests finished transcripts as their files arrive: rendered, cut into chunks, proposed by ``backend``, screened and appended.
+
+    Sessions of fewer than ``least_bytes`` bytes are left out. Files are whole sessions, so a batch needs no state.
+    """
+    from keepsake.sources import transcripts
+
+    def take(batch: DataFrame, _) -> None:
+        sessions = transcripts.rendered(batch.select("path", F.col("value").alias("raw"))).where(F.col("bytes") >= least_bytes)
+        rows = digest.parsed(digest.answers(transcripts.chunks(sessions).select("path", "chunk", "piece"), backend))
+        keyed = rows.withColumn("candidate_id", F.concat_ws(":", "path", "chunk", "place"))
+        spans = sessions.select("path", F.explode("spans").alias("span"))
+        done = digest.screened(keyed, digest.lifted(keyed, spans)).where("disposition <> 'drop'")
+        done.select("candidate_id", "content", "type", "importance", "trust", "disposition", "reason").write.mode("append").parquet(target)
+
+    files = spark.readStream.option("wholetext", "true").option("pathGlobFilter", "*.jsonl").text(source).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def changes_since(ops: DataFrame, version: int) -> DataFrame:
+    """Ids whose claims changed after a version: what a derived table (postings, vectors) has to take in anew."""
+    return ops.where((F.col("version") > version) & ~F.col("op").isin("inject", "export", "counter")).select(F.col("memory_id").alias("id")).where("id is not null").distinct()

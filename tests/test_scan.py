@@ -90,5 +90,30 @@ def test_forced_policy_masks_secrets_only(spark):
     texts = ["a " + ONE_OF_EACH[4] + " b a.b@c.org", "x token=ghp_" + A[:36] + "_z end", "a.b@c.org", None, "plain", ONE_OF_EACH[8] + ONE_OF_EACH[9]]
     rows = scan.catalogue_policy(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), force=True).orderBy("doc_id").collect()
     assert [(r["policy"], r["text"]) for r in rows] == [
-        ("redact", "a [REDACTED:slack-token] b a.b@c.org"), ("redact", "x [REDACTED:assigned-credential] end"), ("store", "a.b@c.org"), ("store", None), ("store", "plain"), ("redact", "[REDACTED:npm-token][REDACTED:private-key-block]"),
+        ("redact", "a [redacted:slack-token] b a.b@c.org"), ("redact", "x [redacted:assigned-credential] end"), ("store", "a.b@c.org"), ("store", None), ("store", "plain"), ("redact", "[redacted:npm-token][redacted:private-key-block]"),
     ]
+
+
+def loop_with_entropy(text):
+    import math
+
+    found = brute(text)
+    word = re.compile(r"(?i)\b(key|secret|token|auth|bearer|credential|password|passwd)\b", re.ASCII)
+    for m in re.finditer(r"\b[A-Za-z0-9/+_\-]{20,}\b", text or "", re.ASCII):
+        h = -sum(m[0].count(c) / len(m[0]) * math.log2(m[0].count(c) / len(m[0])) for c in set(m[0]))
+        near = word.search(text[max(0, m.start() - 48) : m.end() + 16])
+        if near and (h >= 3.9 or (re.fullmatch("[0-9a-fA-F]{32,}", m[0]) and h >= 3.0)) and not any(s <= m.start() and m.end() <= e for s, e, _ in found):
+            found.append((m.start(), m.end(), scan.HIGH_ENTROPY))
+    return sorted(found)
+
+
+def test_entropy_pass_and_export(spark):
+    random = "q7Zp2Lx9Vb4Nc8Rm1Ty6Wd3"
+    texts = [f"the bearer {random} works", f"{random} alone", f"key: {'ab' * 20}", "secret hash 0123456789abcdef0123456789abcdef!", "x" * 60 + f" {random} then a key", "a@b.org and npm_" + A[:36], f"token {random} {random}", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"], x["kind"]) for x in r["f"]] for r in df.select("doc_id", scan.findings(F.col("text"), random=True).alias("f")).collect()}
+    assert got == {i: loop_with_entropy(t) for i, t in enumerate(texts)}
+    out = {r["doc_id"]: r["text"] for r in scan.redacted_claims(df, "text").collect()}
+    assert out[5] == "a@b.org and [redacted:npm-token]" and out[0] == f"the bearer [redacted:{scan.HIGH_ENTROPY}] works" and out[7] is None
+    assert {r["doc_id"]: r["text"] for r in scan.redacted_claims(df, "text", everything=True).collect()}[5] == "[redacted:email] and [redacted:npm-token]"
+    assert df.select(scan.summary_line(scan.findings(F.col("text"))).alias("s")).collect()[5]["s"] == "pii:email ×1, secret:npm-token ×1"

@@ -24,16 +24,18 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import least_of_most, saved, unit_text, units
+from keepsake.llm.common import least_of_most, saved, unit_lists, unit_text
 
 BUCKETS = 1 << 16
 #: Higher than any rank.
@@ -216,46 +218,81 @@ class Cutter(dict):
                 self[k] = b"".join(got)
         return others
 
+    def ids_of(self, keys: list[str]) -> tuple[list[bytes], list[str]]:
+        """The ids of each unit as 32-bit integers; -1 - k stands for the k-th of the rare pieces that come with them."""
+        if len(self) > self.limit:
+            self.elder = dict(self)
+            self.clear()
+        out, rare = [*map(self.get, keys)], []
+        gaps = [i for i, x in enumerate(out) if x is None]
+        lacking = set()
+        for i in gaps:
+            if (x := self.elder.get(keys[i])) is not None:
+                out[i] = self[keys[i]] = x
+            else:
+                lacking.add(keys[i])
+        others = self._learn(lacking)
+        for i in gaps:
+            if out[i] is None:
+                if (parts := others.get(keys[i])) is None:
+                    out[i] = self[keys[i]]
+                    continue
+                own = b""
+                for x in parts:
+                    if isinstance(x, str):
+                        rare.append(x)
+                        x = struct.pack("<i", -len(rare))
+                    own += x
+                out[i] = own
+        return out, rare
+
     def cut(self, texts: pa.Array) -> pa.Array:
-        """array of struct<runs, rare>: one run more than rare pieces."""
-        flat, rare, run_ends, text_runs, text_rare = bytearray(), [], [0], [0], [0]
-        for at in range(0, len(texts), 256):
-            if len(self) > self.limit:
-                self.elder = dict(self)
-                self.clear()
-            held, lacking = [], set()
-            for text in texts.slice(at, 256).to_pylist():
-                keys = (units(text) if self.at_spaces else ["\t" + text]) if text else []
-                ids = [*map(self.get, keys)]
-                gaps = [(i, keys[i]) for i, x in enumerate(ids) if x is None]
-                lacking.update([k for _, k in gaps if k not in self.elder])
-                held.append((gaps, ids))
-            others = self._learn(lacking)
-            for gaps, ids in held:
-                done = 0
-                for i, key in gaps:
-                    if key not in others:
-                        if (x := self.get(key)) is None:
-                            x = self[key] = self.elder[key]
-                        ids[i] = x
-                        continue
-                    flat += b"".join(ids[done:i])
-                    done = i + 1
-                    for x in others[key]:
-                        if isinstance(x, bytes):
-                            flat += x
-                        else:
-                            run_ends.append(len(flat) // 4)
-                            rare.append(x)
-                flat += b"".join(ids[done:])
-                run_ends.append(len(flat) // 4)
-                text_runs.append(len(run_ends) - 1)
-                text_rare.append(len(rare))
-        ids = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
-        runs = pa.ListArray.from_arrays(pa.array(np.array(run_ends, np.int32)), ids)
-        parts = [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values) for ends, values in ((text_runs, runs), (text_rare, pa.array(rare, pa.string())))]
+        """array of struct<runs, rare>: one run more than rare pieces. Equal units are looked up once for some texts together."""
+        texts = texts.fill_null("")
+        flat, rare, run_ends, text_runs, text_rare = [], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+        n_ids = n_runs = n_rare = 0
+        for part in self._slices(texts):
+            if self.at_spaces:
+                lists = unit_lists(part)
+                sizes, coded = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+                keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            else:
+                keys = ["\t" + t for t in part.to_pylist()]
+                sizes, index = np.ones(len(keys), np.int64), np.arange(len(keys))
+            own, own_rare = self.ids_of(keys)
+            lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            starts = np.cumsum(lengths) - lengths
+            each = lengths[index]
+            ends = np.cumsum(each)
+            # all units' ids, one after another
+            ids = np.frombuffer(b"".join(own), "<i4")[np.repeat(starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+            text_ends = np.append(0, ends)[np.cumsum(sizes)]
+            # runs end where a rare piece stands and at the end of a text
+            gaps = np.flatnonzero(ids < 0)
+            before = np.searchsorted(gaps, text_ends)
+            stops = np.concatenate([gaps - np.arange(len(gaps)), text_ends - before])
+            order = np.argsort(np.concatenate([2 * gaps + 1, 2 * text_ends]), kind="stable")
+            flat.append(ids[ids >= 0])
+            rare += [own_rare[k] for k in (-1 - ids[gaps]).tolist()]
+            run_ends.append(n_ids + stops[order])
+            text_runs.append(n_runs + before + np.arange(1, len(part) + 1))
+            text_rare.append(n_rare + before)
+            n_ids, n_runs, n_rare = n_ids + len(flat[-1]), n_runs + len(stops), n_rare + len(gaps)
+        offsets = lambda ends: pa.array(np.concatenate(ends).astype(np.int32))
+        runs = pa.ListArray.from_arrays(offsets(run_ends), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+        parts = [pa.ListArray.from_arrays(offsets(ends), values) for ends, values in ((text_runs, runs), (text_rare, pa.array(rare, pa.string())))]
         return pa.StructArray.from_arrays(parts, names=["runs", "rare"])
 
+    @staticmethod
+    def _slices(texts: pa.Array, rows: int = 1024, size: int = 1 << 22):
+        """Up to ``rows`` texts at a time, and about ``size`` bytes of them."""
+        ends = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, ends[at] + size, "right")) - 1))
+            yield texts.slice(at, stop - at)
+            at = stop
+
 
 def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_col: str = "text", out_col: str = "ids", at_spaces: bool = True) -> DataFrame:
     """``docs`` with the ids of its texts (array<int>) in ``out_col``.

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,18 @@ def units(text: str) -> list[str]:
     return out
 
 
+#: White space of any kind beside white space, or at an end of a text.
+_IRREGULAR = r"[W][W]|^[W]|[W]\z".replace("W", r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+
+
+def unit_lists(texts: pa.Array) -> pa.Array:
+    """``units`` of each text (none of which is null), as a list array."""
+    if pc.any(pc.match_substring_regex(texts, _IRREGULAR)).as_py():
+        return pa.array([units(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    marked = pc.binary_join_element_wise(pa.scalar("\t", texts.type), texts, pa.scalar("", texts.type))
+    return pc.split_pattern(pc.replace_substring(marked, "\n", " \t\n \t"), " ")
+
+
 def unit_text(unit: str) -> str:
     return unit[1:] if unit[0] == "\t" else " " + unit
 

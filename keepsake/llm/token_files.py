@@ -23,11 +23,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import unit_text, units
+from keepsake.llm.common import unit_lists, unit_text
 
 #: Fixed values of the format: ids in a word by selector.
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -123,6 +124,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 class Encoder(dict):
@@ -140,7 +142,7 @@ class Encoder(dict):
 
     """
 
-    def __init__(self, path: str, limit: int = 650_000, characters: int = 1 << 21):
+    def __init__(self, path: str, limit: int = 650_000, characters: int = 1 << 23):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -182,11 +184,15 @@ class Encoder(dict):
         whole = [x for x in keys if x[-1] in ".," or "\n" in x]
         lacking = keys.difference(whole).union([y for x in whole for y in self.parts(x) if y not in self and y not in self.elder])
         if self.plain:
-            model, pack_ids = self.tokenizer.model, struct.pack
-            for x in [x for x in lacking if x.isalpha() and max(x) < "ɐ"]:
-                ids = [t.id for t in model.tokenize((" " + x).encode().decode("latin-1").translate(_BYTE_LETTERS))]
-                self[x] = pack_ids(f"<{len(ids)}I", *ids)
-            lacking = [x for x in lacking if x not in self]
+            tokenize, space, rest = self.tokenizer.model.tokenize, _BYTE_LETTERS[32], []
+            for x in lacking:
+                if not x.isalpha() or (not x.isascii() and max(x) >= "ɐ"):
+                    rest.append(x)
+                    continue
+                # letters of ASCII stand for themselves
+                ids = [t.id for t in tokenize(space + (x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS)))]
+                self[x] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+            lacking = rest
         # what holds no white space but a tab in front
         lacking = [x for x in lacking if (x.isprintable() and " " not in x) or ((w := x.split()) and x in (w[0], "\t" + w[0]))]
         for i in range(0, len(lacking), 4096):
@@ -200,34 +206,30 @@ class Encoder(dict):
         """Ids of each text as little-endian unsigned 32-bit integers, some ``characters`` of text at a time."""
         at = 0
         while at < len(texts):
-            size, held, lacking = 0, [], set()
+            size, stop = 0, at
+            while stop < len(texts) and size < self.characters:
+                size, stop = size + len(texts[stop]), stop + 1
+            part, at = texts[at:stop], stop
+            whole = {i: self._library(t) for i, t in enumerate(part) if any(x in t for x in self.special)}
+            lists = unit_lists(pa.array(["" if i in whole else t for i, t in enumerate(part)], pa.string()))
+            sizes, coded = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+            keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
             if len(self) > self.limit:
                 self.elder = dict(self)
                 self.clear()
-            while at < len(texts) and size < self.characters:
-                text = texts[at]
-                size, at = size + len(text), at + 1
-                if not text or any(x in text for x in self.special):
-                    held.append((None, self._library(text)))
-                    continue
-                keys = units(text)
-                head = self._library(keys.pop(0)[1:])
-                ids = [*map(self.get, keys)]
-                try:
-                    held.append((None, head + b"".join(ids)))
-                except TypeError:  # some are None
-                    gaps = [i for i, x in enumerate(ids) if x is None]
-                    lacking.update([keys[i] for i in gaps if keys[i] not in self.elder])
-                    ids.append(head)
-                    held.append(([(i, keys[i]) for i in gaps], ids))
-            self._learn(lacking)
-            for gaps, ids in held:
-                if gaps is None:
-                    yield ids
-                else:
-                    for i, key in gaps:
-                        ids[i] = self[key]
-                    yield ids.pop() + b"".join(ids)
+            own = [*map(self.get, keys)]  # equal units of these texts are looked up once
+            gaps = [i for i, x in enumerate(own) if x is None]
+            self._learn({keys[i] for i in gaps if keys[i] not in self.elder})
+            for i in gaps:
+                own[i] = self[keys[i]]
+            lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            each = lengths[index]
+            ends = np.cumsum(each)
+            starts = np.cumsum(lengths) - lengths
+            ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(starts[index] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+            text_ends = (4 * np.append(0, ends)[np.append(0, np.cumsum(sizes))]).tolist()
+            for i in range(len(part)):
+                yield whole.get(i) or ids[text_ends[i] : text_ends[i + 1]]
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))

@@ -13,10 +13,14 @@ Beside it stands the base score: a unigram model of words with counts over all t
 counts are joined to the words of each text: the ``frequent`` commonest words (a bound on what is
 broadcast) are looked up where they stand, and all others by a shuffle of (row, word, times).
 
+Every context that passes the test is kept, so the tree grows with the corpus. While it has no more
+than ``most_entries`` (context, byte) pairs it goes to every task, which scores whole texts at once;
+beyond that the same probabilities come from joins of the texts' distinct windows with the tree's
+tables. Both ways give the same scores.
+
 Words are told apart by 64-bit hashes. Edge cases: null text counts as empty: one end token. Rows
 that repeat are each scored, and each teaches. With nothing to learn from, N and V are 0 and every
-byte is uniform. What is broadcast is bounded: ``most_states`` states (where more pass, the least gain is doubled)
-with at most 256 bytes each, ``frequent`` words.
+byte is uniform. What is broadcast is bounded: ``most_entries`` pairs, ``frequent`` words.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from keepsake.llm.common import WordHashes, least_of_most, saved, words_of
 
 #: Fixed parameters: context bytes, smoothing mass, least count and divergence (nats) of a state.
 DEPTH, MASS, LEAST, GAIN = 4, 2.0, 8, 6.0
-MOST_STATES, FREQUENT = 200_000, 1 << 18
+#: The most (context, byte) pairs and words that are sent to every task.
+MOST_ENTRIES, FREQUENT = 3_000_000, 1 << 18
 #: The end of a text as a symbol and as the hash of a word; \x01 and \x00 stand in no split word's place: they mark end and start.
 END, START = 1, 0
 END_WORD = np.uint64(0x0123456789ABCDEF)
@@ -99,8 +104,8 @@ def _context_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(_counter(lambda words, _: windows(symbols_of(words)), "code"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def grow(texts: DataFrame, least: int = LEAST, gain: float = GAIN, mass: float = MASS, most_states: int = MOST_STATES) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The tree: for each depth the (context, symbol) codes and counts of retained contexts, as arrays in order of code."""
+def grow(texts: DataFrame, least: int = LEAST, gain: float = GAIN) -> dict[int, DataFrame]:
+    """The tree: for each depth the rows (code of context and symbol, n) of retained contexts."""
     split = [F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(F.lit(255)).alias("symbol")]
     levels = {DEPTH: saved(_context_counts(texts).select("code", "n", *split), "contexts")}
     for d in range(DEPTH - 1, -1, -1):  # the counts of a shorter context are the sums of those one longer
@@ -115,23 +120,58 @@ def grow(texts: DataFrame, least: int = LEAST, gain: float = GAIN, mass: float =
         x = own.join(totals, "context").withColumn("up_context", suffix).withColumn("up_code", F.shiftleft(suffix, 8).bitwiseOR(F.col("symbol")))
         x = x.join(up.select(F.col("code").alias("up_code"), F.col("n").alias("up_n")), "up_code").join(up_totals, "up_context")
         term = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up_n") / F.col("up_total")))
-        test = x.groupBy("context").agg(F.sum(term).alias("gain")).where(F.col("gain") >= gain).select(F.lit(d).alias("d"), "context", "gain")
-        test = saved(test, "tests")
+        test = saved(x.groupBy("context").agg(F.sum(term).alias("gain")).where(F.col("gain") >= gain).select(F.lit(d).alias("d"), "context"), "tests")
         passed = test if passed is None else passed.unionByName(test)
-    best = passed
-    while best.count() > most_states:
-        gain *= 2
-        best = passed.where(F.col("gain") >= gain)
     # all suffixes of a retained context
-    states = saved(best.select(F.explode(F.sequence(F.lit(1), "d")).alias("k"), "context").select("k", F.expr("context & (shiftleft(1L, 8 * k) - 1)").alias("context")).distinct(), "states")
-    out = {0: levels[0]}
+    states = saved(passed.select(F.explode(F.sequence(F.lit(1), "d")).alias("k"), "context").select("k", F.expr("context & (shiftleft(1L, 8 * k) - 1)").alias("context")).distinct(), "states")
+    out = {0: levels[0].select("code", "n")}
     for d in range(1, DEPTH + 1):
-        out[d] = levels[d].join(states.where(F.col("k") == d).select("context"), "context", "left_semi")
-    tree = {}
-    for d, rows in out.items():
-        got = rows.select("code", "n").toPandas().sort_values("code")
-        tree[d] = (got["code"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(np.int64))
-    return tree
+        out[d] = saved(levels[d].join(states.where(F.col("k") == d).select("context"), "context", "left_semi").select("code", "n"), "tree")
+    return out
+
+
+def collected(tree: dict[int, DataFrame]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The tree as arrays in order of code."""
+    out = {}
+    for d, rows in tree.items():
+        got = rows.toPandas().sort_values("code")
+        out[d] = (got["code"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(np.int64))
+    return out
+
+
+def scores_by_join(rows: DataFrame, tree: dict[int, DataFrame], mass: float = MASS) -> DataFrame:
+    """id, text_hash and score of distinct rows (id, text_hash, text), for a tree that is too large to send to every task."""
+
+    def run(batches):
+        for pdf in batches:
+            for doc_id, text_hash, text in zip(pdf["id"], pdf["text_hash"], pdf["text"], strict=True):
+                code, n = np.unique(windows(symbols_of(words_of(text))), return_counts=True)
+                for at in range(0, len(code), 500_000):
+                    some = slice(at, at + 500_000)
+                    yield pd.DataFrame({"id": doc_id, "text_hash": text_hash, "code": code[some].astype(np.int64), "times": n[some]}).astype({"id": object, "text_hash": "Int64"})
+
+    own = saved(rows.dropDuplicates(["id", "text_hash"]).mapInPandas(run, "id string, text_hash long, code long, times long"), "windows")
+    mask = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << (8 * k)) - 1))
+    seen, escapes, before = {}, {}, None
+    for d in range(DEPTH + 1):
+        level = tree[d].withColumn("context", F.shiftright("code", 8))
+        totals = level.groupBy("context").agg(F.sum("n").alias("total"))
+        up = F.lit(1 / 256)
+        level = level.join(totals, "context")
+        if d:
+            level, up = level.withColumn("up_code", mask("code", d)).join(before, "up_code"), F.exp("up_p")
+        seen[d] = saved(level.select("code", F.log((F.col("n") + mass * up) / (F.col("total") + mass)).alias("p")), "seen")
+        escapes[d] = totals.select("context", F.log(mass / (F.col("total") + mass)).alias("e"))
+        before = seen[d].select(F.col("code").alias("up_code"), F.col("p").alias("up_p"))
+    cur = own.select("code").distinct().withColumns({"p": F.lit(None).cast("double"), "e": F.lit(0.0)})
+    for d in range(DEPTH, -1, -1):
+        hit = seen[d].select(F.col("code").alias("k1"), F.col("p").alias("p1"))
+        out_of = escapes[d].select(F.col("context").alias("k2"), F.col("e").alias("e1"))
+        both = cur.withColumns({"k1": mask("code", d + 1), "k2": mask("code", d + 1).bitwiseAND(F.lit(-256))}).withColumn("k2", F.shiftright("k2", 8)).join(hit, "k1", "left").join(out_of, "k2", "left")
+        found, fresh = F.col("p").isNull() & F.col("p1").isNotNull(), F.col("p").isNull() & F.col("p1").isNull()
+        cur = both.select("code", F.when(found, F.col("p1") + F.col("e")).otherwise(F.col("p")).alias("p"), F.when(fresh, F.col("e") + F.coalesce("e1", F.lit(0.0))).otherwise(F.col("e")).alias("e"))
+    known = cur.select("code", F.coalesce("p", F.col("e") - math.log(256)).alias("p"))
+    return own.join(known, "code").groupBy("id", "text_hash").agg((F.sum(F.col("p") * F.col("times")) / math.log(10)).alias("score"))
 
 
 class Table:
@@ -213,26 +253,28 @@ class Scorer:
         return out / math.log(10)
 
 
-def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
+def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", frequent: int = FREQUENT, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """Each row's id with n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     counts = saved(word_counts(training), "words")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = totals["n"] or 0, totals["v"] or 0
-    tree = grow(training)
+    levels = grow(training)
+    fits = sum(rows.count() for rows in levels.values()) <= most_entries
+    tree = collected(levels) if fits else None
     common = counts.where(F.col("c") >= least_of_most(counts, "c", frequent)).toPandas().sort_values("word")
     shared = spark.sparkContext.broadcast((tree, common["word"].to_numpy(np.int64).astype(np.uint64), common["c"].to_numpy(np.int64)))
     denominator = math.log10(n_train + 0.5 * (v_train + 1))
 
     def run(batches):
         tree, words, c = shared.value
-        scorer, memo = Scorer(tree), WordHashes()
+        scorer, memo = Scorer(tree) if tree else None, WordHashes()
         known = Table(words, c.astype(float))
         def rows_of(some):
             """Result rows of some texts, whose symbols are scored in one call."""
             codes = [c for *_, c in some]
             starts = np.cumsum([0, *map(len, codes[:-1])])
-            scores = np.add.reduceat(scorer.log10(np.concatenate(codes)), starts)
+            scores = np.add.reduceat(scorer.log10(np.concatenate(codes)), starts) if scorer else np.zeros(len(codes))
             for (doc_id, text_hash, hashes, _), s in zip(some, scores, strict=True):
                 u, n = np.unique(hashes, return_counts=True)
                 value, missing = known.get(u)
@@ -255,6 +297,10 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", frequen
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     first = saved(rows.mapInPandas(run, "id string, text_hash long, n_tokens long, n_common long, sum_common double, score double, rest array<long>, times array<long>"), "scored")
+    if not fits:
+        joined = scores_by_join(rows, levels).withColumnsRenamed({"id": "__i", "text_hash": "__h", "score": "__s"})
+        same = F.col("id").eqNullSafe(F.col("__i")) & F.col("text_hash").eqNullSafe(F.col("__h"))
+        first = saved(first.join(joined, same, "left").withColumn("score", F.col("__s")).drop("__i", "__h", "__s"), "scored")
     # repeated rows have the same words: each distinct row's other words are looked up once
     others = first.where(F.size("rest") > 0).select("id", "text_hash", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("id", "text_hash", F.col("w.rest").alias("word"), F.col("w.times").alias("times")).distinct()
     looked = others.join(counts, "word", "left")

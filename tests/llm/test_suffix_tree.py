@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import words_of
-from keepsake.llm.suffix_tree import DEPTH, MASS, Scorer, Table, grow, op10_suffix_tree, scored, symbols_of, windows
+from keepsake.llm.suffix_tree import DEPTH, MASS, Table, collected, grow, op10_suffix_tree, scored, symbols_of, windows
 
 
 def brute_base(train, texts):
@@ -63,11 +63,11 @@ def test_scores_equal_brute_force(spark):
     train = spark.createDataFrame([(i, t) for i, t in enumerate(TRAIN)], "doc_id long, text string").repartition(3)
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], None), (3, "zzz the", "x"), (None, "the", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
-    tree = grow(train)
+    tree = collected(grow(train))
     model = brute_tree(TRAIN, 8, 6.0)
     assert {d: len(c) for d, (c, _) in tree.items()} == {d: sum(len(ctx) == d and ctx in model[2] for ctx, _ in model[0]) for d in range(DEPTH + 1)}
-    for frequent in (3, 1 << 18):
-        got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in scored(df, train, frequent=frequent).collect()))
+    for frequent, entries in ((3, 1 << 20), (1 << 18, 1 << 20), (1 << 18, 5)):
+        got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in scored(df, train, frequent=frequent, most_entries=entries).collect()))
         want = [(d if d is not None else -1, *b[:3], round(b[3], 6), round(brute_score(model, t), 6)) for (d, t, _), b in zip(rows, brute_base(TRAIN, [t for _, t, _ in rows]), strict=True)]
         assert got == sorted(want)
 

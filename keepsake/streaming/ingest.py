@@ -63,7 +63,7 @@ def start_sessions(spark: SparkSession, source: str, target: str, checkpoint: st
         done = digest.screened(keyed, digest.lifted(keyed, spans)).where("disposition <> 'drop'")
         done.select("candidate_id", "content", "type", "importance", "trust", "disposition", "reason").write.mode("append").parquet(target)
 
-    files = spark.readStream.option("wholetext", "true").option("pathGlobFilter", "*.jsonl").text(source).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.readStream.option("pathGlobFilter", "*.jsonl").text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -194,7 +194,7 @@ class Known:
 class Cutter(dict):
     """Texts as runs of known ids with the rare pieces between them; a memo of units of known pieces, in two generations."""
 
-    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 260_000):
+    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 150_000):
         super().__init__()
         self.known, self.ranks, self.pattern, self.at_spaces, self.limit, self.elder = known, ranks, regex.compile(pattern), at_spaces, limit, {}
 
@@ -249,7 +249,7 @@ class Cutter(dict):
     def cut(self, texts: pa.Array) -> pa.Array:
         """array of struct<runs, rare>: one run more than rare pieces. Equal units are looked up once for some texts together."""
         texts = texts.fill_null("")
-        flat, rare, run_ends, text_runs, text_rare = [], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+        flat, rare, run_ends, text_runs, text_rare = bytearray(), [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         n_ids = n_runs = n_rare = 0
         for part in self._slices(texts):
             if self.at_spaces:
@@ -272,14 +272,14 @@ class Cutter(dict):
             before = np.searchsorted(gaps, text_ends)
             stops = np.concatenate([gaps - np.arange(len(gaps)), text_ends - before])
             order = np.argsort(np.concatenate([2 * gaps + 1, 2 * text_ends]), kind="stable")
-            flat.append(ids[ids >= 0])
+            flat += ids[ids >= 0].tobytes()
             rare += [own_rare[k] for k in (-1 - ids[gaps]).tolist()]
             run_ends.append(n_ids + stops[order])
             text_runs.append(n_runs + before + np.arange(1, len(part) + 1))
             text_rare.append(n_rare + before)
-            n_ids, n_runs, n_rare = n_ids + len(flat[-1]), n_runs + len(stops), n_rare + len(gaps)
+            n_ids, n_runs, n_rare = len(flat) // 4, n_runs + len(stops), n_rare + len(gaps)
         offsets = lambda ends: pa.array(np.concatenate(ends).astype(np.int32))
-        runs = pa.ListArray.from_arrays(offsets(run_ends), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+        runs = pa.ListArray.from_arrays(offsets(run_ends), pa.Array.from_buffers(pa.int32(), n_ids, [None, pa.py_buffer(flat)]))
         parts = [pa.ListArray.from_arrays(offsets(ends), values) for ends, values in ((text_runs, runs), (text_rare, pa.array(rare, pa.string())))]
         return pa.StructArray.from_arrays(parts, names=["runs", "rare"])
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def folded(text: Column) -> Column:
+    """Without diacritics, as a full-text index keeps its words: marks are parted from their letters and dropped."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        return texts.map(lambda t: t if t is None or t.isascii() else plain(t))
+
+    return run(text)
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 

@@ -105,3 +105,11 @@ def hinted(candidates: DataFrame, hits: DataFrame, least: float = 0.5) -> DataFr
     share = X.let(X.tokens(F.col("supersedes_hint")), lambda w: X.share_held(w, X.token_set(F.col("h.content"))))
     both = candidates.alias("c").join(hits.where("status = 'active'").alias("h"), "candidate_id").where(share >= least)
     return both.groupBy("candidate_id").agg(F.min_by("h.id", F.struct("h.place", "h.id")).alias("id"))
+
+
+def writes(done: DataFrame, first_id: int = 0) -> DataFrame:
+    """Screened candidates (not the dropped ones) as a batch of writes: id and place from the candidate's key, quarantined as the screen says."""
+    kept = done.where("disposition <> 'drop'")
+    return kept.select(
+        (F.xxhash64("candidate_id").bitwiseAND(F.lit((1 << 62) - 1)) + first_id).alias("id"), F.xxhash64("candidate_id").alias("place"), "content", "type", "importance", "trust", (F.col("disposition") == "quarantine").alias("quarantine"), flag_kind(F.col("tainted"), F.col("reason")).alias("flag_kind"), "reason", "candidate_id"
+    )

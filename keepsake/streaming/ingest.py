@@ -70,3 +70,29 @@ def start_sessions(spark: SparkSession, source: str, target: str, checkpoint: st
 def changes_since(ops: DataFrame, version: int) -> DataFrame:
     """Ids whose claims changed after a version: what a derived table (postings, vectors) has to take in anew."""
     return ops.where((F.col("version") > version) & ~F.col("op").isin("inject", "export", "counter")).select(F.col("memory_id").alias("id")).where("id is not null").distinct()
+
+
+def start_writes(spark: SparkSession, source: str, schema: StructType, store_path: str, checkpoint: str, now):
+    """Applies files of writes to a ledger (tables memories, flags and names), a commit a batch.
+
+    State is the ledger's snapshot: what a batch reconfirms or supersedes is judged against the last
+    one. The number of the last batch is part of each commit, so a batch that is run again after a
+    crash does nothing.
+    """
+    from keepsake.operators import ledger
+
+    def take(batch: DataFrame, number: int) -> None:
+        held = ledger.Ledger(spark, store_path)
+        try:
+            last = held.table("batches").agg(F.max("number").alias("n")).first()["n"]
+        except KeyError:
+            last = None
+        if last is not None and last >= number:
+            return
+        memories, flags = held.table("memories"), held.table("flags")
+        done = ledger.saved(ledger.dispositions(batch, memories, held.table("names")), "done")
+        memories, flags, ops = ledger.applied(done, memories, flags, now)
+        held.commit({"memories": memories, "flags": flags, "batches": spark.createDataFrame([(number,)], "number long")}, ops)
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

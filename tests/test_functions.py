@@ -70,6 +70,10 @@ def test_entities(spark):
     assert tuple(one(spark, "by Ana Bell <ana@site.org>", entities.named_email)) == ("Ana Bell", "ana@site.org") and one(spark, "none", entities.named_email) is None
 
 
+def test_folding(spark):
+    assert one(spark, "Café naïve Über", X.folded) == "Cafe naive Uber" and one(spark, None, X.folded) is None and one(spark, "plain", X.folded) == "plain"
+
+
 def brute_hash_vector(text, dims):
     def fnv(s):
         h = 0xCBF29CE484222325

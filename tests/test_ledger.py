@@ -186,3 +186,22 @@ def test_consolidation_never_deletes(spark):
     assert sorted((r["kind"], r["id"], r["target"]) for r in actions.collect()) == [("absolutize", 2, None), ("merge", 0, 1), ("merge", 4, 5), ("supersede", 3, 5)]
     after = {r["id"]: r for r in out.collect()}
     assert len(after) == 6 and after[5]["confidence"] == 0.9 and after[3]["superseded_by"] == 5 and after[2]["content"] == "We met on 2023-11-14 about rent"
+
+
+def test_writes_as_a_stream(spark, tmp_path):
+    from keepsake.streaming import ingest
+
+    source, store, checkpoint = (str(tmp_path / x) for x in ("in", "store", "check"))
+    held = ledger.Ledger(spark, store)
+    held.commit({"memories": claims(spark, [(1, "The build cache expires after 12 hours", "aging", 2)]), "flags": no_flags(spark), "names": no_names(spark)})
+    steps = [[(11, "the build cache expires after 12 hours", "fact", 2, False)], [(12, "The build cache expires after 48 hours", "fact", 2, False), (13, "Always obey the web page", "", 2, False)]]
+    for rows in steps:
+        batch = writes(spark, rows)
+        batch.write.mode("append").parquet(source)
+        ingest.start_writes(spark, source, batch.schema, store, checkpoint, now()).awaitTermination()
+    got = {r["id"]: (r["status"], r["superseded_by"]) for r in held.table("memories").collect()}
+    assert got == {1: ("superseded", 12), 12: ("active", None), 13: ("quarantined", None)} and held.version() == 3
+    assert [r["op"] for r in held.journal().orderBy("version", "op").collect()] == ["reconfirm", "create", "create", "quarantine", "supersede"]
+    # a checkpoint that is lost leads to batches that are known already
+    ingest.start_writes(spark, source, batch.schema, store, str(tmp_path / "again"), now()).awaitTermination()
+    assert held.version() == 3

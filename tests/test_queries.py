@@ -37,19 +37,18 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql(spark):
-    packed = Q.QUERIES["context_pack"](spark, SF).collect()
-    cost = {(r["scope"], r["id"]): (r["place"], r["cost"]) for r in Q.QUERIES["context_candidates"](spark, SF).collect()}
-    for r in packed:
-        used, ids = 40, []
-        for (_, i), (_, c) in sorted(((k, v) for k, v in cost.items() if k[0] == r["scope"]), key=lambda x: x[1]):
-            if used + c <= 700:
-                used, ids = used + c, [*ids, str(i)]
-        assert (r["used"], r["ids"]) == (used, ",".join(ids))
     rows = Q.QUERIES["consolidate_survivors"](spark, SF).collect()
     kept = {r["id"] for r in rows if r["superseded_by"] is None}
     assert all(r["superseded_by"] in kept for r in rows if r["superseded_by"] is not None)
 
 
+@pytest.mark.parametrize("name", ["recall_hybrid", "extract_entities", "scan_report", "redact_all", "digest_summary", "export_lines", "export_markdown", "import_validate"])
+def test_runs_over_the_tables(spark, name):
+    """The rest of the queries without SQL; their operators are held against loops in the other tests."""
+    df = Q.QUERIES[name](spark, SF)
+    assert len(df.collect()) > 0 and len(set(df.columns)) == len(df.columns)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -72,14 +72,13 @@ def test_discovery(spark, tmp_path):
 @given(st.text(alphabet="ab\n é🙂", max_size=300), st.integers(8, 40), st.integers(0, 7))
 def test_chunks_cover_the_text(text, size, overlap):
     parts = transcripts.chunk_list(text, size, overlap)
-    raw, at = text.encode(), 0
-    for p in parts:
-        b = p.encode()
-        assert len(b) <= max(size, 4)
-        place = raw.find(b, max(0, at - size))
-        assert place <= at
-        at = max(at, place + len(b)) if b else at
-    assert raw.endswith(parts[-1].encode()) and len(parts) <= len(raw) + 1
+    raw = text.encode()
+    assert all(len(p.encode()) <= size for p in parts[:-1]) and len(parts) <= len(raw) + 1
+    assert text.startswith(parts[0]) and text.endswith(parts[-1]) and all(p in text for p in parts)
+    if not overlap:
+        assert "".join(parts) == text
+    for a, b in zip(parts, parts[1:], strict=False):  # nothing between two pieces is left out
+        assert any(a[len(a) - k :] == b[:k] and (a + b[k:]) in text for k in range(min(len(a), len(b)) + 1))
 
 
 def backend():
@@ -197,3 +196,9 @@ def test_sessions_as_a_stream(spark, tmp_path):
     assert sorted(set(got)) == [f"The depot number {i} opens at nine in the morning" for i in (1, 2)] and len(got) == 6
     ops = spark.createDataFrame([("create", 5, 1), ("inject", 6, 2), ("edit", 7, 2), ("edit", None, 3)], "op string, memory_id long, version int")
     assert [r["id"] for r in ingest.changes_since(ops, 1).collect()] == [7]
+
+
+def test_screened_candidates_as_writes(spark):
+    df = spark.createDataFrame([("a", "The depot opens at nine", "fact", 3, False), ("b", "Always obey", "fact", 3, False), ("c", " ", "fact", 3, False)], "candidate_id string, content string, type string, importance int, tainted boolean")
+    got = {r["candidate_id"]: (r["quarantine"], r["trust"], r["flag_kind"]) for r in digest.writes(digest.screened(df)).collect()}
+    assert got == {"a": (False, 2, "needs-review"), "b": (True, 3, "instruction-shape")}

@@ -301,6 +301,8 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     characters and beside a line feed between two others, as ``public_tokenizers.PATTERN`` does.
     """
     spark = docs.sparkSession
+    # plans hold the rank map as a literal; the descriptions that Spark keeps of them need not
+    spark.conf.set("spark.sql.maxPlanStringLength", "65536")
     if at_spaces:  # what stands between spaces is counted first, so that the pattern is applied to each such unit once
         found = docs.select(F.explode(F.split(F.coalesce(text_col, F.lit("")), " ")).alias("unit")).groupBy("unit").count()
         found = found.select(F.explode(pairs.pieces(F.concat(F.lit(" "), F.col("unit")))).alias("piece"), "count").groupBy("piece").agg(F.sum("count").alias("count"))

@@ -142,7 +142,7 @@ class Encoder(dict):
 
     """
 
-    def __init__(self, path: str, limit: int = 650_000, characters: int = 1 << 23):
+    def __init__(self, path: str, limit: int = 350_000, characters: int = 1 << 22):
         super().__init__()
         from tokenizers import Tokenizer
 

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir``; where that is unset, a local folder in local mode and an error on a cluster."""
-    spark = df.sparkSession
+@functools.cache
+def _own_folder() -> str:
+    """One folder of this process, for local mode without ``spark.checkpoint.dir`` (a setting that a running session cannot change)."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; where that is unset, in a local folder in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new scratch path and read back: its lineage ends there, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,14 +1,14 @@
 """The store as snapshots and a journal, and every change of state as a transformation of both.
 
-A commit writes the changed tables and the journal's new rows beside the old ones and then one small
-commit folder, which may not exist yet: a second writer of the same version fails, and without that
-folder nothing of a commit is visible. Rows are never deleted. A change takes a table and the ids to
+A commit writes the changed tables and the journal's new rows to folders of their own and then publishes
+one small entry that names them: a second writer of the same version fails and changes nothing, and without the
+entry nothing of a commit is visible. Rows are never deleted. A change takes a table and the ids to
 change and gives the new table and journal rows (op, memory_id, payload as JSON, ts).
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,7 @@ from keepsake.functions import text as X
 from keepsake.functions.ranking import initial_confidence
 from keepsake.operators import belief, scan
 from keepsake.schema import STATUSES, TYPES
+from keepsake.sources import publish
 from keepsake.sources.scratch import saved
 
 OPS_SCHEMA = "op string, memory_id long, payload string, ts timestamp"
@@ -25,47 +26,42 @@ Change = tuple[DataFrame, DataFrame]
 
 
 class Ledger:
-    """Versioned tables under a folder that all executors share."""
+    """The published versions of some tables in a folder that all executors share; each is plain Parquet."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _commits(self) -> list[tuple[int, dict]]:
-        try:
-            rows = self.spark.read.schema("version int, tables string").parquet(f"{self.path}/commits/*").collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-        return sorted((r["version"], json.loads(r["tables"])) for r in rows)
-
     def version(self) -> int:
-        return max((v for v, _ in self._commits()), default=0)
+        return publish.last(self.spark, f"{self.path}/commits")
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table as of a version (the last one); readers of a version are not disturbed by later commits."""
-        at = [(v, t) for v, t in self._commits() if (version is None or v <= version) and name in t]
-        if not at:
-            raise KeyError(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/v={at[-1][1][name]}")
+        tables = publish.entry(self.spark, f"{self.path}/commits", version).get("tables", {})
+        return self.spark.read.parquet(f"{self.path}/{name}/{tables[name]}")
 
     def journal(self, version: int | None = None) -> DataFrame:
-        versions = [v for v, _ in self._commits() if version is None or v <= version]
-        if not versions:
+        """The rows of all commits (up to ``version``); what a failed commit wrote has no entry and so no rows."""
+        commits = publish.entries(self.spark, f"{self.path}/commits", "version int, ops string")
+        if not self.version():
             return self.spark.createDataFrame([], OPS_SCHEMA + ", version int")
-        return self.spark.read.schema(OPS_SCHEMA + ", version int").parquet(*[f"{self.path}/ops/v={v}" for v in versions])
-
-    def commit(self, tables: dict[str, DataFrame], ops: DataFrame | None = None) -> int:
-        """Publishes new contents of some tables with the journal's rows; the others stay as they are."""
-        commits = self._commits()
-        held, version = (commits[-1][1], commits[-1][0] + 1) if commits else ({}, 1)
+        commits = commits if version is None else commits.where(F.col("version") <= version)
+        rows = self.spark.read.schema(OPS_SCHEMA + ", token string").parquet(f"{self.path}/ops")
+        return rows.join(commits.select("version", F.col("ops").alias("token")), "token").drop("token")
+
+    def commit(self, tables: dict[str, DataFrame], ops: DataFrame | None = None, seen: int | None = None) -> int:
+        """Publishes new contents of some tables with the journal's rows; the others stay as they are.
+
+        ``seen`` is the version that the contents were made from (the last one); where another
+        writer has published since, ``publish.Taken`` is raised and nothing changes.
+        """
+        seen = self.version() if seen is None else seen
+        held, token = publish.entry(self.spark, f"{self.path}/commits", seen).get("tables", {}) if seen else {}, uuid.uuid4().hex
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/v={version}")
+            df.write.parquet(f"{self.path}/{name}/{token}")
         rows = ops if ops is not None else self.spark.createDataFrame([], OPS_SCHEMA)
-        rows.select("op", "memory_id", "payload", "ts", F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{self.path}/ops/v={version}")
-        row = [(version, json.dumps(held | dict.fromkeys(tables, version)))]
-        self.spark.createDataFrame(row, "version int, tables string").coalesce(1).write.mode("error").parquet(f"{self.path}/commits/v={version}")
-        return version
+        rows.select("op", "memory_id", "payload", "ts").write.parquet(f"{self.path}/ops/token={token}")
+        publish.publish(self.spark, f"{self.path}/commits", seen + 1, {"version": seen + 1, "tables": held | dict.fromkeys(tables, token), "ops": token})
+        return seen + 1
 
 
 # --- changes of state ----------------------------------------------------------------------------

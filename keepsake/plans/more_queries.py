@@ -224,11 +224,11 @@ def hash_lookup_created(spark, sf):
 # --- folds ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {MEMORIES_SQL}, {OPS_SQL}, r AS (SELECT memory_id, count(*) AS times, CAST(max(1 + CAST(abs(value) AS BIGINT) % 5) AS INT) AS most FROM ops WHERE op = 'reconfirm' GROUP BY 1)
+@query(f"""WITH {MEMORIES_SQL}, {OPS_SQL}, r AS (SELECT memory_id, count(*) AS times, CAST(max(1 + CAST(floor(abs(value) + 0.5) AS BIGINT) % 5) AS INT) AS most FROM ops WHERE op = 'reconfirm' GROUP BY 1)
 SELECT id, round(CASE WHEN times IS NULL THEN confidence ELSE least(1.0, confidence + 0.1 * times) END, 6) AS confidence, CASE WHEN times IS NULL THEN importance ELSE greatest(importance, most) END AS importance, CASE WHEN times IS NOT NULL AND status = 'aging' THEN 'active' ELSE status END AS status
 FROM memories LEFT JOIN r ON memory_id = id""")
 def reconfirm_claims(spark, sf):
-    r = A.ops(spark, sf).where("op = 'reconfirm'").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("times"), F.max(1 + F.round(F.abs("value")).cast("long") % 5).cast("int").alias("importance"))
+    r = A.ops(spark, sf).where("op = 'reconfirm'").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("times"), F.max(1 + F.floor(F.abs("value") + 0.5) % 5).cast("int").alias("importance"))
     out, _ = ledger.reconfirm(A.memories(spark, sf), r, now())
     return out.select("id", F.round("confidence", 6).alias("confidence"), "importance", "status")
 

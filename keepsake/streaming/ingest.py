@@ -52,16 +52,17 @@ def start_sessions(spark: SparkSession, source: str, target: str, checkpoint: st
     """Digests finished transcripts as their files arrive: rendered, cut into chunks, proposed by ``backend``, screened and appended.
 
     Sessions of fewer than ``least_bytes`` bytes are left out. Files are whole sessions, so a batch needs no state.
+    A batch owns one folder of the target and replaces it, so one that is run again after a crash adds nothing.
     """
     from keepsake.sources import transcripts
 
-    def take(batch: DataFrame, _) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         sessions = transcripts.rendered(batch.select("path", F.col("value").alias("raw"))).where(F.col("bytes") >= least_bytes)
         rows = digest.parsed(digest.answers(transcripts.chunks(sessions).select("path", "chunk", "piece"), backend))
         keyed = rows.withColumn("candidate_id", F.concat_ws(":", "path", "chunk", "place"))
         spans = sessions.select("path", F.explode("spans").alias("span"))
         done = digest.screened(keyed, digest.lifted(keyed, spans)).where("disposition <> 'drop'")
-        done.select("candidate_id", "content", "type", "importance", "trust", "disposition", "reason").write.mode("append").parquet(target)
+        done.select("candidate_id", "content", "type", "importance", "trust", "disposition", "reason").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     files = spark.readStream.option("pathGlobFilter", "*.jsonl").text(source, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -89,10 +90,11 @@ def start_writes(spark: SparkSession, source: str, schema: StructType, store_pat
             last = None
         if last is not None and last >= number:
             return
+        seen = held.version()
         memories, flags = held.table("memories"), held.table("flags")
         done = ledger.saved(ledger.dispositions(batch, memories, held.table("names")), "done")
         memories, flags, ops = ledger.applied(done, memories, flags, now)
-        held.commit({"memories": memories, "flags": flags, "batches": spark.createDataFrame([(number,)], "number long")}, ops)
+        held.commit({"memories": memories, "flags": flags, "batches": spark.createDataFrame([(number,)], "number long")}, ops, seen)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import embed
 from keepsake.operators import belief, consolidate, ledger
+from keepsake.sources import publish
 from keepsake.sources.adapters import now
 
 COLUMNS = "id long, content string, type string, importance int, trust int, confidence double, status string, superseded_by long, created_at timestamp, updated_at timestamp, last_confirmed_at timestamp, scope string"
@@ -116,9 +117,28 @@ def test_commits(spark, tmp_path):
     assert store.table("memories").first()["status"] == "tombstoned" and store.table("memories", 1).first()["status"] == "active"
     assert store.table("flags").count() == 0 and [(r["op"], r["version"]) for r in store.journal().collect()] == [("tombstone", 2)]
     assert store.journal(1).count() == 0
-    # a second writer that made the same version does not get through
-    with pytest.raises(Exception, match="(?i)already.exists"):
-        spark.createDataFrame([(2, "{}")], "version int, tables string").write.mode("error").parquet(f"{store.path}/commits/v=2")
+    # a writer with an older view does not get through, and what it wrote is never read
+    third, ops = ledger.restore(store.table("memories"), spark.createDataFrame([(1,)], "id long"), now())
+    with pytest.raises(publish.Taken):
+        store.commit({"memories": third}, ops, seen=1)
+    assert store.version() == 2 and store.table("memories").first()["status"] == "tombstoned" and store.journal().count() == 1
+    assert store.commit({"memories": third}, ops, seen=2) == 3 and store.table("memories").first()["status"] == "active"
+    assert [(r["op"], r["version"]) for r in store.journal().orderBy("version").collect()] == [("tombstone", 2), ("restore", 3)]
+
+
+def test_one_of_many_writers_publishes(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(i):
+        try:
+            publish.publish(spark, str(tmp_path / "p"), 1, {"by": i})
+            return i
+        except publish.Taken:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(write, range(16)) if i is not None]
+    assert len(won) == 1 and publish.entry(spark, str(tmp_path / "p")) == {"by": won[0]} and publish.last(spark, str(tmp_path / "p")) == 1
 
 
 PAIRS = [

@@ -1,3 +1,4 @@
+import glob
 """Transcripts, the digest's screens, and interchange."""
 
 import json
@@ -194,6 +195,12 @@ def test_sessions_as_a_stream(spark, tmp_path):
         ingest.start_sessions(spark, source, target, checkpoint, backend(), least_bytes=10).awaitTermination()
     got = [r["content"] for r in spark.read.parquet(target).collect()]
     assert sorted(set(got)) == [f"The depot number {i} opens at nine in the morning" for i in (1, 2)] and len(got) == 6
+    # a crash after a batch was written and before it was noted: the batch is run again
+    os.remove(f"{checkpoint}/commits/1")
+    for crc in glob.glob(f"{checkpoint}/commits/.1.*"):
+        os.remove(crc)
+    ingest.start_sessions(spark, source, target, checkpoint, backend(), least_bytes=10).awaitTermination()
+    assert sorted(r["content"] for r in spark.read.parquet(target).collect()) == sorted(got)
     ops = spark.createDataFrame([("create", 5, 1), ("inject", 6, 2), ("edit", 7, 2), ("edit", None, 3)], "op string, memory_id long, version int")
     assert [r["id"] for r in ingest.changes_since(ops, 1).collect()] == [7]
 

@@ -46,7 +46,7 @@ MOST_BITS = 20
 #: Bytes of text that fill a bucket, at least.
 CAPACITY = 4 << 20
 #: Bytes that a map task holds to find its own copies.
-HELD = 48 << 20
+HELD = 16 << 20
 #: What an entry takes beside its text.
 OVERHEAD = 200
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from keepsake.functions import embed, entities
 from keepsake.functions import text as X
 from keepsake.operators import batch_recall, belief, consolidate, digest, ledger, scan, store
+from keepsake.operators.postings import Postings
 from keepsake.plans.queries import EFF, _q, norm, query, toks
 from keepsake.sources import adapters as A
 from keepsake.sources import interchange, transcripts
 from keepsake.sources.adapters import CLAIMS_SQL, ENTITIES_SQL, FLAGS_SQL, LINKS_SQL, MEMORIES_SQL, OPS_SQL, TAGS_SQL, now, table
+from keepsake.sources.scratch import scratch
 
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
@@ -41,8 +43,31 @@ def fts_terms(spark, sf):
     return batch_recall.query_terms(A.query_table(spark, sf))
 
 
+_INDEXES: dict[str, Postings] = {}
+
+
+def kept_postings(spark, sf) -> Postings:
+    """The index of the claims of ``sf``: made by the first query that asks, kept for those that follow."""
+    if sf not in _INDEXES:
+        _INDEXES[sf] = Postings(spark, scratch(spark, "postings")).build(A.memories(spark, sf))
+    return _INDEXES[sf]
+
+
+@query(f"WITH {MEMORIES_SQL}, t AS (SELECT id, unnest({toks('content')}) AS term FROM memories) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t GROUP BY 1")
+def postings_terms(spark, sf):
+    """Claims and occurrences of every term, from the kept index."""
+    return kept_postings(spark, sf).term_statistics()
+
+
 @query(_recall_sql("TRUE", "score"))
 def recall_batch(spark, sf):
+    """All queries at once from the kept index; no text is read."""
+    return batch_recall.recall(A.memories(spark, sf).drop("content"), A.query_table(spark, sf), now(), postings=kept_postings(spark, sf)).select("query_id", "place", "id", "score")
+
+
+@query(_recall_sql("TRUE", "score"))
+def recall_unindexed(spark, sf):
+    """The same without an index, from the texts."""
     return batch_recall.recall(A.memories(spark, sf), A.query_table(spark, sf), now()).select("query_id", "place", "id", "score")
 
 
@@ -50,7 +75,7 @@ def recall_batch(spark, sf):
 def recall_filtered(spark, sf):
     m = A.memories(spark, sf)
     allowed = store.ids_of(m, types=["fact", "decision"], since="2023-01-01")
-    return batch_recall.recall(m, A.query_table(spark, sf), now(), allowed=allowed).select("query_id", "place", "id", "score")
+    return batch_recall.recall(m.drop("content"), A.query_table(spark, sf), now(), allowed=allowed, postings=kept_postings(spark, sf)).select("query_id", "place", "id", "score")
 
 
 def _d(x: str, places: int) -> str:
@@ -60,7 +85,7 @@ def _d(x: str, places: int) -> str:
 @query(_recall_sql("TRUE", f"""'lexical #' || lx || ' (bm25 ' || {_d('bm25', 2)} || '), rrf ' || {_d('1.0::DOUBLE / (60 + lx)', 4)} || ', ×imp ' || {_d('0.6 + 0.1 * importance', 2)} || ' ×trust ' ||
   {_d('CASE trust WHEN 0 THEN 1.0 WHEN 1 THEN 0.97 WHEN 2 THEN 0.9 WHEN 3 THEN 0.75 ELSE 0.5 END', 2)} || ' ×recency ' || {_d('rec', 2)} || ' ×conf ' || {_d("(0.5 + 0.5 * eff) * CASE status WHEN 'aging' THEN 0.6 ELSE 1.0 END", 2)} || CASE status WHEN 'aging' THEN ' — aging: excluded from auto-injection, still recallable' ELSE '' END AS why"""))
 def why_line(spark, sf):
-    hits = batch_recall.recall(A.memories(spark, sf), A.query_table(spark, sf), now())
+    hits = batch_recall.recall(A.memories(spark, sf).drop("content"), A.query_table(spark, sf), now(), postings=kept_postings(spark, sf))
     return hits.select("query_id", "place", "id", batch_recall.why().alias("why"))
 
 
@@ -69,7 +94,7 @@ def recall_hybrid(spark, sf):
     """Words and hash vectors of the claims themselves, fused."""
     m, q, e = A.memories(spark, sf), A.query_table(spark, sf), embed.HashEmbedder(256)
     vectors = m.where(F.col("status").isin("active", "aging")).select("id", e.column(F.col("content")).alias("v"))
-    hits = batch_recall.recall(m, q, now(), vectors=vectors, query_vectors=q.select("query_id", e.column(F.col("query")).alias("v")))
+    hits = batch_recall.recall(m, q, now(), vectors=vectors, query_vectors=q.select("query_id", e.column(F.col("query")).alias("v")), postings=kept_postings(spark, sf))
     return hits.select("query_id", "place", "id", "score", "lexical", "semantic")
 
 

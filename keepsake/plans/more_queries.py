@@ -303,18 +303,25 @@ def imperative_normalized(spark, sf):
     return c.select("conv_id", "turn", X.normalised_imperative(F.col("text")).alias("content"))
 
 
-@query(f"WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_q(entities.REPO)}', 1)) AS repo FROM documents) SELECT doc_id, repo, count(*) AS n FROM r GROUP BY ALL")
-def extract_repos(spark, sf):
-    pattern = entities.REPO.replace(r"\b", X.EDGE)
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-    return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("repo")).groupBy("doc_id", "repo").agg(F.count("*").alias("n"))
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS rule, generate_subscripts(m, 1) AS place, {before} || unnest(m) AS raw, '{kind}' AS type FROM (SELECT doc_id, regexp_extract_all(text, '{_q(p)}', {g}) AS m FROM documents)" for i, (p, g, kind) in enumerate(entities.RULES) for before in ["'@'" if p == entities.HANDLE else "''"])
+_OPEN = r"[.!?\n:\-][ \t]*$"
+NAMES_SQL = rf"""f AS (SELECT doc_id, rule, place, trim(trim(raw, '.,;:!?'), ' ' || chr(9) || chr(10) || chr(13)) AS name, type FROM ({_FOUND})),
+p AS (SELECT doc_id, generate_subscripts(m, 1) AS place, unnest(m) AS name, unnest(g[1:len(m)]) AS gap FROM (SELECT doc_id, regexp_extract_all(text, '{_q(entities.PROPER)}') AS m, string_split_regex(text, '{_q(entities.PROPER)}') AS g FROM documents)),
+r AS (SELECT doc_id, {len(entities.RULES)} AS rule, place, name, CASE WHEN regexp_matches(name, '{_q(entities.TITLES)}') OR (n = 2 AND NOT regexp_matches(name, '[0-9]')) THEN 'person' ELSE 'other' END AS type FROM (SELECT *, len(string_split_regex(name, '\s')) AS n FROM p)
+  WHERE CASE WHEN n > 1 THEN NOT list_contains({_list(entities.STOPWORDS)}, lower(string_split_regex(name, '\s')[1])) ELSE NOT (regexp_matches(gap, '{_OPEN}') OR (place = 1 AND regexp_matches(gap, '^[ \t]*$'))) END),
+names AS (SELECT doc_id, lower(name) AS low, arg_min(struct_pack(name := name, type := type, rule := rule), struct_pack(r := rule, p := place)) AS x FROM (SELECT * FROM f UNION ALL SELECT * FROM r) WHERE name <> '' AND NOT list_contains({_list(entities.STOPWORDS)}, lower(name)) GROUP BY 1, 2)"""
 
 
-@query()
+@query(f"WITH {NAMES_SQL} SELECT doc_id, x.name AS name, x.type AS type FROM names")
 def extract_entities(spark, sf):
-    """All names of all texts; sentence openings need a look back that SQL patterns lack."""
-    d = table(spark, sf, "documents").select("doc_id", F.explode(entities.extracted(F.col("text"))).alias("e"))
-    return d.select("doc_id", "e.name", "e.type")
+    """All names of all texts."""
+    return entities.names(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "name", "type")
+
+
+@query(f"WITH {NAMES_SQL} SELECT x.type AS type, x.rule AS rule, count(*) AS n, count(DISTINCT low) AS n_names FROM names GROUP BY 1, 2")
+def entities_by_rule(spark, sf):
+    found = entities.names(table(spark, sf, "documents"), "doc_id", "text")
+    return found.groupBy("type", "rule").agg(F.count("*").alias("n"), F.count_distinct(F.lower("name")).alias("n_names"))
 
 
 @query(r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9/+_-]{20,}')) AS token FROM documents), c AS (SELECT token, ch, count(*) / any_value(len(token))::DOUBLE AS p FROM (SELECT token, unnest(string_split(token, '')) AS ch FROM t) WHERE ch <> '' GROUP BY token, ch)
@@ -329,7 +336,7 @@ x AS (SELECT doc_id, list_sum(list_transform(range(1, len(g) + 1), lambda i: CAS
 SELECT doc_id, count(*) AS n FROM x WHERE total % 10 = 0 GROUP BY 1""")
 def scan_card(spark, sf):
     pattern = dict((k, p) for _, k, p in scan.CATALOGUE)["credit-card"]
-    c = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("m"))
+    c = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(X.as_re2(pattern)), F.lit(0))).alias("m"))
     return c.where(scan.VERIFY["credit-card"](F.col("m"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 

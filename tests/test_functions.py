@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import re
 import struct
 
 import numpy as np
@@ -60,13 +61,44 @@ def test_shingle_hashes_agree_with_shingles(spark):
         assert one(spark, t, lambda c: F.size(X.shingles(X.tokens(c)))) == one(spark, t, lambda c: F.size(X.shingle_hashes(X.tokens(c))))
 
 
+def found_names(spark, texts, known=None):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    known = known and spark.createDataFrame([(k,) for k in known], "name string")
+    out = {}
+    for r in sorted(entities.names(df, "id", "body", known).collect(), key=lambda r: (r["id"], r["rule"], r["place"])):
+        out.setdefault(r["id"], []).append((r["name"], r["type"]))
+    return [out.get(i, []) for i in range(len(texts))]
+
+
+def brute_names(text, known=()):
+    """Every match of every rule in order, kept if it counts and its name is new."""
+    said = [(m[g] if p != entities.HANDLE else "@" + m[g], kind, True) for p, g, kind in entities.RULES for m in re.finditer(p.replace("$", r"\Z"), text or "", re.ASCII)]
+    for m in re.finditer(entities.PROPER, text or "", re.ASCII):
+        words, opens = m[0].split(), re.search(r"(\A|[.!?\n:\-])[ \t]*\Z", text[: m.start()])
+        person = re.match(entities.TITLES, m[0]) or (len(words) == 2 and not re.search("[0-9]", m[0]))
+        if m[0].lower() in known:
+            said.append((m[0], "other", True))
+        else:
+            said.append((m[0], "person" if person else "other", words[0].lower() not in entities.STOPWORDS if len(words) > 1 else not opens))
+    named = {}
+    for name, kind, counts in said:
+        name = name.strip(".,;:!?").strip()
+        if counts and name and name.lower() not in entities.STOPWORDS:
+            named.setdefault(name.lower(), (name, kind))
+    return list(named.values())
+
+
 def test_entities(spark):
     text = "Ping ana.b@site.org or @kim. Rhea Solano runs acme/core-lib with Postgres. Deploys use Kafka: Nightly Runs. Monday, we met; then Orbit Labs, fine."
-    got = {(e["name"], e["type"]) for e in one(spark, text, entities.extracted)}
-    assert {("ana.b@site.org", "person"), ("@kim", "person"), ("Rhea Solano", "person"), ("acme/core-lib", "project"), ("Postgres", "other"), ("Orbit Labs", "org"), ("Kafka", "other")} <= got
-    assert not {n for n, _ in got} & {"Ping", "Deploys", "Monday"}
-    assert [e["name"] for e in one(spark, "Kafka is up", lambda t: entities.extracted(t, ["kafka"]))] == ["Kafka"]
-    assert one(spark, "Kafka is up", entities.extracted) == [] and one(spark, None, entities.extracted) == []
+    odd = ["Kafka is up", None, "", "we met Dr. Ada Lovelace\nToday and  Tom - Rhen", "a.b@c.org A.B@C.ORG (@x_y @zed) é@café.fr", "The Big Plan. the Big Plan, Foo Inc.", "x/y.z a-b/c_d. Ab Cd Ef", "Zürich München İstanbul Postgres9 Alpha9 Beta", "Acme Corp.", "Line\nBreak Here Labs "]
+    got = found_names(spark, [text, *odd])
+    assert got == [brute_names(t) for t in [text, *odd]]
+    assert {("ana.b@site.org", "person"), ("@kim", "person"), ("Rhea Solano", "person"), ("acme/core-lib", "project"), ("Postgres", "other"), ("Orbit Labs", "org"), ("Kafka", "other")} <= set(got[0])
+    assert not {n for n, _ in got[0]} & {"Ping", "Deploys", "Monday"}
+    assert found_names(spark, ["So. Ab\u000bCd Ef"]) == [[("Cd Ef", "person")]]  # a vertical tab is no white space here
+    assert found_names(spark, ["Kafka is up"], ["kafka"]) == [[("Kafka", "other")]]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    assert found_names(spark, [r["text"] for r in docs]) == [brute_names(r["text"]) for r in docs]
     assert tuple(one(spark, "by Ana Bell <ana@site.org>", entities.named_email)) == ("Ana Bell", "ana@site.org") and one(spark, "none", entities.named_email) is None
 
 

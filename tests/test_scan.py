@@ -8,7 +8,7 @@ from keepsake.operators import scan
 from keepsake.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-#: The rules as the reference words them.
+#: The rules, for the loop below.
 RULES = [
     ("aws-access-key", r"\b(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b"),
     ("github-token", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,255}\b"),

@@ -8,7 +8,7 @@ from keepsake.functions import embed, entities
 from keepsake.functions import text as X
 from keepsake.operators import batch_recall, belief, consolidate, digest, ledger, scan, store
 from keepsake.operators.postings import Postings
-from keepsake.plans.queries import EFF, _q, norm, query, toks
+from keepsake.plans.queries import EFF, FILLERS_SQL, _q, norm, query, toks
 from keepsake.sources import adapters as A
 from keepsake.sources import interchange, transcripts
 from keepsake.sources.adapters import CLAIMS_SQL, ENTITIES_SQL, FLAGS_SQL, LINKS_SQL, MEMORIES_SQL, OPS_SQL, TAGS_SQL, now, table
@@ -359,14 +359,37 @@ def _names(spark, sf):
     return A.entity_links(spark, sf).groupBy(F.col("memory_id").alias("id")).agg(F.collect_set("name").alias("names"))
 
 
-@query()
+def _verdicts_sql(live: str, pair: str) -> str:
+    """v: i, j, sim and verdict of the claims of ``live`` (SQL over claims) that meet ``pair``, from the overlap of all token sets."""
+    verb = r"list_transform(regexp_extract_all(lower({0}), '\b" + _q(belief.RELATION) + r"\b'), lambda x: regexp_replace(regexp_replace(x, '^(\S+?)es(\s|$)', '\1\2'), '^(\S+?)s(\s|$)', '\1\2'))"
+    denies = r"regexp_matches({0}, '(?i)\b" + _q(belief.NEGATION) + r"\b')"
+    value = r"(regexp_matches(x, '^[a-z0-9][a-z0-9.\-_/+]*$') OR regexp_matches(x, '[0-9]'))"
+    return f"""c AS MATERIALIZED (SELECT id, content, scope, id % 3 = 0 AS third, updated_at, list_distinct({toks('content')}) AS s, sha256({norm('content')}) AS h FROM claims WHERE {live}),
+k AS MATERIALIZED (SELECT *, list_filter(s, lambda x: NOT list_contains({FILLERS_SQL}, x)) AS f FROM c), lang AS (SELECT doc_id AS id, lang FROM documents WHERE doc_id % 3 = 0),
+tk AS MATERIALIZED (SELECT id, unnest(s) AS t FROM k),
+o AS MATERIALIZED (SELECT a.id AS i, b.id AS j, count(*) AS n FROM tk a JOIN tk b USING (t) WHERE {pair.format("a.id", "b.id")} GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT i, j, round(n / (len(x.s) + len(y.s) - n)::DOUBLE, 9) AS sim FROM o JOIN k x ON x.id = i JOIN k y ON y.id = j WHERE n / (len(x.s) + len(y.s) - n)::DOUBLE >= 0.379),
+w AS MATERIALIZED (SELECT i, j, sim, x.h = y.h AS same, coalesce(x.scope = y.scope, FALSE) OR coalesce(lx.lang = ly.lang, FALSE) AS named,
+  least(len(x.f), len(y.f)) > 0 AND len(list_intersect(x.f, y.f)) / greatest(least(len(x.f), len(y.f)), 1)::DOUBLE >= 0.5 AS subject,
+  {denies.format('x.content')} <> {denies.format('y.content')} OR (list_has_any({verb.format('x.content')}, {verb.format('y.content')})
+    AND len(list_filter(x.f, lambda x: NOT list_contains(y.s, x) AND {value})) > 0 AND len(list_filter(y.f, lambda x: NOT list_contains(k2.s, x) AND {value})) > 0) AS clash
+  FROM near JOIN k x ON x.id = i JOIN k y ON y.id = j JOIN k k2 ON k2.id = i LEFT JOIN lang lx ON lx.id = i LEFT JOIN lang ly ON ly.id = j),
+v AS (SELECT i, j, sim, CASE WHEN same OR sim >= 0.93 THEN 'duplicate' WHEN NOT ((subject OR named) AND sim >= CASE WHEN subject THEN 0.38 ELSE 0.55 END) THEN 'none' WHEN clash THEN 'supersedes' WHEN sim >= 0.82 THEN 'ambiguous' ELSE 'none' END AS verdict FROM w)"""
+
+
+@query(f"""WITH {CLAIMS_SQL}, {_verdicts_sql("id % 2 = 1 OR status IN ('active', 'aging')", "{0} % 2 = 1 AND {1} % 2 = 0")},
+e AS (SELECT a.id AS i, b.id AS j, 1.0::DOUBLE AS sim, 'duplicate' AS verdict, 0 AS place FROM c a JOIN c b USING (h) WHERE a.id % 2 = 1 AND b.id % 2 = 0 UNION ALL SELECT i, j, sim, verdict, CASE WHEN verdict = 'ambiguous' THEN 2 ELSE 1 END FROM v WHERE verdict <> 'none')
+SELECT i AS new_id, arg_min(j, k) AS old_id, arg_min(verdict, k) AS verdict, arg_min(sim, k) AS sim FROM (SELECT *, struct_pack(p := place, s := -sim, j := j, v := verdict) AS k FROM e) GROUP BY 1""")
 def adjudicate_candidates(spark, sf):
     """Every odd claim as a new one, judged against the live even ones."""
     m = A.claims(spark, sf)
     return belief.adjudicated(m.where("id % 2 = 1"), m.where((F.col("id") % 2 == 0) & F.col("status").isin("active", "aging")), _names(spark, sf))
 
 
-@query()
+@query(f"""WITH {CLAIMS_SQL}, {_verdicts_sql("status IN ('active', 'aging')", "{0} < {1}")},
+d AS (SELECT CASE WHEN x.updated_at > y.updated_at OR (x.updated_at = y.updated_at AND i < j) THEN i ELSE j END AS newer, CASE WHEN x.updated_at > y.updated_at OR (x.updated_at = y.updated_at AND i < j) THEN j ELSE i END AS older, verdict FROM v JOIN c x ON x.id = i JOIN c y ON y.id = j WHERE verdict IN ('duplicate', 'supersedes')),
+z AS (SELECT h, arg_max(id, struct_pack(u := updated_at, i := -id)) AS newer FROM c WHERE len(s) = 0 GROUP BY 1)
+SELECT newer, older, verdict FROM d UNION ALL SELECT newer, id, 'duplicate' FROM c JOIN z USING (h) WHERE len(s) = 0 AND id <> newer""")
 def consolidate_edges(spark, sf):
     return consolidate.edges(A.claims(spark, sf), _names(spark, sf))
 

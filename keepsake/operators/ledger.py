@@ -67,18 +67,29 @@ class Ledger:
 # --- changes of state ----------------------------------------------------------------------------
 
 
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def _plain(memories: DataFrame, name: str) -> Column:
+    """A column as the journal writes it: times to the microsecond."""
+    return F.date_format(name, _TIME) if memories.schema[name].dataType.typeName() == "timestamp" else F.col(name)
+
+
 def changed(memories: DataFrame, ids: DataFrame, sets: dict[str, Column], op: str, payload: dict[str, Column], now: Column, touch: bool = True) -> Change:
     """Sets columns of the claims that ``ids`` names; its other columns can be used as ``x.name``.
 
-    ``payload`` columns are of the rows as they were, and so tell how to undo the change.
+    ``payload`` columns are of the rows as they were; with what ``prev_`` has besides, every column that
+    the change sets stands there with its value before it, so that the journal alone can undo it.
     """
     x = ids.dropDuplicates(["id"])
     x = x.select(F.col("id"), F.struct(F.lit(True).alias("hit"), *[F.col(c) for c in x.columns if c != "id"]).alias("x"))
     both = memories.join(x, "id", "left")
     hit = F.col("x").isNotNull()
     cols = dict(sets) | ({"updated_at": now} if touch else {})
+    told = {"status"} if "prev" in payload else set()
+    payload = dict(payload) | {f"prev_{k}": _plain(memories, k) for k in cols if f"prev_{k}" not in payload and k not in told and k not in ("embedding", "content_hash")}
     out = both.withColumns({k: F.when(hit, v.cast(memories.schema[k].dataType)).otherwise(F.col(k)) for k, v in cols.items()}).select(*memories.columns)
-    ops = both.where(hit).select(F.lit(op).alias("op"), F.col("id").alias("memory_id"), F.to_json(F.struct(*[v.alias(k) for k, v in payload.items()])).alias("payload"), now.alias("ts"))
+    ops = both.where(hit).select(F.lit(op).alias("op"), F.col("id").alias("memory_id"), F.to_json(F.struct(*[v.alias(k) for k, v in payload.items()]), {"ignoreNullFields": "false"}).alias("payload"), now.alias("ts"))
     return out, ops
 
 

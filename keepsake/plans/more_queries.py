@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import embed, entities
 from keepsake.functions import text as X
-from keepsake.operators import batch_recall, belief, consolidate, digest, ledger, scan, store
+from keepsake.operators import batch_recall, belief, consolidate, digest, history, ledger, scan, store
 from keepsake.operators.postings import Postings
 from keepsake.plans.queries import EFF, FILLERS_SQL, _q, norm, query, toks
 from keepsake.sources import adapters as A
@@ -269,7 +269,7 @@ def review_fold(spark, sf):
     return m.select("id", "status", "trust", "confidence")
 
 
-@query(f"""WITH {MEMORIES_SQL}, {LINKS_SQL} SELECT id AS memory_id, 'tombstone' AS op, '{{"prev":"' || status || '","next":"tombstoned"}}' AS payload FROM memories WHERE id IN (SELECT memory_id FROM links WHERE name = 'src7') AND status <> 'tombstoned'""")
+@query(f"""WITH {MEMORIES_SQL}, {LINKS_SQL} SELECT id AS memory_id, 'tombstone' AS op, '{{"prev":"' || status || '","next":"tombstoned","prev_updated_at":"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f') || '"}}' AS payload FROM memories WHERE id IN (SELECT memory_id FROM links WHERE name = 'src7') AND status <> 'tombstoned'""")
 def forget_entity(spark, sf):
     """The journal of forgetting all claims of an entity."""
     m = A.memories(spark, sf)
@@ -278,13 +278,43 @@ def forget_entity(spark, sf):
 
 
 @query(f"""WITH {MEMORIES_SQL}, r AS (SELECT id, superseded_by, status FROM memories WHERE status = 'tombstoned' OR status = 'quarantined' OR status = 'aging')
-SELECT id AS memory_id, '{{"prev":"' || r.status || '","next":"' || CASE WHEN trust = 3 THEN 'quarantined' ELSE 'active' END || '"}}' AS payload FROM r JOIN memories USING (id)""")
+SELECT id AS memory_id, '{{"prev":"' || r.status || '","next":"' || CASE WHEN trust = 3 THEN 'quarantined' ELSE 'active' END || '","prev_updated_at":"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f') || '"}}' AS payload FROM r JOIN memories USING (id)""")
 def restore_fold(spark, sf):
     m = A.memories(spark, sf)
     _, ops = ledger.restore(m, m.select("id"), now())
     return ops.select("memory_id", "payload")
 
 
+def _changed_twice(spark, sf):
+    """The claims after the journal's clicks reconfirmed some (version 1) and an entity was forgotten (version 2), and the journal of both."""
+    m = A.memories(spark, sf)
+    r = A.ops(spark, sf).where("op = 'reconfirm'").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("times"), F.max(1 + F.floor(F.abs("value") + 0.5) % 5).cast("int").alias("importance"))
+    m1, o1 = ledger.reconfirm(m, r, now())
+    m2, o2 = ledger.forget(m1, store.with_entity(m1, A.entity_links(spark, sf), "src7").select("id"), now())
+    return m2, o1.withColumn("version", F.lit(1)).unionByName(o2.withColumn("version", F.lit(2)))
+
+
+_FOLDED = f"""{MEMORIES_SQL}, {OPS_SQL}, {LINKS_SQL}, r AS (SELECT memory_id, count(*) AS times, CAST(max(1 + CAST(floor(abs(value) + 0.5) AS BIGINT) % 5) AS INT) AS most FROM ops WHERE op = 'reconfirm' GROUP BY 1),
+s1 AS (SELECT id, round(CASE WHEN times IS NULL THEN confidence ELSE least(1.0, confidence + 0.1 * times) END, 6) AS confidence, CASE WHEN times IS NULL THEN importance ELSE greatest(importance, most) END AS importance,
+  CASE WHEN times IS NOT NULL AND status = 'aging' THEN 'active' ELSE status END AS status, CASE WHEN times IS NULL THEN updated_at ELSE TIMESTAMP '2024-02-01' END AS updated_at FROM memories LEFT JOIN r ON memory_id = id)"""
+
+
+@query(f"""WITH {_FOLDED} SELECT 0 AS version, id, status, round(confidence, 6) AS confidence, importance, updated_at FROM memories UNION ALL SELECT 1, id, status, confidence, importance, updated_at FROM s1""")
+def state_as_of(spark, sf):
+    """Every claim as it was before two changes and between them, from the rows after both and the journal."""
+    m, ops = _changed_twice(spark, sf)
+    points = m.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("version"))
+    return history.as_of(m, ops, points).select("version", "id", "status", F.round("confidence", 6).alias("confidence"), "importance", "updated_at")
+
+
+@query(f"""WITH {_FOLDED}, h AS (SELECT id, 'reconfirm' AS op, 1 AS version FROM memories WHERE id IN (SELECT memory_id FROM r) UNION ALL SELECT s1.id, 'tombstone', 2 FROM s1 WHERE id IN (SELECT memory_id FROM links WHERE lower(name) = 'src7') AND status IN ('active', 'aging', 'quarantined', 'superseded'))
+SELECT id, op, CAST(row_number() OVER (PARTITION BY id ORDER BY version) AS INT) AS place FROM h""")
+def ops_for_claims(spark, sf):
+    """The journal of every claim in its order."""
+    m, ops = _changed_twice(spark, sf)
+    return history.ops_for(ops, m.select("id")).select(F.col("memory_id").alias("id"), "op", "place")
+
+
 # --- texts ----------------------------------------------------------------------------------------------
 
 _FLAT = r"trim(regexp_replace(content, '\s+', ' ', 'g'))"

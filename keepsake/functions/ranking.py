@@ -38,6 +38,12 @@ def effective_confidence(confidence: Column, kind: Column, anchor: Column, now:
     return F.when(half_life(kind).isNull() | age.isNull() | (age <= 0), confidence).otherwise(confidence * F.pow(F.lit(2.0), -age / half_life(kind)))
 
 
+def anchors(columns) -> tuple[Column, Column]:
+    """Since when confidence and recency fade: the last confirmation, else the last update, and for confidence else the making; of the columns there are."""
+    there = lambda *names: F.coalesce(*[F.col(n) for n in names if n in columns], F.lit(None).cast("timestamp"))
+    return there("last_confirmed_at", "updated_at", "created_at"), there("last_confirmed_at", "updated_at")
+
+
 def recency(kind: Column, anchor: Column, now: Column) -> Column:
     """0.3 + 0.7 times a halving that is linear between whole half-lives."""
     x = _age(now, anchor) / half_life(kind)
@@ -56,14 +62,14 @@ def reciprocal_rank(*ranks: Column) -> Column:
     return out
 
 
-def factors(importance: Column, trust: Column, kind: Column, confidence: Column, status: Column, anchor: Column, now: Column) -> dict[str, Column]:
-    """What a score is multiplied by, part by part."""
+def factors(importance: Column, trust: Column, kind: Column, confidence: Column, status: Column, anchor: Column, now: Column, recent: Column | None = None) -> dict[str, Column]:
+    """What a score is multiplied by, part by part; recency goes by ``recent`` where that is not the anchor of confidence."""
     eff = effective_confidence(confidence, kind, anchor, now)
-    return {"importance": 0.6 + 0.1 * importance, "trust": trust_factor(trust), "recency": recency(kind, anchor, now), "confidence": confidence_multiplier(eff, status)}
+    return {"importance": 0.6 + 0.1 * importance, "trust": trust_factor(trust), "recency": recency(kind, anchor if recent is None else recent, now), "confidence": confidence_multiplier(eff, status)}
 
 
-def modulated(base: Column, importance: Column, trust: Column, kind: Column, confidence: Column, status: Column, anchor: Column, now: Column) -> Column:
-    f = factors(importance, trust, kind, confidence, status, anchor, now)
+def modulated(base: Column, importance: Column, trust: Column, kind: Column, confidence: Column, status: Column, anchor: Column, now: Column, recent: Column | None = None) -> Column:
+    f = factors(importance, trust, kind, confidence, status, anchor, now, recent)
     return base * f["importance"] * f["trust"] * f["recency"] * f["confidence"]
 
 

@@ -113,3 +113,30 @@ def writes(done: DataFrame, first_id: int = 0) -> DataFrame:
     return kept.select(
         (F.xxhash64("candidate_id").bitwiseAND(F.lit((1 << 62) - 1)) + first_id).alias("id"), F.xxhash64("candidate_id").alias("place"), "content", "type", "importance", "trust", (F.col("disposition") == "quarantine").alias("quarantine"), flag_kind(F.col("tainted"), F.col("reason")).alias("flag_kind"), "reason", "candidate_id"
     )
+
+
+def applied(done: DataFrame, memories: DataFrame, flags: DataFrame, names: DataFrame, now: Column, postings=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """memories, flags, journal rows and counts (action, n) after the screened candidates ``done`` are written.
+
+    What the write path stores newly at tier 2 is flagged for review. A candidate that it created and that has a hint at the claim it
+    replaces retires that one: of the three best hits for the hint the first active one, not the new claim itself, that
+    holds half of the hint's words. Hints are answered together, from the claims as they are after the writes, or from ``postings`` kept of them.
+    """
+    from keepsake.operators import batch_recall, ledger
+
+    batch = saved(writes(done).join(done.select("candidate_id", "supersedes_hint"), "candidate_id"), "batch")
+    acted = saved(ledger.dispositions(batch, memories, names), "acted")
+    out, marks, ops = ledger.applied(acted, memories, flags, now)
+    # quarantined by the screen: the flag says why it was held
+    kinds = acted.where("action = 'quarantined'").select(F.col("id").alias("memory_id"), F.col("flag_kind").alias("__kind"))
+    fresh = F.col("__kind").isNotNull() & F.col("kind").isin("tainted", "instruction-shape")
+    marks = marks.join(kinds, "memory_id", "left").withColumn("kind", F.when(fresh, F.col("__kind")).otherwise(F.col("kind"))).select(*flags.columns)
+    new = acted.where("action = 'created' and trust = 2").select(F.xxhash64("id", F.lit("needs-review")).alias("flag_id"), F.col("id").alias("memory_id"), F.lit("needs-review").alias("kind"), F.lit("from a digest; approving it makes it tier 1").alias("detail"), now.alias("created_at"), F.lit(None).cast("timestamp").alias("resolved_at"))
+    out = saved(out, "written")
+    asked = acted.where("action = 'created' and supersedes_hint <> ''").select(F.col("id").alias("query_id"), F.col("supersedes_hint").alias("query"))
+    hits = batch_recall.recall(out, asked, now, limit=3, postings=postings).where(F.col("query_id") != F.col("id")).select(F.col("query_id").alias("candidate_id"), "place", "id", "status").join(out.select("id", "content"), "id")
+    old = hinted(asked.select(F.col("query_id").alias("candidate_id"), F.col("query").alias("supersedes_hint")), hits)
+    retired = saved(old.groupBy("id").agg(F.min("candidate_id").alias("by")), "hinted")
+    out, more = ledger.supersede(out, retired, now)
+    counts = acted.groupBy("action").agg(F.count("*").alias("n")).unionByName(retired.groupBy(F.lit("superseded by hint").alias("action")).agg(F.count("*").alias("n")))
+    return out, marks.unionByName(new.select(*flags.columns)), ops.unionByName(more), counts

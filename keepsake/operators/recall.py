@@ -72,7 +72,8 @@ def fused(memories: DataFrame, vectors: DataFrame, terms, query_id: int, n: int
 
 def with_modulation(memories: DataFrame, base: Column, now: Column) -> DataFrame:
     c = F.col
-    return memories.withColumn("score", R.modulated(base, c("importance"), c("trust"), c("type"), c("confidence"), c("status"), c("last_confirmed_at"), now))
+    anchor, recent = R.anchors(memories.columns)
+    return memories.withColumn("score", R.modulated(base, c("importance"), c("trust"), c("type"), c("confidence"), c("status"), anchor, now, recent))
 
 
 def recall(memories: DataFrame, vectors: DataFrame, terms, query_id: int, now: Column, limit: int) -> DataFrame:

@@ -33,6 +33,64 @@ def by_prefix(memories: DataFrame, prefix: str) -> DataFrame:
     return memories.where(F.col("id").cast("string").startswith(prefix))
 
 
+#: Characters that a prefix must have to stand for an id.
+SHORTEST_PREFIX = 6
+
+
+def found(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, id and fault of every text that is looked up (column asked): an exact id, else the one id that begins with it.
+
+    A fault is ``not found`` (also for prefixes of fewer than six characters) or ``ambiguous``. Texts are trimmed and lower-cased; %
+    and _ stand for themselves. Ids and prefixes meet on their first six characters, so neither side is crossed with the other.
+    """
+    ids = memories.select("id", F.col("id").cast("string").alias("key"))
+    want = asked.select("asked").distinct().withColumn("key", F.lower(F.trim("asked")))
+    exact = want.join(ids, "key").select("asked", "id", F.lit(0).alias("place"))
+    head = lambda c: F.substring(c, 1, SHORTEST_PREFIX)
+    near = want.where(F.length("key") >= SHORTEST_PREFIX).select("asked", F.col("key").alias("prefix"), head("key").alias("head")).join(ids.withColumn("head", head("key")), "head").where(F.startswith("key", "prefix")).select("asked", "id", F.lit(1).alias("place"))
+    hits = exact.unionByName(near).groupBy("asked", "place").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    best = hits.groupBy("asked").agg(F.min(F.struct("place", "n", "id")).alias("b"))
+    fault = F.when(F.col("b").isNull(), "not found").when((F.col("b.place") == 1) & (F.col("b.n") > 1), "ambiguous")
+    return want.select("asked").join(best, "asked", "left").select("asked", F.when(fault.isNull(), F.col("b.id")).alias("id"), fault.alias("fault"))
+
+
+def checks(memories: DataFrame, links: DataFrame, wanted: dict[str, str], vectors: DataFrame, model: str | None, stored_model: str | None, indexed: int | None = None) -> DataFrame:
+    """What a doctor looks at, a row a check: name, ok and detail.
+
+    The schema (``wanted``: column and type), index parity (``indexed``: claims in the kept postings; null: no index), the model that
+    made the vectors against the one in use (null: none), live claims without a vector, equal contents, links without a claim.
+    """
+    have = {f.name: f.dataType.simpleString() for f in memories.schema}
+    wrong = sorted(c for c, t in wanted.items() if have.get(c) != t)
+    live = memories.where(F.col("status").isin("active", "aging")).select("id")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    missing = one(live.join(vectors.select("id"), "id", "left_anti"), "missing")
+    orphans = one(links.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_anti"), "orphans")
+    rows = memories.agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct(X.content_hash(F.col("content")))).alias("equal"))
+    c, text = F.col, lambda x: x.cast("string")
+    same = F.lit(model is None or stored_model in (None, model))
+    named = F.lit("no model is set" if model is None else f"made by {stored_model}, {model} is set" if stored_model not in (None, model) else model)
+    whole = F.lit(model is None) | (same & ((c("missing") == 0) | (F.lit(stored_model is None) & (c("missing") == c("n")))))
+    parity = F.lit(True) if indexed is None else c("n") == indexed
+    detail = F.lit("no index") if indexed is None else F.concat(text(c("n")), F.lit(f" claims, {indexed} indexed"))
+    row = lambda name, ok, said: F.struct(F.lit(name).alias("name"), ok.alias("ok"), said.alias("detail"))
+    listed = F.array(
+        row("schema", F.lit(not wrong), F.lit(", ".join(wrong) or "as it should be")), row("index", parity, detail), row("model", same, named), row("vectors", whole, F.concat(text(c("missing")), F.lit(" live claims without a vector"))),
+        row("contents", c("equal") == 0, F.concat(text(c("equal")), F.lit(" equal contents"))), row("links", c("orphans") == 0, F.concat(text(c("orphans")), F.lit(" links without a claim"))),
+    )
+    return rows.join(F.broadcast(missing)).join(F.broadcast(orphans)).select(F.inline(listed))
+
+
+def aliases_text(aliases: Column) -> Column:
+    """A list of aliases as the JSON text that is stored; an empty list where there is none."""
+    return F.to_json(F.coalesce(aliases, F.array().cast("array<string>")))
+
+
+def aliases_list(text: Column) -> Column:
+    """The aliases that a stored text holds; none where it is empty, null or no JSON list of strings."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
 def count_by(memories: DataFrame, col: str) -> DataFrame:
     if col not in ("status", "type", "trust", "scope"):
         raise ValueError(f"cannot count by {col}")
@@ -79,9 +137,9 @@ def reconfirmed(ops: DataFrame, start: float) -> DataFrame:
 
 
 def entity_counts(entities: DataFrame, links: DataFrame, memories: DataFrame) -> DataFrame:
-    """Live claims of each entity, 0 included."""
+    """Live claims of each entity, 0 included; most first, then by name."""
     live = links.join(memories.where(F.col("status").isin("active", "aging")).select("id"), "id", "left_semi").groupBy("name").agg(F.count("*").alias("n"))
-    return entities.join(live, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+    return entities.join(live, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "name")
 
 
 def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepsake.functions import embed, entities
+from keepsake.functions import ranking as R
 from keepsake.functions import text as X
 from keepsake.operators import batch_recall, belief, consolidate, digest, history, ledger, scan, store
+from keepsake.operators.cells import Cells
 from keepsake.operators.postings import Postings
 from keepsake.plans.queries import EFF, FILLERS_SQL, _q, norm, query, toks
 from keepsake.sources import adapters as A
@@ -53,6 +55,16 @@ def kept_postings(spark, sf) -> Postings:
     return _INDEXES[sf]
 
 
+_CELLS: dict[str, Cells] = {}
+
+
+def kept_cells(spark, sf) -> Cells:
+    """The vectors of ``sf`` in cells, kept likewise."""
+    if sf not in _CELLS:
+        _CELLS[sf] = Cells(spark, scratch(spark, "cells")).build(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    return _CELLS[sf]
+
+
 @query(f"WITH {MEMORIES_SQL}, t AS (SELECT id, unnest({toks('content')}) AS term FROM memories) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t GROUP BY 1")
 def postings_terms(spark, sf):
     """Claims and occurrences of every term, from the kept index."""
@@ -104,12 +116,12 @@ def normalize_vectors(spark, sf):
     return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("l1"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
-@query(f"""WITH {MEMORIES_SQL}, {TERMS_SQL}, q AS (SELECT query_id, w FROM qa), m AS (SELECT id, status, list_distinct({toks('content')}) AS s FROM memories WHERE status = 'active' AND id % 50 = 4)
-SELECT query_id, id, round(len(list_filter(w, lambda x: list_contains(s, x))) / len(w)::DOUBLE, 6) AS share FROM q, m WHERE len(w) > 0 AND len(list_filter(w, lambda x: list_contains(s, x))) > 0""")
+@query(f"""WITH {MEMORIES_SQL}, {TERMS_SQL}, q AS (SELECT query_id, w FROM qa), m AS (SELECT id, status, list_distinct({toks('content')}) AS s FROM memories WHERE status = 'active'), mt AS (SELECT id, unnest(s) AS t FROM m), qt AS (SELECT query_id, len(w) AS n, unnest(w) AS t FROM q)
+SELECT query_id, id, round(count(*) / any_value(n)::DOUBLE, 6) AS share FROM qt JOIN mt USING (t) GROUP BY 1, 2""")
 def hint_overlap(spark, sf):
-    """Hints against every fiftieth claim: a stated set of claims against all hints, joined on the words they share."""
+    """Hints against all active claims, joined on the words they share."""
     hint = A.query_table(spark, sf).select("query_id", X.tokens(F.col("query")).alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    m = A.memories(spark, sf).where("status = 'active' and id % 50 = 4").select("id", F.explode(X.token_set(F.col("content"))).alias("t"))
+    m = A.memories(spark, sf).where("status = 'active'").select("id", F.explode(X.token_set(F.col("content"))).alias("t"))
     return hint.join(m, "t").groupBy("query_id", "id").agg(F.round(F.count("*") / F.first("n"), 6).alias("share"))
 
 
@@ -187,6 +199,57 @@ def entity_timeline(spark, sf):
     return store.placed(A.entity_links(spark, sf).join(m, "memory_id"), "name").select("name", F.col("memory_id").alias("id"), "place")
 
 
+@query(f"""WITH {CLAIMS_SQL}, x AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN NULL ELSE last_confirmed_at END AS last_confirmed_at, CASE WHEN id % 9 = 0 THEN NULL ELSE updated_at END AS updated_at) FROM claims),
+a AS (SELECT *, CASE type WHEN 'event' THEN 90.0 WHEN 'note' THEN 180.0 WHEN 'fact' THEN 540.0 END AS hl, date_diff('second', coalesce(last_confirmed_at, updated_at, created_at), TIMESTAMP '2024-02-01') / 86400.0 AS ea, date_diff('second', coalesce(last_confirmed_at, updated_at), TIMESTAMP '2024-02-01') / 86400.0 AS ra FROM x)
+SELECT id, round(CASE WHEN hl IS NULL OR ea <= 0 THEN confidence ELSE confidence * pow(2, -ea / hl) END, 6) AS eff, round(CASE WHEN hl IS NULL OR ra IS NULL OR ra <= 0 THEN 1.0 ELSE 0.3 + 0.7 * pow(2, -floor(ra / hl)) * (1 - 0.5 * (ra / hl - floor(ra / hl))) END, 6) AS recency FROM a""")
+def confidence_anchors(spark, sf):
+    """Decay of claims of which some were never confirmed and some never updated either."""
+    m = A.claims(spark, sf).withColumn("last_confirmed_at", F.when(F.col("id") % 3 != 0, F.col("last_confirmed_at"))).withColumn("updated_at", F.when(F.col("id") % 9 != 0, F.col("updated_at")))
+    anchor, recent = R.anchors(m.columns)
+    return m.select("id", F.round(R.effective_confidence(F.col("confidence"), F.col("type"), anchor, now()), 6).alias("eff"), F.round(R.recency(F.col("type"), recent, now()), 6).alias("recency"))
+
+
+@query(f"""WITH {MEMORIES_SQL}, k AS (SELECT id, substr(sha256(id::VARCHAR), 1, 10) AS key FROM memories), q AS (SELECT DISTINCT CASE WHEN id % 4 = 0 THEN upper(key) || ' ' WHEN id % 4 = 1 THEN substr(key, 1, 6) WHEN id % 4 = 2 THEN substr(key, 1, 5) ELSE 'x' || key END AS asked FROM k),
+h AS (SELECT asked, key = lower(trim(asked)) AS exact, key AS id FROM q JOIN k ON key = lower(trim(asked)) OR (len(trim(asked)) >= 6 AND starts_with(key, lower(trim(asked))))),
+b AS (SELECT asked, CASE WHEN bool_or(exact) THEN max(CASE WHEN exact THEN id END) WHEN count(*) = 1 THEN max(id) END AS id, CASE WHEN NOT bool_or(exact) AND count(*) > 1 THEN 'ambiguous' END AS fault FROM h GROUP BY 1)
+SELECT asked, b.id, CASE WHEN b.asked IS NULL THEN 'not found' ELSE fault END AS fault FROM q LEFT JOIN b USING (asked)""")
+def claim_lookup(spark, sf):
+    """Whole ids, prefixes of six characters, shorter ones and unknown ones, each looked up (by ids of letters and digits)."""
+    k = A.memories(spark, sf).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 10).alias("id"))
+    said = table(spark, sf, "documents").select("doc_id", F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 10).alias("key"))
+    r = F.col("doc_id") % 4
+    asked = said.select(F.when(r == 0, F.concat(F.upper("key"), F.lit(" "))).when(r == 1, F.substring("key", 1, 6)).when(r == 2, F.substring("key", 1, 5)).otherwise(F.concat(F.lit("x"), "key")).alias("asked"))
+    return store.found(k, asked)
+
+
+@query(f"WITH {ENTITIES_SQL}, t AS (SELECT name, to_json(aliases)::VARCHAR AS aliases_json FROM entities) SELECT name, aliases_json, unnest(from_json(aliases_json, '[\"VARCHAR\"]')) AS alias FROM t")
+def aliases_json(spark, sf):
+    """Aliases as the stored JSON text and read back."""
+    t = A.entities(spark, sf).select("name", store.aliases_text(F.col("aliases")).alias("aliases_json"))
+    return t.select("name", "aliases_json", F.explode(store.aliases_list(F.col("aliases_json"))).alias("alias"))
+
+
+@query(f"""WITH {CLAIMS_SQL}, {LINKS_SQL}, c AS (SELECT (SELECT count(*) FROM claims) AS n, (SELECT count(*) FROM claims WHERE status IN ('active', 'aging') AND id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)) AS missing,
+  (SELECT count(*) - count(DISTINCT sha256({norm('content')})) FROM claims) AS equal, (SELECT count(*) FROM links WHERE memory_id NOT IN (SELECT id FROM claims)) AS orphans)
+SELECT 'schema' AS name, FALSE AS ok, 'importance, source' AS detail UNION ALL SELECT 'index', TRUE, n || ' claims, ' || n || ' indexed' FROM c UNION ALL SELECT 'model', FALSE, 'made by hash-64, hash-256 is set'
+UNION ALL SELECT 'vectors', FALSE, missing || ' live claims without a vector' FROM c UNION ALL SELECT 'contents', equal = 0, equal || ' equal contents' FROM c UNION ALL SELECT 'links', orphans = 0, orphans || ' links without a claim' FROM c""")
+def doctor_checks(spark, sf):
+    """All checks, of a store with two columns that are not as wanted and vectors of another model."""
+    m = A.claims(spark, sf)
+    vectors = table(spark, sf, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"))
+    wanted = {"id": "bigint", "content": "string", "status": "string", "importance": "bigint", "source": "string"}
+    return store.checks(m, A.entity_links(spark, sf), wanted, vectors, "hash-256", "hash-64", kept_postings(spark, sf).totals()[0])
+
+
+@query(_recall_sql("TRUE", "type, 'T' || trust AS trust, status, CAST(importance AS INT) AS importance, sha256(content) AS content, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, (SELECT string_agg(l.name, ',' ORDER BY l.name) FROM links l WHERE l.memory_id = pl.id) AS entities").replace("WITH ", f"WITH {LINKS_SQL}, ", 1))
+def recall_records(spark, sf):
+    """The stable record of every hit."""
+    m = A.memories(spark, sf)
+    hits = batch_recall.recall(m.drop("content"), A.query_table(spark, sf), now(), postings=kept_postings(spark, sf))
+    r = batch_recall.records(hits, m, entities=A.entity_links(spark, sf)).select("query_id", "place", "record.*")
+    return r.select("query_id", "place", F.col("id").cast("long").alias("id"), "type", "trust", "status", "importance", F.sha2(F.col("content").cast("binary"), 256).alias("content"), "updated_at", F.array_join("entities", ",").alias("entities"))
+
+
 @query(f"WITH {FLAGS_SQL} SELECT flag_id, memory_id, kind FROM flags WHERE resolved_at IS NULL")
 def open_flags(spark, sf):
     return ledger.open_flags(A.flags(spark, sf)).select("flag_id", "memory_id", "kind")
@@ -386,7 +449,9 @@ def redact_all(spark, sf):
 
 
 def _names(spark, sf):
-    return A.entity_links(spark, sf).groupBy(F.col("memory_id").alias("id")).agg(F.collect_set("name").alias("names"))
+    """The names of each claim's entities and the aliases of these."""
+    links = A.entity_links(spark, sf).join(A.entities(spark, sf), "name")
+    return links.groupBy(F.col("memory_id").alias("id")).agg(F.collect_set("name").alias("names"), F.flatten(F.collect_set("aliases")).alias("aliases"))
 
 
 def _verdicts_sql(live: str, pair: str) -> str:
@@ -424,6 +489,22 @@ def consolidate_edges(spark, sf):
     return consolidate.edges(A.claims(spark, sf), _names(spark, sf))
 
 
+@query()
+def consolidate_counts(spark, sf):
+    """What a whole pass merges, resolves, dates and demotes."""
+    return consolidate.report(consolidate.consolidated(A.claims(spark, sf), _names(spark, sf), now())[1])
+
+
+@query(f"""WITH {MEMORIES_SQL}, e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.v, c.v), 6) AS cosine FROM e q JOIN e c ON len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS r FROM s WHERE cosine > 0) WHERE r <= 10""")
+def vector_cells(spark, sf):
+    """The ten nearest vectors of a stated set of queries, from the cells; those that cannot hold any are not read."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = e.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return kept_cells(spark, sf).nearest(queries, 10).select("query_id", "id", F.round("cosine", 6).alias("cosine"))
+
+
 @query()
 def consolidate_pass(spark, sf):
     """The actions of a whole pass."""
@@ -433,10 +514,10 @@ def consolidate_pass(spark, sf):
 # --- transcripts, digest, writes, interchange ------------------------------------------------------------------
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[untrusted-output]' || text || '[/untrusted-output]' ELSE text END AS text FROM conversations WHERE text IS NOT NULL AND strlen(text) <= 1200""")
+@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[untrusted-output]' || text || '[/untrusted-output]' ELSE text END AS text FROM conversations WHERE text IS NOT NULL""")
 def transcript_marks(spark, sf):
-    """Turns with what stands for tool output marked; longer turns are in the tests."""
-    c = table(spark, sf, "conversations").where((F.octet_length("text") <= transcripts.SPAN_BYTES))
+    """Turns with what stands for tool output marked."""
+    c = table(spark, sf, "conversations").where("text is not null")
     return c.select("conv_id", "turn", transcripts.plain(F.col("text"), F.col("role") == "system")["text"].alias("text"))
 
 
@@ -462,7 +543,7 @@ def digest_summary(spark, sf):
 def ingest_dispositions(spark, sf):
     """Every third document as a write against the claims that the others are."""
     m = A.claims(spark, sf)
-    batch = m.where("id % 3 = 0").select("id", F.col("id").alias("place"), F.substring("content", 1, 900).alias("content"), "type", "importance", "trust", F.lit(False).alias("quarantine"))
+    batch = m.where("id % 3 = 0").select("id", F.col("id").alias("place"), "content", "type", "importance", "trust", F.lit(False).alias("quarantine"))
     return ledger.dispositions(batch, m.where("id % 3 > 0"), _names(spark, sf)).select("id", "action", "existing", "status", "trust")
 
 

@@ -334,12 +334,36 @@ def write_policy(spark, sf):
     return scan.policy(table(spark, sf, "documents")).select("doc_id", "policy")
 
 
-@query()
+def _findings_sql() -> str:
+    """f: doc_id, class, kind, pos (where it starts) and stop of all findings of the catalogue, those that an earlier one holds left out."""
+    digits = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+    verify = {
+        "assigned-credential": "NOT (" + " OR ".join(f"contains(lower(m[i]), '{x}')" for x in scan.PLACEHOLDERS) + ")",
+        "credit-card": f"len({digits}) BETWEEN 13 AND 19 AND list_sum([CASE WHEN k % 2 = 1 THEN reverse({digits})[k]::INT ELSE 2 * reverse({digits})[k]::INT - CASE WHEN reverse({digits})[k]::INT > 4 THEN 9 ELSE 0 END END for k in range(1, len({digits}) + 1)]) % 10 = 0",
+        "iban": "m[i][1:2] IN (" + ", ".join(f"'{x}'" for x in scan.IBAN_COUNTRIES) + ")",
+    }
+    rules = []
+    for r, (cls, kind, pattern) in enumerate(scan.CATALOGUE):
+        p = pattern.replace("'", "''")
+        rules.append(f"""SELECT doc_id, {r} AS rule, i, '{cls}' AS class, '{kind}' AS kind, list_sum([len(x) for x in g[1:i]]) + coalesce(list_sum([len(x) for x in m[1:i - 1]]), 0) AS pos, len(m[i]) AS n
+  FROM (SELECT doc_id, m, string_split_regex(text, '{p}') AS g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS m FROM documents) WHERE len(m) > 0) WHERE {verify.get(kind, 'TRUE')}""")
+    return "ruled AS MATERIALIZED (" + " UNION ALL ".join(rules) + """),
+f AS (SELECT doc_id, class, kind, pos, pos + n AS stop FROM ruled a WHERE NOT EXISTS (SELECT 1 FROM ruled b WHERE b.doc_id = a.doc_id AND (b.rule < a.rule OR (b.rule = a.rule AND b.i < a.i)) AND b.pos <= a.pos AND a.pos + a.n <= b.pos + b.n))"""
+
+
+@query(f"WITH {_findings_sql()} SELECT class, kind, count(*) AS n FROM f GROUP BY 1, 2")
 def scan_catalogue(spark, sf):
     return scan.catalogue_summary(table(spark, sf, "documents"))
 
 
-@query()
+@query(f"WITH {_findings_sql()} SELECT doc_id, class, kind, CAST(pos AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM f")
+def scan_places(spark, sf):
+    """Every finding of the catalogue with its place."""
+    d = table(spark, sf, "documents").select("doc_id", F.inline(scan.findings(F.col("text"))))
+    return d.select("doc_id", "class", "kind", "start", F.col("end").alias("stop"))
+
+
+@query(f"WITH {_findings_sql()} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM f) THEN 'refuse' ELSE 'store' END AS policy FROM documents")
 def write_policy_catalogue(spark, sf):
     return scan.catalogue_policy(table(spark, sf, "documents")).select("doc_id", "policy")
 
@@ -441,7 +465,8 @@ def context_pack(spark, sf):
     return recall.context_pack(recall.context_candidates(memories(spark, sf), now()), 12, 700)
 
 
-@query()
+@query(f"""WITH {MEMORIES_SQL}, h AS (SELECT id, updated_at, sha256({norm('content')}) AS h FROM memories WHERE status IN ('active', 'aging')), n AS (SELECT h, arg_max(id, struct_pack(u := updated_at, i := id)) AS newest FROM h GROUP BY 1)
+SELECT id, CASE WHEN id <> newest THEN newest END AS superseded_by FROM h JOIN n USING (h)""")
 def consolidate_survivors(spark, sf):
     return consolidate.survivors(memories(spark, sf).where(F.col("status").isin("active", "aging")))
 
@@ -505,7 +530,25 @@ def absolutize_dates(spark, sf):
     return m.select("id", consolidate.absolute_dates(text, F.col("updated_at")).alias("content"))
 
 
-@query()
+def _dated_sql() -> str:
+    """The phrases of ``consolidate.absolute_dates``, one replacement after the other, over d: id, text and day."""
+    on = lambda d: f"'on ' || strftime({d}, '%Y-%m-%d')"
+    steps = [("yesterday", on("day - 1")), ("today|this (?:morning|afternoon|evening)", on("day")), ("tomorrow", on("day + 1"))]
+    for i, name in enumerate(consolidate.WEEKDAYS):
+        steps.append((f"last {name}", on(f"day - ((dayofweek(day) - {i} + 6) % 7 + 1)::INT")))
+        steps.append((f"next {name}", on(f"day + (({i} - dayofweek(day) + 6) % 7 + 1)::INT")))
+    for which, k in (("last", -1), ("this", 0), ("next", 1)):
+        steps.append((f"{which} week", f"'the week of ' || strftime(day + {7 * k}, '%Y-%m-%d')"))
+        steps.append((f"{which} month", f"strftime(day + INTERVAL ({k}) MONTH, '%B %Y')"))
+    ago = r"(?i)\b[0-9]+ days? ago\b"
+    said = f"CASE WHEN try_cast(regexp_extract(m[i], '^[0-9]+') AS INT) <= day - DATE '0001-01-01' THEN 'on ' || strftime(day - try_cast(regexp_extract(m[i], '^[0-9]+') AS INT), '%Y-%m-%d') ELSE m[i] END"
+    sql = [f"d0 AS (SELECT id, day, array_to_string([g[i] || coalesce({said}, '') for i in range(1, len(g) + 1)], '') AS text FROM (SELECT id, day, regexp_extract_all(text, '{ago}') AS m, string_split_regex(text, '{ago}') AS g FROM d))"]
+    for n, (words, put) in enumerate(steps):
+        sql.append(f"d{n + 1} AS (SELECT id, day, regexp_replace(text, '(?i)\\b(?:{words})\\b', {put}, 'g') AS text FROM d{n})")
+    return ",\n".join(sql) + f",\nlast AS (SELECT id, replace(text, 'on on ', 'on ') AS content FROM d{len(steps)})"
+
+
+@query(f"WITH {MEMORIES_SQL}, d AS (SELECT id, content AS text, updated_at::DATE AS day FROM memories), {_dated_sql()} SELECT id, content FROM last")
 def absolutize_content(spark, sf):
     return memories(spark, sf).select("id", consolidate.absolute_dates(F.col("content"), F.col("updated_at")).alias("content"))
 

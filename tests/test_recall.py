@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import embed
 from keepsake.operators import batch_recall, recall
+from keepsake.operators.cells import Cells
 from keepsake.sources.adapters import now
 from test_ledger import claims
 
@@ -16,6 +17,18 @@ PLANTED = {
 }
 
 
+def test_cells_give_what_all_vectors_give(spark, tmp_path):
+    m = claims(spark, [(i, c, "active" if i % 3 else "aging", 2) for i, c in enumerate(list(PLANTED) * 6)])
+    q = spark.createDataFrame(list(enumerate(PLANTED.values())), "query_id long, query string")
+    e = embed.HashEmbedder(64)
+    v, asked = m.select("id", e.column(F.col("content")).alias("v")), q.select("query_id", e.column(F.col("query")).alias("v"))
+    key = lambda df: sorted((r["query_id"], r["place"], r["id"], r["score"], r["semantic"]) for r in df.collect())
+    kept = Cells(spark, str(tmp_path / "c")).build(v)
+    allowed = m.where("id % 2 = 0").select("id")
+    for a in (None, allowed):
+        assert key(batch_recall.recall(m, q, now(), vectors=kept, query_vectors=asked, allowed=a)) == key(batch_recall.recall(m, q, now(), vectors=v, query_vectors=asked, allowed=a))
+
+
 def test_planted_claims_are_found(spark):
     rows = [(i, c, "active", 2) for i, c in enumerate(PLANTED)] + [(100 + i, f"Note {i} about {w} and other matters of the week", "active", 2) for i, w in enumerate("budget travel lunch hiring desks".split() * 8)]
     m = claims(spark, rows)

@@ -99,20 +99,25 @@ def fit(docs: DataFrame, learn_from=None, sample: int = SAMPLE, centroids: int =
         rows = rows.where(learn_from)
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    by: dict[str, list] = {}
-    for r in hash_sample(rows, sample, "lang").select("__key", "lang", "text").toLocalIterator():
-        if has_letter(r["text"]):
-            held, counts = counts_of(r["text"])
-            v = np.zeros(DIMS, np.float32)
-            v[held] = vector(held, counts, idf)
-            by.setdefault(r["lang"], []).append((r["__key"], v))
-    langs, centres, limits = [], [], []
-    for lang in sorted(x for x in by if by[x]):
-        x = np.array([v for _, v in sorted(by.pop(lang), key=lambda kv: kv[0])])
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def one_language(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The centroids of the ``sample`` texts of a language, so many bytes whatever the corpus holds."""
+        kept = pdf[[has_letter(t) for t in pdf["text"]]].sort_values("__key")
+        if not len(kept):
+            return pd.DataFrame({"lang": [], "place": [], "c": [], "limit": []})
+        x = np.zeros((len(kept), DIMS), np.float32)
+        for i, t in enumerate(kept["text"]):
+            held, counts = counts_of(t)
+            x[i, held] = vector(held, counts, shared.value)
         c = spherical_kmeans(x, centroids)
-        limits += [float(np.quantile((x @ c.T).max(1), reject_quantile))] * len(c)
-        langs += [lang] * len(c)
-        centres.append(c)
+        least = float(np.quantile((x @ c.T).max(1), reject_quantile))
+        return pd.DataFrame({"lang": kept["lang"].iloc[0], "place": range(len(c)), "c": [v.astype("<f4").tobytes() for v in c], "limit": least})
+
+    chosen = hash_sample(rows, sample, "lang").select("__key", "lang", "text")
+    found = chosen.groupBy("lang").applyInPandas(one_language, "lang string, place int, c binary, limit double").collect()
+    found.sort(key=lambda r: (r["lang"], r["place"]))
+    langs, limits, centres = [r["lang"] for r in found], [r["limit"] for r in found], [np.frombuffer(r["c"], "<f4")[None] for r in found]
     return {"idf": idf, "langs": langs, "centres": np.vstack(centres).astype(np.float32) if centres else np.zeros((0, DIMS), np.float32), "limits": limits}
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import least_of_most, saved, unit_lists, unit_text
+from keepsake.llm.common import freed, least_of_most, saved, unit_lists, unit_text
 
 BUCKETS = 1 << 16
 #: Higher than any rank.
@@ -313,6 +313,8 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     common = common.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("piece", pairs.fold(F.col("piece")).alias("ids"))
     known = Known(common.mapInArrow(Known.pack, "hashes binary, sizes binary, ids binary").collect())
     shared = spark.sparkContext.broadcast((known, pairs.table, pairs.pattern))
+    del known
+    freed()
 
     @F.arrow_udf("struct<runs:array<array<int>>,rare:array<string>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import WordHashes, hash_sample
+from keepsake.llm.common import WordHashes, freed, hash_sample
 
 #: Fixed parameters of the model: places of index vectors, rows of context vectors, words to either side, shapes, hidden units.
 DIMS, ROWS, REACH, SHAPES, HIDDEN = 64, 1 << 14, 2, 2048, 32
@@ -210,7 +210,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, sample: int = SAMPL
     y = got["y"].to_numpy(np.float64)
     if len(set(y)) < 2 or len(y) < 10:
         return {"contexts": contexts, "share": float(y.mean()) if len(y) else 0.5}
-    return {"contexts": contexts, "net": fit_network(np.array([np.frombuffer(x, "<f4") for x in got["x"]], dtype=np.float64), y)}
+    x = np.array([np.frombuffer(x, "<f4") for x in got["x"]], dtype=np.float64)
+    del got
+    net = fit_network(x, y)
+    del x
+    freed()
+    return {"contexts": contexts, "net": net}
 
 
 _poolings: list = []

@@ -259,3 +259,11 @@ def test_shared_entities_meet_by_alias(spark):
 
 def belief_rows(m, pairs, names):
     return belief.paired(pairs, m, names)
+
+
+def test_duplicates_by_their_vectors_alone(spark):
+    m = claims(spark, [(1, "The vault opens at dawn", "active", 2), (2, "Un coffre se deverrouille tot", "active", 2), (3, "Lunch is late", "active", 2)])
+    v = spark.createDataFrame([(1, [1.0, 0.1, 0.0]), (2, [1.0, 0.12, 0.01]), (3, [0.0, 0.0, 1.0])], "id long, v array<double>")
+    got = belief.adjudicated(m.where("id = 2").select("id", "content"), m.where("id <> 2"), no_names(spark), v).collect()
+    assert [(r["new_id"], r["old_id"], r["verdict"]) for r in got] == [(2, 1, "duplicate")]
+    assert belief.adjudicated(m.where("id = 2").select("id", "content"), m.where("id <> 2"), no_names(spark)).count() == 0

@@ -337,6 +337,6 @@ def op6_bpe(spark, sf_dir):
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.translate(F.to_json("ids"), "[]", "").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.replace(F.replace(F.to_json("ids"), F.lit("["), F.lit("")), F.lit("]"), F.lit("")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(pairs.decoded(F.col("ids")), 256).alias("decoded_sha256"),
     )

@@ -1,6 +1,6 @@
 """Claims as they were: the journal folded backwards.
 
-Every change writes the values that it replaces (``prev_`` and a column's name; ``prev`` is the status) into its journal row. So the
+Every change writes the values that it replaces into its journal row (``undo``). So the
 state of a claim at a version is what it is now, with each column that changed since set back to the value that the first
 change after that version found. Claims that were made later are not there. Nothing else is kept for it, and
 any version can be asked for; vectors and hashes are derived and made anew from the content.
@@ -38,14 +38,13 @@ def _rank() -> Column:
 def as_of(memories: DataFrame, ops: DataFrame, points: DataFrame) -> DataFrame:
     """The rows of ``memories`` as they were, one for each point (id, version) at which the claim was there, with the column version.
 
-    ``ops`` is the journal (op, memory_id, payload, ts, version). A point at or after the last version gives the row as it is.
+    ``ops`` is the journal (op, memory_id, payload, ts, undo, version). A point at or after the last version gives the row as it is.
     """
-    later = ops.where(~F.col("op").isin(*SILENT) & F.col("memory_id").isNotNull()).select(F.col("memory_id").alias("id"), "op", "payload", "ts", F.col("version").alias("v"), _rank().alias("rank"))
+    later = ops.where(~F.col("op").isin(*SILENT) & F.col("memory_id").isNotNull()).select(F.col("memory_id").alias("id"), "op", "undo", "ts", F.col("version").alias("v"), _rank().alias("rank"))
     hit = points.select("id", "version").distinct().join(later, "id").where(F.col("v") > F.col("version"))
     made = hit.groupBy("id", "version").agg(F.bool_or(F.col("op").isin("create", "import")).alias("unborn"))
-    said = hit.select("id", "version", F.struct("v", "ts", "rank", "op", "payload").alias("o"), F.explode(F.from_json("payload", "map<string,string>")).alias("k", "value")).where(F.col("k").startswith("prev"))
-    field = F.when(F.col("k") == "prev", "status").otherwise(F.expr("substring(k, 6)"))
-    first = said.select("id", "version", field.alias("field"), "o", F.struct("value").alias("value")).groupBy("id", "version").pivot("field", list(FIELDS)).agg(F.min_by("value", "o"))
+    said = hit.select("id", "version", F.struct("v", "ts", "rank", "op", "undo").alias("o"), F.explode(F.from_json("undo", "map<string,string>")).alias("field", "value"))
+    first = said.select("id", "version", "field", "o", F.struct("value").alias("value")).groupBy("id", "version").pivot("field", list(FIELDS)).agg(F.min_by("value", "o"))
     back = first.select("id", "version", *[F.col(f).alias(f"was_{f}") for f in FIELDS])
     rows = points.select("id", "version").distinct().join(memories, "id").join(back, ["id", "version"], "left").join(made, ["id", "version"], "left").where(~F.coalesce("unborn", F.lit(False)))
     cols = {}

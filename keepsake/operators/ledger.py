@@ -21,7 +21,7 @@ from keepsake.schema import STATUSES, TYPES
 from keepsake.sources import publish
 from keepsake.sources.scratch import saved
 
-OPS_SCHEMA = "op string, memory_id long, payload string, ts timestamp"
+OPS_SCHEMA = "op string, memory_id long, payload string, ts timestamp, undo string"
 Change = tuple[DataFrame, DataFrame]
 
 
@@ -59,7 +59,7 @@ class Ledger:
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{name}/{token}")
         rows = ops if ops is not None else self.spark.createDataFrame([], OPS_SCHEMA)
-        rows.select("op", "memory_id", "payload", "ts").write.parquet(f"{self.path}/ops/token={token}")
+        rows.select("op", "memory_id", "payload", "ts", F.col("undo") if "undo" in rows.columns else F.lit(None).cast("string").alias("undo")).write.parquet(f"{self.path}/ops/token={token}")
         publish.publish(self.spark, f"{self.path}/commits", seen + 1, {"version": seen + 1, "tables": held | dict.fromkeys(tables, token), "ops": token})
         return seen + 1
 
@@ -78,18 +78,17 @@ def _plain(memories: DataFrame, name: str) -> Column:
 def changed(memories: DataFrame, ids: DataFrame, sets: dict[str, Column], op: str, payload: dict[str, Column], now: Column, touch: bool = True) -> Change:
     """Sets columns of the claims that ``ids`` names; its other columns can be used as ``x.name``.
 
-    ``payload`` columns are of the rows as they were; with what ``prev_`` has besides, every column that
-    the change sets stands there with its value before it, so that the journal alone can undo it.
+    ``payload`` columns are of the rows as they were. The journal rows' ``undo`` has every column that the change
+    sets with its value before it (JSON, nulls included), so that the journal alone can undo it.
     """
     x = ids.dropDuplicates(["id"])
     x = x.select(F.col("id"), F.struct(F.lit(True).alias("hit"), *[F.col(c) for c in x.columns if c != "id"]).alias("x"))
     both = memories.join(x, "id", "left")
     hit = F.col("x").isNotNull()
     cols = dict(sets) | ({"updated_at": now} if touch else {})
-    told = {"status"} if "prev" in payload else set()
-    payload = dict(payload) | {f"prev_{k}": _plain(memories, k) for k in cols if f"prev_{k}" not in payload and k not in told and k not in ("embedding", "content_hash")}
+    was = [_plain(memories, k).alias(k) for k in cols if k not in ("embedding", "content_hash")]
     out = both.withColumns({k: F.when(hit, v.cast(memories.schema[k].dataType)).otherwise(F.col(k)) for k, v in cols.items()}).select(*memories.columns)
-    ops = both.where(hit).select(F.lit(op).alias("op"), F.col("id").alias("memory_id"), F.to_json(F.struct(*[v.alias(k) for k, v in payload.items()]), {"ignoreNullFields": "false"}).alias("payload"), now.alias("ts"))
+    ops = both.where(hit).select(F.lit(op).alias("op"), F.col("id").alias("memory_id"), F.to_json(F.struct(*[v.alias(k) for k, v in payload.items()])).alias("payload"), now.alias("ts"), F.to_json(F.struct(*was), {"ignoreNullFields": "false"}).alias("undo"))
     return out, ops
 
 
@@ -308,7 +307,7 @@ def applied(done: DataFrame, memories: DataFrame, flags: DataFrame, now: Column)
     kind = F.when(F.col("reason").contains("instruction-shaped"), "instruction-shape").otherwise("tainted")
     marks = doubts.unionByName(new.where("quarantine").select("id", kind.alias("kind"), F.coalesce("reason", F.lit("")).alias("detail")))
     more = marks.select(F.xxhash64("id", "kind").alias("flag_id"), F.col("id").alias("memory_id"), "kind", "detail", now.alias("created_at"), F.lit(None).cast("timestamp").alias("resolved_at"))
-    return out, flags.unionByName(more.select(*flags.columns)), made.unionByName(held).unionByName(op1).unionByName(op2)
+    return out, flags.unionByName(more.select(*flags.columns)), made.unionByName(held).unionByName(op1, allowMissingColumns=True).unionByName(op2)
 
 
 def valid_statuses(col: Column) -> Column:

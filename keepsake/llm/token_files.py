@@ -24,11 +24,12 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import unit_lists, unit_text
+from keepsake.llm.common import joined, unit_lists, unit_text
 
 #: Fixed values of the format: ids in a word by selector.
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -210,10 +211,14 @@ class Encoder(dict):
             while stop < len(texts) and size < self.characters:
                 size, stop = size + len(texts[stop]), stop + 1
             part, at = texts[at:stop], stop
-            whole = {i: self._library(t) for i, t in enumerate(part) if any(x in t for x in self.special)}
-            lists = unit_lists(pa.array(["" if i in whole else t for i, t in enumerate(part)], pa.string()))
+            held = pa.array(part, pa.string())
+            marked = {i for x in self.special for i in pc.indices_nonzero(pc.match_substring(held, x)).to_pylist()}
+            whole = {i: self._library(part[i]) for i in marked}
+            if whole:
+                held = pa.array(["" if i in whole else t for i, t in enumerate(part)], pa.string())
+            lists = unit_lists(held)
             sizes, coded = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
-            keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            keys = coded.dictionary.to_pylist()
             if len(self) > self.limit:
                 self.elder = dict(self)
                 self.clear()
@@ -222,12 +227,8 @@ class Encoder(dict):
             self._learn({keys[i] for i in gaps if keys[i] not in self.elder})
             for i in gaps:
                 own[i] = self[keys[i]]
-            lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
-            each = lengths[index]
-            ends = np.cumsum(each)
-            starts = np.cumsum(lengths) - lengths
-            ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(starts[index] - (ends - each), each) + np.arange(ends[-1])].tobytes()
-            text_ends = (4 * np.append(0, ends)[np.append(0, np.cumsum(sizes))]).tolist()
+            ids, ends = joined(own, coded.indices)
+            ids, text_ends = ids.to_pybytes(), ends[np.append(0, np.cumsum(sizes))].tolist()
             for i in range(len(part)):
                 yield whole.get(i) or ids[text_ends[i] : text_ends[i + 1]]
 

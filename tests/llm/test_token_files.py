@@ -85,3 +85,14 @@ def test_query_equals_library(spark):
         start += len(ids)
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in op2_token_output(spark, sf).collect())
     assert got == want
+
+
+def test_units_joined():
+    import pyarrow as pa
+
+    from keepsake.llm.common import joined
+
+    own, index = [b"abcd", b"", b"efghijkl"], [2, 0, 1, 0, 2, 2]
+    flat, ends = joined(own, pa.array(index, pa.int32()))
+    assert flat.to_pybytes()[: ends[-1]] == b"".join(own[i] for i in index)
+    assert ends.tolist() == [0, 8, 12, 12, 16, 24, 32]

@@ -2,9 +2,9 @@
 
 A text is cut into pieces by the tokenizer's pattern. A piece starts as its bytes; an
 ``aggregate`` folds merges over them: each step looks up the ranks of neighbouring parts, joins
-the first pair of lowest rank and looks up the two ranks beside it, until no pair has a rank. The
-rank map is a literal in the plan: an array of small maps, found by a hash, because Spark's map
-lookup is linear. Bytes are held as Latin-1 text, one character a byte, so that parts are strings.
+the first pair of lowest rank and looks up the two ranks beside it, until no pair has a rank. Parts
+are held as their ranks. The rank map is a literal in the plan, by the ranks of two neighbours: flat
+arrays of numbers (``pair_ranks``), because Spark's map lookup is linear.
 
 Distinct pieces are counted over all documents (those beside more than one space at a time as if one stood there, for
 the counts only choose what is worth keeping). Those that recur are folded once; up to
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import freed, least_of_most, saved, unit_lists, unit_text
+from keepsake.llm.common import freed, joined, least_of_most, saved, unit_lists, unit_text
 
 BUCKETS = 1 << 16
 #: Higher than any rank.
@@ -61,7 +61,11 @@ def literal_map(entries: dict[str, object], value_type: str) -> Column:
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
     for key, value in entries.items():
         buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<map<string,{value_type}>>")
+    return literal(buckets, f"array<map<string,{value_type}>>")
+
+
+def literal(value: object, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
 def looked_up(mapping: Column, key: Column) -> Column:
@@ -69,6 +73,49 @@ def looked_up(mapping: Column, key: Column) -> Column:
     return F.element_at(F.get(mapping, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[list, list, list]:
+    """The rank map by the ranks of two neighbours, in arrays: (owners, values, places).
+
+    The pair a, b has a rank if ``owners[places[a] + b]`` is a, and then that of the same place in
+    ``values``. The entries of each a keep their distances and lie in gaps between those of others.
+    """
+    pairs = [(ranks[k[:i]], ranks[k[i:]], v) for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
+    places: list = [None] * (max(ranks.values(), default=-1) + 1)
+    if not pairs:
+        return [], [], places
+    left, right, value = np.array(sorted(pairs)).T
+    starts = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+    sizes = np.diff(np.append(starts, len(left)))
+    room = len(left) + len(left) // 4 + 2 * (int(right.max()) + 1)
+    free, at, last, slots = np.ones(room, bool), 0, 0, np.zeros(len(left), np.int64)
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        own = right[starts[k] : starts[k] + sizes[k]]
+        at += int(free[at:].argmax())
+        if len(own) == 1:
+            shift = at - own[0]
+        else:
+            # the next gaps that take all of them; rows of one entry fill what was passed over
+            begin, shift = max(at, last), None
+            while shift is None:
+                heads = begin + np.flatnonzero(free[begin : begin + 1024])
+                begin += 1024
+                if begin + own[-1] - own[0] >= len(free):
+                    free = np.append(free, np.ones(len(free), bool))
+                for x in (own[1:] - own[0]).tolist():
+                    heads = heads[free[heads + x]]
+                    if not len(heads):
+                        break
+                if len(heads):
+                    last, shift = int(heads[0]), heads[0] - own[0]
+        free[own + shift] = False
+        slots[starts[k] : starts[k] + sizes[k]] = own + shift
+        places[left[starts[k]]] = int(shift)
+    owners, values = [[None] * (int(slots.max()) + 1) for _ in range(2)]
+    for i, a, v in zip(slots.tolist(), left.tolist(), value.tolist(), strict=True):
+        owners[i], values[i] = a, v
+    return owners, values, places
+
+
 def _let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -79,7 +126,10 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern, self.table = java_pattern(pattern), ranks
-        self.ranks = literal_map({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
+        # a piece that is a token is that token, even where merges would not lead to it
+        unmerged = {k.decode("latin-1"): v for k, v in ranks.items() if len(k) > 1 and merged(k, ranks) != [v]}
+        self.unmerged = literal_map(unmerged, "int") if unmerged else None
+        self.arrays = [literal(x, "array<int>") for x in (*pair_ranks(ranks), [ranks.get(bytes([x]), NONE) for x in range(256)])]
         parts = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             parts[v] = k
@@ -91,40 +141,42 @@ class BytePairs:
 
     def fold(self, piece: Column) -> Column:
         """The ids of one piece (array<int>)."""
-        return _let(self.ranks, lambda ranks: self._fold(piece, lambda part: F.coalesce(looked_up(ranks, part), F.lit(NONE))))
+        latin = F.decode(piece.cast("binary"), "ISO-8859-1")
+        owners, values, places, singles = self.arrays
 
-    def _fold(self, piece: Column, rank) -> Column:
+        def rank(o, v, p):
+            return lambda a, b: F.when(F.get(o, F.get(p, a) + b) == a, F.get(v, F.get(p, a) + b)).otherwise(F.lit(NONE))
+
+        ids = _let(owners, lambda o: _let(values, lambda v: _let(places, lambda p: _let(singles, lambda s: self._fold(latin, s, rank(o, v, p))))))
+        if self.unmerged is None:
+            return ids
+        return _let(looked_up(self.unmerged, latin), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids))
+
+    def _fold(self, latin: Column, singles: Column, rank) -> Column:
         no_rank = F.array().cast("array<int>")
 
         def begin(parts):
-            pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda p, i: rank(F.concat(F.get(parts, i), p)))
+            pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda p, i: rank(F.get(parts, i), p))
             return F.struct(parts.alias("parts"), pairs.alias("ranks"))
 
-        def merged(parts, ranks, at):
-            # at: 1-based place of the pair; the parts of it are at and at + 1
-            def joined(both):
-                left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), both)))).otherwise(no_rank)
-                right = F.when(at + 2 <= F.size(parts), F.array(rank(F.concat(both, F.get(parts, at + 1))))).otherwise(no_rank)
-                return F.struct(
-                    F.concat(F.slice(parts, 1, at - 1), F.array(both), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-                )
-
-            return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
+        def joined(parts, ranks, at, both):
+            # at: 1-based place of the pair; the parts of it are at and at + 1, and what they make is known by its rank
+            left = F.when(at > 1, F.array(rank(F.get(parts, at - 2), both))).otherwise(no_rank)
+            right = F.when(at + 2 <= F.size(parts), F.array(rank(both, F.get(parts, at + 1)))).otherwise(no_rank)
+            return F.struct(
+                F.concat(F.slice(parts, 1, at - 1), F.array(both), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
+            )
 
         def step(state, _):
-            low = F.array_min(state["ranks"])
-            place = F.array_position(state["ranks"], low).cast("int")
-            return F.when(F.coalesce(low, F.lit(NONE)) >= NONE, state).otherwise(_let(place, lambda at: merged(state["parts"], state["ranks"], at)))
+            def lowest(low):
+                place = F.array_position(state["ranks"], low).cast("int")
+                return F.when(low >= NONE, state).otherwise(_let(place, lambda at: joined(state["parts"], state["ranks"], at, low)))
 
-        def run(latin):
-            one_by_one = F.split(latin, r"(?!^)(?!\z)")
-            return _let(one_by_one, lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), begin(parts), step, lambda s: F.transform(s["parts"], rank)))
+            return _let(F.coalesce(F.array_min(state["ranks"]), F.lit(NONE)), lowest)
 
-        def whole(latin):
-            return _let(rank(latin), lambda r: F.when(r < NONE, F.array(r)).otherwise(run(latin)))
-
-        return _let(F.decode(piece.cast("binary"), "ISO-8859-1"), whole)
+        one_by_one = F.transform(F.split(latin, ""), lambda c: F.get(singles, F.ascii(c)))
+        return _let(one_by_one, lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), begin(parts), step, lambda s: s["parts"]))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids (binary)."""
@@ -167,15 +219,15 @@ class Known:
         sizes = np.concatenate([np.zeros(0, "<u2"), *[np.frombuffer(r["sizes"], "<u2") for r in rows]]).astype(np.int64)
         order = np.argsort(hashes)
         self.hashes, self.sizes, self.starts = hashes[order], sizes[order].astype(np.uint16), (np.cumsum(sizes) - sizes)[order].astype(np.uint32)
-        self.ids = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(r["ids"], "<u4") for r in rows]])
+        self.ids = b"".join([bytes(r["ids"]) for r in rows])
 
     def of(self, pieces: list[str]) -> list[bytes | None]:
         h = np.fromiter([xxhash.xxh64_intdigest(x) for x in pieces], np.uint64, len(pieces))
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
         there = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        spans = zip(there.tolist(), *[x[at].tolist() if len(x) else [0] * len(h) for x in (self.starts, self.sizes)], strict=True)
-        return [self.ids[a : a + n].tobytes() if t else None for t, a, n in spans]
+        starts, sizes = [4 * x[at].astype(np.int64) if len(x) else np.zeros(len(h), np.int64) for x in (self.starts, self.sizes)]
+        return [self.ids[a:b] if t else None for t, a, b in zip(there.tolist(), starts.tolist(), (starts + sizes).tolist(), strict=True)]
 
     @staticmethod
     def pack(batches):
@@ -198,16 +250,28 @@ class Cutter(dict):
         super().__init__()
         self.known, self.ranks, self.pattern, self.at_spaces, self.limit, self.elder = known, ranks, regex.compile(pattern), at_spaces, limit, {}
 
+    def _of(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of known and of long pieces."""
+        out = self.known.of(pieces)
+        for i, p in enumerate(pieces):
+            if out[i] is None and 4 * len(p) > LONG and len(raw := p.encode()) > LONG:
+                out[i] = np.array(merged(raw, self.ranks), "<u4").tobytes()
+        return out
+
     def _learn(self, keys: set[str]) -> dict[str, list]:
         """Puts units of known pieces into the memo; returns the others as ids (bytes) and rare pieces (str) in order."""
-        # letters after a space are one piece, if spaces are cuts
-        own = {k: [" " + k] if k.isalpha() and self.at_spaces else self.pattern.findall(unit_text(k)) for k in keys}
+        others, words, rest = {}, [], []
+        for k in keys:  # letters after a space are one piece, if spaces are cuts
+            (words if self.at_spaces and k.isalpha() else rest).append(k)
+        pieces = [" " + k for k in words]
+        for k, p, x in zip(words, pieces, self._of(pieces), strict=True):
+            if x is not None and len(k) <= LONG:
+                self[k] = x
+            else:
+                others[k] = [p if x is None else x]  # too long to come again, if it has ids
+        own = {k: self.pattern.findall(unit_text(k)) for k in rest}
         pieces = list({p for ps in own.values() for p in ps})
-        ids = dict(zip(pieces, self.known.of(pieces), strict=True))
-        for p in pieces:
-            if ids[p] is None and len(raw := p.encode()) > LONG:
-                ids[p] = np.array(merged(raw, self.ranks), "<u4").tobytes()
-        others = {}
+        ids = dict(zip(pieces, self._of(pieces), strict=True))
         for k, ps in own.items():
             got = [ids[p] for p in ps]
             if None in got:
@@ -255,18 +319,15 @@ class Cutter(dict):
             if self.at_spaces:
                 lists = unit_lists(part)
                 sizes, coded = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
-                keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+                keys, index = coded.dictionary.to_pylist(), coded.indices
             else:
                 keys = ["\t" + t for t in part.to_pylist()]
-                sizes, index = np.ones(len(keys), np.int64), np.arange(len(keys))
+                sizes, index = np.ones(len(keys), np.int64), pa.array(range(len(keys)), pa.int32())
             own, own_rare = self.ids_of(keys)
-            lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
-            starts = np.cumsum(lengths) - lengths
-            each = lengths[index]
-            ends = np.cumsum(each)
             # all units' ids, one after another
-            ids = np.frombuffer(b"".join(own), "<i4")[np.repeat(starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-            text_ends = np.append(0, ends)[np.cumsum(sizes)]
+            data, ends = joined(own, index)
+            ids = np.frombuffer(data, "<i4")[: ends[-1] // 4]
+            text_ends = ends[np.cumsum(sizes)] // 4
             # runs end where a rare piece stands and at the end of a text
             gaps = np.flatnonzero(ids < 0)
             before = np.searchsorted(gaps, text_ends)

@@ -3,7 +3,7 @@ import hashlib
 import public_tokenizers as P
 import tiktoken
 
-from keepsake.llm.bpe import BytePairs, encode, load_ranks, merged
+from keepsake.llm.bpe import BytePairs, encode, load_ranks, merged, pair_ranks
 
 RANKS = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -52,3 +52,24 @@ def test_any_pattern(spark):
     texts = ["hello there  big world", "It IS 5 o'clock", "x"]
     got = encode(spark.createDataFrame([(t,) for t in texts], "text string"), BytePairs(RANKS, pattern), at_spaces=False).collect()
     assert {r["text"]: list(r["ids"]) for r in got} == {t: library.encode_ordinary(t) for t in texts}
+
+
+def test_pairs_of_neighbours():
+    ranks = RANKS | {b"qzxjv": max(RANKS.values()) + 1}  # no merge leads to it
+    owners, values, places = pair_ranks(ranks)
+    there = 0
+    for k, v in ranks.items():
+        for a, b in ((ranks.get(k[:i]), ranks.get(k[i:])) for i in range(1, len(k))):
+            if a is not None and b is not None:
+                assert (owners[places[a] + b], values[places[a] + b]) == (a, v)
+                there += 1
+    assert there == sum(x is not None for x in owners)
+    assert pair_ranks({bytes([x]): x for x in range(256)})[:2] == ([], [])
+
+
+def test_token_that_no_merge_makes(spark):
+    ranks = {bytes([x]): x for x in range(256)} | {b"ab": 256, b"xyz": 257, b"abab": 258}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["xyz", "xyzxyz abab", "xyz", "ababab é", None]
+    got = encode(spark.createDataFrame([(t,) for t in texts], "text string"), BytePairs(ranks, P.PATTERN)).collect()
+    assert [list(r["ids"]) for r in got] == [library.encode_ordinary(r["text"] or "") for r in got]

@@ -25,6 +25,7 @@ import base64
 import heapq
 import json
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,17 +74,21 @@ def looked_up(mapping: Column, key: Column) -> Column:
     return F.element_at(F.get(mapping, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> tuple[list, list, list]:
-    """The rank map by the ranks of two neighbours, in arrays: (owners, values, places).
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[list, list, list, list]:
+    """The rank map by the ranks of two neighbours, in arrays: (owners, values, places, codes).
 
-    The pair a, b has a rank if ``owners[places[a] + b]`` is a, and then that of the same place in
-    ``values``. The entries of each a keep their distances and lie in gaps between those of others.
+    The pair a, b has a rank if ``owners[places[a] + codes[b]]`` is a, and then that of the same place
+    in ``values``. The entries of each a keep their distances and lie in gaps between those of others;
+    codes are small for those b that stand in many pairs, so that the gaps are few.
     """
     pairs = [(ranks[k[:i]], ranks[k[i:]], v) for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
     places: list = [None] * (max(ranks.values(), default=-1) + 1)
+    codes = places.copy()
     if not pairs:
-        return [], [], places
-    left, right, value = np.array(sorted(pairs)).T
+        return [], [], places, codes
+    for code, (b, _) in enumerate(Counter(b for _, b, _ in pairs).most_common()):
+        codes[b] = code
+    left, right, value = np.array(sorted((a, codes[b], v) for a, b, v in pairs)).T
     starts = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
     sizes = np.diff(np.append(starts, len(left)))
     room = len(left) + len(left) // 4 + 2 * (int(right.max()) + 1)
@@ -95,10 +100,10 @@ def pair_ranks(ranks: dict[bytes, int]) -> tuple[list, list, list]:
             shift = at - own[0]
         else:
             # the next gaps that take all of them; rows of one entry fill what was passed over
-            begin, shift = max(at, last), None
+            begin, shift = max(at, last - 16384), None
             while shift is None:
-                heads = begin + np.flatnonzero(free[begin : begin + 1024])
-                begin += 1024
+                heads = begin + np.flatnonzero(free[begin : begin + 8192])
+                begin += 8192
                 if begin + own[-1] - own[0] >= len(free):
                     free = np.append(free, np.ones(len(free), bool))
                 for x in (own[1:] - own[0]).tolist():
@@ -113,7 +118,7 @@ def pair_ranks(ranks: dict[bytes, int]) -> tuple[list, list, list]:
     owners, values = [[None] * (int(slots.max()) + 1) for _ in range(2)]
     for i, a, v in zip(slots.tolist(), left.tolist(), value.tolist(), strict=True):
         owners[i], values[i] = a, v
-    return owners, values, places
+    return owners, values, places, codes
 
 
 def _let(value: Column, use) -> Column:
@@ -142,12 +147,16 @@ class BytePairs:
     def fold(self, piece: Column) -> Column:
         """The ids of one piece (array<int>)."""
         latin = F.decode(piece.cast("binary"), "ISO-8859-1")
-        owners, values, places, singles = self.arrays
+        owners, values, places, codes, singles = self.arrays
 
-        def rank(o, v, p):
-            return lambda a, b: F.when(F.get(o, F.get(p, a) + b) == a, F.get(v, F.get(p, a) + b)).otherwise(F.lit(NONE))
+        def rank(o, v, p, c):
+            def of(a, b):
+                at = F.get(p, a) + F.get(c, b)
+                return F.when(F.get(o, at) == a, F.get(v, at)).otherwise(F.lit(NONE))
 
-        ids = _let(owners, lambda o: _let(values, lambda v: _let(places, lambda p: _let(singles, lambda s: self._fold(latin, s, rank(o, v, p))))))
+            return of
+
+        ids = _let(owners, lambda o: _let(values, lambda v: _let(places, lambda p: _let(codes, lambda c: _let(singles, lambda s: self._fold(latin, s, rank(o, v, p, c)))))))
         if self.unmerged is None:
             return ids
         return _let(looked_up(self.unmerged, latin), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids))
@@ -363,7 +372,7 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     """
     spark = docs.sparkSession
     # plans hold the rank map as a literal; the descriptions that Spark keeps of them need not
-    spark.conf.set("spark.sql.maxPlanStringLength", "65536")
+    spark.conf.set("spark.sql.maxPlanStringLength", "8192")
     if at_spaces:  # what stands between spaces is counted first, so that the pattern is applied to each such unit once
         found = docs.select(F.explode(F.split(F.coalesce(text_col, F.lit("")), " ")).alias("unit")).groupBy("unit").count()
         found = found.select(F.explode(pairs.pieces(F.concat(F.lit(" "), F.col("unit")))).alias("piece"), "count").groupBy("piece").agg(F.sum("count").alias("count"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import freed, joined, least_of_most, saved, unit_lists, unit_text
+from keepsake.llm.common import freed, joined, least_of_most, saved, trimmed, unit_lists, unit_text
 
 BUCKETS = 1 << 16
 #: Higher than any rank.
@@ -224,11 +224,12 @@ class Known:
     """Ids of common pieces in arrays, by 64-bit hash of the piece."""
 
     def __init__(self, rows):
+        # on the driver: few copies at a time
+        self.ids = b"".join(r["ids"] for r in rows)
         hashes = np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(r["hashes"], "<u8") for r in rows]])
-        sizes = np.concatenate([np.zeros(0, "<u2"), *[np.frombuffer(r["sizes"], "<u2") for r in rows]]).astype(np.int64)
-        order = np.argsort(hashes)
-        self.hashes, self.sizes, self.starts = hashes[order], sizes[order].astype(np.uint16), (np.cumsum(sizes) - sizes)[order].astype(np.uint32)
-        self.ids = b"".join([bytes(r["ids"]) for r in rows])
+        sizes = np.concatenate([np.zeros(0, "<u2"), *[np.frombuffer(r["sizes"], "<u2") for r in rows]])
+        order = np.argsort(hashes).astype(np.uint32)
+        self.hashes, self.sizes, self.starts = hashes[order], sizes[order], (np.cumsum(sizes, dtype=np.uint32) - sizes)[order]
 
     def of(self, pieces: list[str]) -> list[bytes | None]:
         h = np.fromiter([xxhash.xxh64_intdigest(x) for x in pieces], np.uint64, len(pieces))
@@ -373,6 +374,8 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     spark = docs.sparkSession
     # plans hold the rank map as a literal; the descriptions that Spark keeps of them need not
     spark.conf.set("spark.sql.maxPlanStringLength", "8192")
+    # a task's texts come to its Python worker, and its ids go back, some megabytes at a time
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     if at_spaces:  # what stands between spaces is counted first, so that the pattern is applied to each such unit once
         found = docs.select(F.explode(F.split(F.coalesce(text_col, F.lit("")), " ")).alias("unit")).groupBy("unit").count()
         found = found.select(F.explode(pairs.pieces(F.concat(F.lit(" "), F.col("unit")))).alias("piece"), "count").groupBy("piece").agg(F.sum("count").alias("count"))
@@ -381,7 +384,7 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     counts = saved(found.where("count > 1"), "pieces")
     common = counts.where((F.col("count") >= least_of_most(counts, "count", dictionary)) & (F.octet_length("piece") <= LONG))
     common = common.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("piece", pairs.fold(F.col("piece")).alias("ids"))
-    known = Known(common.mapInArrow(Known.pack, "hashes binary, sizes binary, ids binary").collect())
+    known = Known(common.mapInArrow(trimmed(Known.pack), "hashes binary, sizes binary, ids binary").collect())
     shared = spark.sparkContext.broadcast((known, pairs.table, pairs.pattern))
     del known
     freed()
@@ -391,6 +394,9 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
         cutter = Cutter(*shared.value, at_spaces)
         for texts in batches:
             yield cutter.cut(texts)
+            freed(cycles=False)
+        del cutter
+        freed()
 
     held = docs.withColumn("__cut", cut(F.col(text_col)))
     with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.concat(pairs.fold(p), F.get(F.col("__cut.runs"), i + 1)))

@@ -24,15 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def freed() -> None:
-    """Gives memory that numpy and Arrow keep for later back to the system, once something large on the driver is done with."""
-    gc.collect()
+def freed(cycles: bool = True) -> None:
+    """Gives memory that numpy and Arrow keep for later back to the system, once something large is done with."""
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
         trim(0)
 
 
+def trimmed(run):
+    """``run`` over a task's batches; what it held goes back to the system at the end, for Spark keeps the task's Python worker."""
+
+    def own(batches):
+        yield from run(batches)
+        freed()
+
+    return own
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import WordHashes, running_hashes, window_hashes, words_of
+from keepsake.llm.common import WordHashes, running_hashes, trimmed, window_hashes, words_of
 
 #: Fixed parameters: words in a seed, share of an item's words that its tiles must cover.
 MIN_MATCH, THRESHOLD = 5, 0.5
@@ -158,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
                     yield pd.DataFrame(found, columns=["id", "item_id", "n_tiles", "coverage"])
 
         # ids travel as text: pandas would turn whole numbers beside nulls into floats
-        got = docs.select(F.col(id_col).cast("string").alias("id"), F.col("text").alias("text")).mapInPandas(run, "id string, item_id string, n_tiles long, coverage double")
+        got = docs.select(F.col(id_col).cast("string").alias("id"), F.col("text").alias("text")).mapInPandas(trimmed(run), "id string, item_id string, n_tiles long, coverage double")
         out = got if out is None else out.unionByName(got)
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("item_id").cast(item_kind).alias("item_id"), "n_tiles", "coverage")
 

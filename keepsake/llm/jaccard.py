@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import WordHashes, saved, shingle_set, words_of
+from keepsake.llm.common import WordHashes, saved, shingle_set, trimmed, words_of
 
 #: Fixed parameters: words in a shingle, similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -106,7 +106,7 @@ def common_shingles(docs: DataFrame, shingle: int, small: int, most: int = 1 <<
         u, n = np.unique(h, return_counts=True)
         return pd.DataFrame({"h": u[n > small].astype(np.int64), "n": n[n > small]})
 
-    counted = saved(docs.select("text").mapInPandas(pack, "range int, gaps binary").groupBy("range").applyInPandas(count, "h long, n long"), "common")
+    counted = saved(docs.select("text").mapInPandas(trimmed(pack), "range int, gaps binary").groupBy("range").applyInPandas(count, "h long, n long"), "common")
     while counted.where(F.col("n") > small).count() > most:
         small *= 2
     return np.sort(np.array([r["h"] for r in counted.where(F.col("n") > small).select("h").collect()], dtype=np.uint64))
@@ -131,7 +131,7 @@ def points(docs: DataFrame, common: np.ndarray, shingle: int, percent: int) -> D
             yield pd.DataFrame(out, columns=["id", "n", "digest", "mark", "p", "prefix", "dense"])
 
     rows = docs.select(F.col("id").cast("string").alias("id"), "text")
-    return rows.mapInPandas(run, "id string, n long, digest binary, mark long, p long, prefix array<long>, dense boolean")
+    return rows.mapInPandas(trimmed(run), "id string, n long, digest binary, mark long, p long, prefix array<long>, dense boolean")
 
 
 def _pairs_within(batches):
@@ -319,7 +319,7 @@ def _own_sets(texts: DataFrame, shingle: int) -> DataFrame:
             own = [_digest(s).hex().upper() == rep for s, rep in zip(sets, pdf["rep"], strict=True)]
             yield pd.DataFrame({"rep": pdf["rep"], "set": [s.tobytes() for s in sets]})[own]
 
-    return texts.mapInPandas(run, "rep string, set binary").groupBy("rep").agg(F.first("set").alias("set"))
+    return texts.mapInPandas(trimmed(run), "rep string, set binary").groupBy("rep").agg(F.first("set").alias("set"))
 
 
 def _join_regions(sets: DataFrame, percent: int) -> DataFrame:

@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import WordHashes, freed, hash_sample
+from keepsake.llm.common import WordHashes, freed, hash_sample, trimmed
 
 #: Fixed parameters of the model: places of index vectors, rows of context vectors, words to either side, shapes, hidden units.
 DIMS, ROWS, REACH, SHAPES, HIDDEN = 64, 1 << 14, 2, 2048, 32
@@ -110,7 +111,7 @@ def context_vectors(texts: DataFrame, buckets: int = 64) -> np.ndarray:
             total += np.frombuffer(x, "<f8")
         return pd.DataFrame({"bucket": pdf["bucket"][:1], "part": [total.astype("<f8").tobytes()]})
 
-    got = texts.select("text").mapInPandas(run, "bucket int, part binary").groupBy("bucket").applyInPandas(add, "bucket int, part binary").collect()
+    got = texts.select("text").mapInPandas(trimmed(run), "bucket int, part binary").groupBy("bucket").applyInPandas(add, "bucket int, part binary").collect()
     sums = np.zeros((buckets, ROWS * DIMS // buckets))
     for r in got:
         sums[r["bucket"]] = np.frombuffer(r["part"], "<f8")
@@ -206,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, sample: int = SAMPL
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["__key"], "y": pdf["low"], "x": [v.astype("<f4").tobytes() for v in pooling.all(pdf["text"])]})
 
-    got = chosen.select("__key", "low", "text").mapInPandas(features, "key long, y int, x binary").toPandas().sort_values("key")
+    got = chosen.select("__key", "low", "text").mapInPandas(trimmed(features), "key long, y int, x binary").toPandas().sort_values("key")
     y = got["y"].to_numpy(np.float64)
     if len(set(y)) < 2 or len(y) < 10:
         return {"contexts": contexts, "share": float(y.mean()) if len(y) else 0.5}
@@ -218,26 +219,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, sample: int = SAMPL
     return {"contexts": contexts, "net": net}
 
 
-_poolings: list = []
-
-
-def _pooling(model: dict) -> Pooling:
-    """One a worker process and model, so that its memo serves all batches."""
-    if not _poolings or _poolings[0] is not model:
-        _poolings[:] = [model, Pooling(model["contexts"])]
-    return _poolings[1]
-
-
 def scored(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the probability of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held = shared.value
-        if "net" not in held:
-            return pd.Series(np.full(len(texts), held["share"]))
-        return pd.Series(probability(held["net"], _pooling(held).all(texts)))
+        pooling = Pooling(held["contexts"])
+        for texts in batches:
+            yield pd.Series(probability(held["net"], pooling.all(texts)) if "net" in held else np.full(len(texts), held["share"]))
+        del pooling
+        freed()
 
     return docs.withColumn(score_col, score(F.col(text_col)))
 

@@ -1,10 +1,13 @@
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from keepsake.llm import bpe
+from keepsake.llm import bpe, quality
 
 SECRET = "pass" + "word=abcdefghijkl0123"
 
@@ -70,3 +73,32 @@ def test_rows_that_share_an_id_and_null_ids(spark, tmp_path):
     one = [r for r in kept if (r[1] or "").startswith((good[7], good[9]))]
     assert [r[0] for r in one] in ([4, None], [None, 4])
     assert [r for r in kept if r not in one] == sorted([(5, good[5]), (7, good[6]), (None, good[5] + " end"), (None, None), (None, None), (-3, good[8]), (6, None)], key=repr)
+
+
+def most_held(spark):
+    """MB of the largest of the Python workers that Spark keeps."""
+
+    def run(batches):
+        for _ in batches:
+            time.sleep(0.5)  # so that each task has a worker of its own
+        with open("/proc/self/status") as f:
+            yield pd.DataFrame({"mb": [int(line.split()[1]) / 1024 for line in f if line.startswith("RssAnon")]})
+
+    return max(r["mb"] for r in spark.range(0, 4, 1, 4).mapInPandas(run, "mb double").collect())
+
+
+def test_workers_give_back_what_a_stage_held(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(150_000)]
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts]], "text string").coalesce(1)
+    most_held(spark)
+    before = most_held(spark)
+    contexts = np.zeros((quality.ROWS, quality.DIMS), np.float32)
+    assert quality.scored(docs, {"contexts": contexts, "share": 0.25}).where("score = 0.25").count() == 300
+    net = quality.fit_network(np.random.default_rng(1).normal(size=(40, 3 * quality.DIMS + 1)), np.arange(40) % 2, epochs=1)
+    assert quality.scored(docs, {"contexts": contexts, "net": net}).where("score between 0 and 1").count() == 300
+    assert most_held(spark) < before + 40
+    pairs = bpe.BytePairs(bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    assert bpe.encode(docs, pairs).where("size(ids) > 1000").count() == 300
+    assert most_held(spark) < before + 40

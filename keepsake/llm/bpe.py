@@ -3,8 +3,10 @@
 A text is cut into pieces by the tokenizer's pattern. A piece starts as its bytes; an
 ``aggregate`` folds merges over them: each step looks up the ranks of neighbouring parts, joins
 the first pair of lowest rank and looks up the two ranks beside it, until no pair has a rank. Parts
-are held as their ranks. The rank map is a literal in the plan, by the ranks of two neighbours: flat
-arrays of numbers (``pair_ranks``), because Spark's map lookup is linear.
+are held as their ranks. The rank map is by the ranks of two neighbours: flat arrays of numbers
+(``pair_ranks``), because Spark's map lookup is linear. It is one row of a saved table that plans read
+as a scalar subquery: as a literal it would stand in every description of a plan, some megabytes
+each, that the driver makes and keeps.
 
 Distinct pieces are counted over all documents (those beside more than one space at a time as if one stood there, for
 the counts only choose what is worth keeping). Those that recur are folded once; up to
@@ -16,7 +18,7 @@ a heap instead, for the fold's time grows with the square of a piece's length.
 
 Pieces are known by 64-bit hashes in the packed arrays. Edge cases: null or empty text has no ids
 and decodes to no bytes; a null array of ids decodes to null. Repeated rows and null ids are kept,
-for encoding works row by row. The columns ``__cut`` and ``out_col`` must not stand in the input.
+for encoding works row by row. The columns ``__cut``, ``__ranks`` and ``out_col`` must not stand in the input.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import freed, joined, least_of_most, saved, trimmed, unit_lists, unit_text
@@ -134,20 +136,32 @@ class BytePairs:
         # a piece that is a token is that token, even where merges would not lead to it
         unmerged = {k.decode("latin-1"): v for k, v in ranks.items() if len(k) > 1 and merged(k, ranks) != [v]}
         self.unmerged = literal_map(unmerged, "int") if unmerged else None
-        self.arrays = [literal(x, "array<int>") for x in (*pair_ranks(ranks), [ranks.get(bytes([x]), NONE) for x in range(256)])]
+        numbers = pa.array([[*pair_ranks(ranks), [ranks.get(bytes([x]), NONE) for x in range(256)]]], pa.list_(pa.list_(pa.int32())))
+        self.row = saved(SparkSession.active().createDataFrame(pa.table({"numbers": numbers})), "ranks")
+        del numbers
         parts = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             parts[v] = k
         # strings that hold the pieces' very bytes, whether or not these are characters; they are only joined
         self.parts = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in parts])), "array<binary>").cast("array<string>")
+        freed()
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def fold(self, piece: Column) -> Column:
+    def with_folds(self, df: DataFrame, out_col: str, use) -> DataFrame:
+        """``df`` with ``use(fold)`` in ``out_col``, where ``fold(piece)`` gives the ids of one piece.
+
+        A subquery may not be written within a function of arrays, so it gets a column that ``use`` alone refers to, and once;
+        Spark puts the one in the place of the other, and no row holds the numbers. ``__ranks`` must not stand in ``df``.
+        """
+        held = df.withColumn("__ranks", self.row.scalar())
+        return held.withColumn(out_col, _let(F.col("__ranks"), lambda r: use(lambda piece: self.fold(piece, r)))).drop("__ranks")
+
+    def fold(self, piece: Column, ranks: Column) -> Column:
         """The ids of one piece (array<int>)."""
         latin = F.decode(piece.cast("binary"), "ISO-8859-1")
-        owners, values, places, codes, singles = self.arrays
+        owners, values, places, codes, singles = [F.get(ranks, F.lit(k)) for k in range(5)]
 
         def rank(o, v, p, c):
             def of(a, b):
@@ -224,10 +238,12 @@ class Known:
     """Ids of common pieces in arrays, by 64-bit hash of the piece."""
 
     def __init__(self, rows):
-        # on the driver: few copies at a time
-        self.ids = b"".join(r["ids"] for r in rows)
-        hashes = np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(r["hashes"], "<u8") for r in rows]])
-        sizes = np.concatenate([np.zeros(0, "<u2"), *[np.frombuffer(r["sizes"], "<u2") for r in rows]])
+        # on the driver: few copies at a time, and rows as they come
+        flat = [bytearray(), bytearray(), bytearray()]
+        for r in rows:
+            for own, x in zip(flat, (r["hashes"], r["sizes"], r["ids"]), strict=True):
+                own += x
+        hashes, sizes, self.ids = np.frombuffer(flat[0], "<u8"), np.frombuffer(flat[1], "<u2"), bytes(flat.pop())
         order = np.argsort(hashes).astype(np.uint32)
         self.hashes, self.sizes, self.starts = hashes[order], sizes[order], (np.cumsum(sizes, dtype=np.uint32) - sizes)[order]
 
@@ -372,7 +388,7 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     characters and beside a line feed between two others, as ``public_tokenizers.PATTERN`` does.
     """
     spark = docs.sparkSession
-    # plans hold the rank map as a literal; the descriptions that Spark keeps of them need not
+    # plans hold the parts to decode by as a literal; the descriptions that Spark keeps of them need not
     spark.conf.set("spark.sql.maxPlanStringLength", "8192")
     # a task's texts come to its Python worker, and its ids go back, some megabytes at a time
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
@@ -383,8 +399,11 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
         found = docs.select(F.explode(pairs.pieces(F.col(text_col))).alias("piece")).groupBy("piece").count()
     counts = saved(found.where("count > 1"), "pieces")
     common = counts.where((F.col("count") >= least_of_most(counts, "count", dictionary)) & (F.octet_length("piece") <= LONG))
-    common = common.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("piece", pairs.fold(F.col("piece")).alias("ids"))
-    known = Known(common.mapInArrow(trimmed(Known.pack), "hashes binary, sizes binary, ids binary").collect())
+    common = common.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("piece")
+    folded = pairs.with_folds(common, "ids", lambda fold: fold(F.col("piece")))
+    # folded by all tasks, then fetched some files at a time: the driver's JVM never holds all of them
+    packed = saved(folded.mapInArrow(trimmed(Known.pack), "hashes binary, sizes binary, ids binary"), "known")
+    known = Known(packed.toLocalIterator())
     shared = spark.sparkContext.broadcast((known, pairs.table, pairs.pattern))
     del known
     freed()
@@ -399,8 +418,12 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
         freed()
 
     held = docs.withColumn("__cut", cut(F.col(text_col)))
-    with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.concat(pairs.fold(p), F.get(F.col("__cut.runs"), i + 1)))
-    return held.withColumn(out_col, F.concat(F.get(F.col("__cut.runs"), F.lit(0)), F.flatten(with_rare))).drop("__cut")
+
+    def whole(fold):
+        with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.concat(fold(p), F.get(F.col("__cut.runs"), i + 1)))
+        return F.concat(F.get(F.col("__cut.runs"), F.lit(0)), F.flatten(with_rare))
+
+    return pairs.with_folds(held, out_col, whole).drop("__cut")
 
 
 def op6_bpe(spark, sf_dir):

@@ -74,3 +74,13 @@ def test_token_that_no_merge_makes(spark):
     texts = ["xyz", "xyzxyz abab", "xyz", "ababab é", None]
     got = encode(spark.createDataFrame([(t,) for t in texts], "text string"), BytePairs(ranks, P.PATTERN)).collect()
     assert [list(r["ids"]) for r in got] == [library.encode_ordinary(r["text"] or "") for r in got]
+
+
+def test_plans_do_not_spell_out_the_rank_map(spark, capsys):
+    pairs = BytePairs(RANKS, P.PATTERN)
+    encoded = encode(spark.createDataFrame([("hello world qzxj",)], "text string"), pairs)
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 27))
+    encoded.explain()
+    plan = capsys.readouterr().out
+    # no row holds the rank map either: the subquery stands where its column was referred to
+    assert "ubquery" in plan and "__ranks" not in plan and len(plan) < 200_000

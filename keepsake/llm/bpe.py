@@ -45,6 +45,8 @@ BUCKETS = 1 << 16
 NONE = 1 << 30
 #: Pieces of more bytes are merged with a heap.
 LONG = 256
+#: ASCII marks: neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space as the tokenizer's regex library sees it (fixed values).
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 
@@ -124,8 +126,8 @@ def pair_ranks(ranks: dict[bytes, int]) -> tuple[list, list, list, list]:
 
 
 def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)`` with the value computed once: the fold of no elements, whose last function gets the start."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
 class BytePairs:
@@ -136,9 +138,11 @@ class BytePairs:
         # a piece that is a token is that token, even where merges would not lead to it
         unmerged = {k.decode("latin-1"): v for k, v in ranks.items() if len(k) > 1 and merged(k, ranks) != [v]}
         self.unmerged = literal_map(unmerged, "int") if unmerged else None
-        numbers = pa.array([[*pair_ranks(ranks), [ranks.get(bytes([x]), NONE) for x in range(256)]]], pa.list_(pa.list_(pa.int32())))
+        owners, values, *by_part = pair_ranks(ranks)
+        values = [None if v is None else v - NONE for v in values]
+        numbers = pa.array([[owners, values, *by_part, [ranks.get(bytes([x]), NONE) for x in range(256)]]], pa.list_(pa.list_(pa.int32())))
         self.row = saved(SparkSession.active().createDataFrame(pa.table({"numbers": numbers})), "ranks")
-        del numbers
+        del numbers, owners, values, by_part
         parts = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             parts[v] = k
@@ -166,7 +170,7 @@ class BytePairs:
         def rank(o, v, p, c):
             def of(a, b):
                 at = F.get(p, a) + F.get(c, b)
-                return F.when(F.get(o, at) == a, F.get(v, at)).otherwise(F.lit(NONE))
+                return F.when(F.get(o, at) == a, F.get(v, at)).otherwise(F.lit(-1))
 
             return of
 
@@ -176,30 +180,29 @@ class BytePairs:
         return _let(looked_up(self.unmerged, latin), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids))
 
     def _fold(self, latin: Column, singles: Column, rank) -> Column:
-        no_rank = F.array().cast("array<int>")
+        """One array holds all parts, and before each part the rank of the pair it ends.
 
-        def begin(parts):
-            pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda p, i: rank(F.get(parts, i), p))
-            return F.struct(parts.alias("parts"), pairs.alias("ranks"))
-
-        def joined(parts, ranks, at, both):
-            # at: 1-based place of the pair; the parts of it are at and at + 1, and what they make is known by its rank
-            left = F.when(at > 1, F.array(rank(F.get(parts, at - 2), both))).otherwise(no_rank)
-            right = F.when(at + 2 <= F.size(parts), F.array(rank(both, F.get(parts, at + 1)))).otherwise(no_rank)
-            return F.struct(
-                F.concat(F.slice(parts, 1, at - 1), F.array(both), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-            )
+        Parts are not negative; ranks are less NONE, and -1 is none, also where no part stands, so that ends need no care. Functions
+        here get values bound by ``_let``, for of an expression they work the type out at every call. ``flatten`` takes less time
+        than ``concat``, and the least of the places less than ``array_position``, which leaves by an exception.
+        """
+
+        def joined(state, at, both):
+            middle = F.array(rank(F.get(state, at - 3), both), both, rank(both, F.get(state, at + 3)))
+            return _let(F.array(F.slice(state, F.lit(1), at - 2), middle, F.slice(state, at + 4, F.lit(NONE))), F.flatten)
 
         def step(state, _):
             def lowest(low):
-                place = F.array_position(state["ranks"], low).cast("int")
-                return F.when(low >= NONE, state).otherwise(_let(place, lambda at: joined(state["parts"], state["ranks"], at, low)))
+                place = _let(F.transform(state, lambda x, i: F.when(x == low, i)), F.array_min)
+                return F.when(low >= -1, state).otherwise(_let(low + NONE, lambda both: _let(place, lambda at: joined(state, at, both))))
 
-            return _let(F.coalesce(F.array_min(state["ranks"]), F.lit(NONE)), lowest)
+            return _let(F.array_min(state), lowest)
+
+        def begin(parts):
+            return _let(F.transform(parts, lambda p, i: F.array(rank(F.get(parts, i - 1), p), p)), F.flatten)
 
         one_by_one = F.transform(F.split(latin, ""), lambda c: F.get(singles, F.ascii(c)))
-        return _let(one_by_one, lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), begin(parts), step, lambda s: s["parts"]))
+        return _let(one_by_one, lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), begin(parts), step, lambda s: F.filter(s, lambda x: x >= 0)))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids (binary)."""
@@ -243,17 +246,22 @@ class Known:
         for r in rows:
             for own, x in zip(flat, (r["hashes"], r["sizes"], r["ids"]), strict=True):
                 own += x
-        hashes, sizes, self.ids = np.frombuffer(flat[0], "<u8"), np.frombuffer(flat[1], "<u2"), bytes(flat.pop())
-        order = np.argsort(hashes).astype(np.uint32)
-        self.hashes, self.sizes, self.starts = hashes[order], sizes[order], (np.cumsum(sizes, dtype=np.uint32) - sizes)[order]
-
-    def of(self, pieces: list[str]) -> list[bytes | None]:
-        h = np.fromiter([xxhash.xxh64_intdigest(x) for x in pieces], np.uint64, len(pieces))
-        at = np.searchsorted(self.hashes, h)
+        hashes, ids = np.frombuffer(flat[0], "<u8"), bytes(flat.pop())
+        ends = np.cumsum(np.append(0, 4 * np.frombuffer(flat[1], "<u2").astype(np.int32)), dtype=np.int32)
+        self.entries = pa.Array.from_buffers(pa.binary(), len(hashes), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+        self.order = np.argsort(hashes).astype(np.uint32)
+        self.hashes = hashes[self.order]
+
+    def of(self, pieces: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """Which pieces are known, and the ids of those, in order."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
+        if not len(self.hashes):
+            return np.zeros(len(h), bool), self.entries
+        at, order = np.empty(len(h), np.int64), np.argsort(h)
+        at[order] = np.searchsorted(self.hashes, h[order])  # in order, for the next one is near the last
         at[at == len(self.hashes)] = 0
-        there = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        starts, sizes = [4 * x[at].astype(np.int64) if len(x) else np.zeros(len(h), np.int64) for x in (self.starts, self.sizes)]
-        return [self.ids[a:b] if t else None for t, a, b in zip(there.tolist(), starts.tolist(), (starts + sizes).tolist(), strict=True)]
+        there = self.hashes[at] == h
+        return there, self.entries.take(pa.array(self.order[at[there]]))
 
     @staticmethod
     def pack(batches):
@@ -269,72 +277,47 @@ class Known:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in own], names=["hashes", "sizes", "ids"])
 
 
-class Cutter(dict):
-    """Texts as runs of known ids with the rare pieces between them; a memo of units of known pieces, in two generations."""
-
-    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool, limit: int = 150_000):
-        super().__init__()
-        self.known, self.ranks, self.pattern, self.at_spaces, self.limit, self.elder = known, ranks, regex.compile(pattern), at_spaces, limit, {}
-
-    def _of(self, pieces: list[str]) -> list[bytes | None]:
-        """The ids of known and of long pieces."""
-        out = self.known.of(pieces)
-        for i, p in enumerate(pieces):
-            if out[i] is None and 4 * len(p) > LONG and len(raw := p.encode()) > LONG:
-                out[i] = np.array(merged(raw, self.ranks), "<u4").tobytes()
-        return out
-
-    def _learn(self, keys: set[str]) -> dict[str, list]:
-        """Puts units of known pieces into the memo; returns the others as ids (bytes) and rare pieces (str) in order."""
-        others, words, rest = {}, [], []
-        for k in keys:  # letters after a space are one piece, if spaces are cuts
-            (words if self.at_spaces and k.isalpha() else rest).append(k)
-        pieces = [" " + k for k in words]
-        for k, p, x in zip(words, pieces, self._of(pieces), strict=True):
-            if x is not None and len(k) <= LONG:
-                self[k] = x
-            else:
-                others[k] = [p if x is None else x]  # too long to come again, if it has ids
-        own = {k: self.pattern.findall(unit_text(k)) for k in rest}
-        pieces = list({p for ps in own.values() for p in ps})
-        ids = dict(zip(pieces, self._of(pieces), strict=True))
-        for k, ps in own.items():
-            got = [ids[p] for p in ps]
-            if None in got:
-                others[k] = [p if x is None else x for p, x in zip(ps, got, strict=True)]
-            elif len(k) > LONG:
-                others[k] = got  # too long to come again
+class Cutter:
+    """Texts as runs of known ids with the rare pieces between them; nothing is kept from one slice of texts to the next."""
+
+    def __init__(self, known: Known, ranks: dict[bytes, int], pattern: str, at_spaces: bool):
+        self.known, self.ranks, self.pattern, self.at_spaces = known, ranks, regex.compile(pattern), at_spaces
+
+    def _pieces(self, keys: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of all units, one after another, and how many each unit has."""
+        pieces, sizes, found = [], np.ones(len(keys), np.int64), self.pattern.findall
+        for i, k in enumerate(keys):
+            if self.at_spaces and k.isalpha():
+                pieces.append(" " + k)
+                continue
+            if self.at_spaces and (word := k.rstrip(MARKS)).isalpha():
+                own = (" " + word, k[len(word) :])
             else:
-                self[k] = b"".join(got)
-        return others
+                own = found(unit_text(k))
+            pieces += own
+            sizes[i] = len(own)
+        return pieces, sizes
 
-    def ids_of(self, keys: list[str]) -> tuple[list[bytes], list[str]]:
+    def ids_of(self, keys: list[str]) -> tuple[pa.Array, list[str]]:
         """The ids of each unit as 32-bit integers; -1 - k stands for the k-th of the rare pieces that come with them."""
-        if len(self) > self.limit:
-            self.elder = dict(self)
-            self.clear()
-        out, rare = [*map(self.get, keys)], []
-        gaps = [i for i, x in enumerate(out) if x is None]
-        lacking = set()
-        for i in gaps:
-            if (x := self.elder.get(keys[i])) is not None:
-                out[i] = self[keys[i]] = x
+        pieces, sizes = self._pieces(keys)
+        there, known = self.known.of(pieces)
+        gaps = np.flatnonzero(~there)
+        own, rare, long = [], [], {}
+        for i in gaps.tolist():
+            p = pieces[i]
+            if 4 * len(p) > LONG and len(raw := p.encode()) > LONG:
+                if p not in long:
+                    long[p] = np.array(merged(raw, self.ranks), "<u4").tobytes()
+                own.append(long[p])
             else:
-                lacking.add(keys[i])
-        others = self._learn(lacking)
-        for i in gaps:
-            if out[i] is None:
-                if (parts := others.get(keys[i])) is None:
-                    out[i] = self[keys[i]]
-                    continue
-                own = b""
-                for x in parts:
-                    if isinstance(x, str):
-                        rare.append(x)
-                        x = struct.pack("<i", -len(rare))
-                    own += x
-                out[i] = own
-        return out, rare
+                rare.append(p)
+                own.append(struct.pack("<i", -len(rare)))
+        place = np.empty(len(pieces), np.int64)
+        place[there], place[gaps] = np.arange(len(known)), len(known) + np.arange(len(gaps))
+        data, ends = joined(pa.concat_arrays([known, pa.array(own, pa.binary())]).cast(pa.large_binary()), pa.array(place))
+        ends = ends[np.cumsum(np.append(0, sizes))]
+        return pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(ends), data]), rare
 
     def cut(self, texts: pa.Array) -> pa.Array:
         """array of struct<runs, rare>: one run more than rare pieces. Equal units are looked up once for some texts together."""
@@ -371,7 +354,7 @@ class Cutter(dict):
         return pa.StructArray.from_arrays(parts, names=["runs", "rare"])
 
     @staticmethod
-    def _slices(texts: pa.Array, rows: int = 1024, size: int = 1 << 22):
+    def _slices(texts: pa.Array, rows: int = 4096, size: int = 1 << 22):
         """Up to ``rows`` texts at a time, and about ``size`` bytes of them."""
         ends = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy(zero_copy_only=False)))
         at = 0
@@ -385,7 +368,8 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     """``docs`` with the ids of its texts (array<int>) in ``out_col``.
 
     ``at_spaces``: whether the pattern always cuts before a single space between two other
-    characters and beside a line feed between two others, as ``public_tokenizers.PATTERN`` does.
+    characters and beside a line feed between two others, and takes letters after a space as a piece and
+    ASCII marks between them and a cut as another, as ``public_tokenizers.PATTERN`` does.
     """
     spark = docs.sparkSession
     # plans hold the parts to decode by as a literal; the descriptions that Spark keeps of them need not
@@ -420,7 +404,7 @@ def encode(docs: DataFrame, pairs: BytePairs, dictionary: int = 1_500_000, text_
     held = docs.withColumn("__cut", cut(F.col(text_col)))
 
     def whole(fold):
-        with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.concat(fold(p), F.get(F.col("__cut.runs"), i + 1)))
+        with_rare = F.transform(F.col("__cut.rare"), lambda p, i: F.flatten(F.array(fold(p), F.get(F.col("__cut.runs"), i + 1))))
         return F.concat(F.get(F.col("__cut.runs"), F.lit(0)), F.flatten(with_rare))
 
     return pairs.with_folds(held, out_col, whole).drop("__cut")

@@ -92,9 +92,9 @@ def unit_text(unit: str) -> str:
     return unit[1:] if unit[0] == "\t" else " " + unit
 
 
-def joined(own: list[bytes], index: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
-    """The strings of ``own`` at ``index``, one after another, and the byte where each begins (one entry more: where the last ends)."""
-    _, ends, flat = pa.array(own, pa.large_binary()).take(index).buffers()
+def joined(own: list[bytes] | pa.Array, index: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The strings of ``own`` (large, if an array) at ``index``, one after another, and the byte where each begins (one entry more: where the last ends)."""
+    _, ends, flat = (own if isinstance(own, pa.Array) else pa.array(own, pa.large_binary())).take(index).buffers()
     return flat, np.frombuffer(ends, np.int64)[: len(index) + 1]
 
 

@@ -1,9 +1,14 @@
 import hashlib
 
+import random
+
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 
-from keepsake.llm.bpe import BytePairs, encode, load_ranks, merged, pair_ranks
+from keepsake.llm.bpe import BytePairs, Cutter, Known, encode, load_ranks, merged, pair_ranks
+from keepsake.llm.common import unit_text, units
 
 RANKS = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -84,3 +89,42 @@ def test_plans_do_not_spell_out_the_rank_map(spark, capsys):
     plan = capsys.readouterr().out
     # no row holds the rank map either: the subquery stands where its column was referred to
     assert "ubquery" in plan and "__ranks" not in plan and len(plan) < 200_000
+
+
+def test_overlapping_pairs_of_one_rank(spark):
+    ranks = {bytes([x]): x for x in range(256)} | {b"ab": 256, b"ba": 257, b"aba": 258, b"aa": 259, b"abaa": 260, b"bb": 261}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("ab", k=draw.randint(1, 40))) for _ in range(400)]
+    for bound in (1, 1000):
+        got = encode(spark.createDataFrame([(t,) for t in texts + texts[:100]], "text string"), BytePairs(ranks, P.PATTERN), dictionary=bound).collect()
+        assert [list(r["ids"]) for r in got] == [library.encode_ordinary(r["text"]) for r in got]
+
+
+def test_fold_does_not_look_its_types_up_at_every_merge(spark, capsys):
+    pairs = BytePairs(RANKS, P.PATTERN)
+    pairs.with_folds(spark.createDataFrame([("hello",)], "piece string"), "ids", lambda fold: fold(F.col("piece"))).explain(True)
+    plan = capsys.readouterr().out
+    # an item of an array that is written out, or the concatenation of arrays, costs more than the merge itself
+    assert "aggregate(" in plan and "array_position(" not in plan and "concat(" not in plan and "transform(array(" not in plan
+
+
+def test_pieces_of_units_equal_those_of_the_pattern():
+    draw = random.Random(7)
+    parts = ["word", "É", "ß", "日本", "'s", "'ll", "'", ".", ",", "...", "***", "_", "9", "٣", "\u0301", "\u00a0", "\u3000", "\n", " ", " ", "—", "…", "\t"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 12))) for _ in range(4000)]
+    cutter = Cutter(Known([]), RANKS, P.PATTERN, True)
+    for t in texts:
+        keys = units(t)
+        pieces, sizes = cutter._pieces(keys)
+        assert pieces == cutter.pattern.findall(t) and list(sizes) == [len(cutter.pattern.findall(unit_text(k))) for k in keys]
+
+
+def test_nothing_is_kept_between_slices():
+    known = Known([{"hashes": b"", "sizes": b"", "ids": b""}])
+    cutter = Cutter(known, RANKS, P.PATTERN, True)
+    before = set(vars(cutter))
+    out = cutter.cut(pa.array(["some words, and others", None, "", "q" * 300 + " end"])).to_pylist()
+    assert not isinstance(cutter, dict) and set(vars(cutter)) == before  # no memo grows with the texts
+    assert [r["rare"] for r in out] == [["some", " words", ",", " and", " others"], [], [], [" end"]]
+    assert out[3]["runs"] == [merged(b"q" * 300, RANKS), []] and out[1]["runs"] == [[]]

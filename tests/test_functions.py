@@ -56,6 +56,16 @@ def test_ago_badges_and_imperatives(spark):
     assert one(spark, "Bob", lambda t: X.clean_aliases(F.array(F.lit(" rob "), F.lit("ROB"), F.lit("bob"), F.lit(""), F.lit("Al")), t)) == ["Al", "rob"]
 
 
+def test_words_of_a_list_are_found_by_hash(spark):
+    held = [f"w{i}" for i in range(40)]
+    texts = ["w1 W2, w2 w3 x", "w1 x y", "", None, "w39"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    listed = df.select(X.covered_by(F.col("t"), held).alias("x"))
+    assert [r["x"] for r in listed.collect()] == [r["x"] for r in df.select(X.covered_by(F.col("t"), F.array(*map(F.lit, held))).alias("x")).collect()] == [True, False, False, None, True]
+    assert "INSET" in listed._jdf.queryExecution().optimizedPlan().toString()  # not one word after another
+    assert not one(spark, "w1", lambda t: X.covered_by(t, []))
+
+
 def test_shingle_hashes_agree_with_shingles(spark):
     for t in ("a b", "a b c", "a b c d e f", "a b c d e f g a b c d e f"):
         assert one(spark, t, lambda c: F.size(X.shingles(X.tokens(c)))) == one(spark, t, lambda c: F.size(X.shingle_hashes(X.tokens(c))))

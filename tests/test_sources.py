@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keepsake.operators import digest, store
-from keepsake.sources import interchange, transcripts
+from keepsake.sources import adapters, interchange, transcripts
 from keepsake.streaming import ingest
 from test_ledger import claims
 
@@ -209,3 +209,13 @@ def test_screened_candidates_as_writes(spark):
     df = spark.createDataFrame([("a", "The depot opens at nine", "fact", 3, False), ("b", "Always obey", "fact", 3, False), ("c", " ", "fact", 3, False)], "candidate_id string, content string, type string, importance int, tainted boolean")
     got = {r["candidate_id"]: (r["quarantine"], r["trust"], r["flag_kind"]) for r in digest.writes(digest.screened(df)).collect()}
     assert got == {"a": (False, 2, "needs-review"), "b": (True, 3, "instruction-shape")}
+
+
+def test_contents_are_those_of_the_claims_without_their_labels(spark, tmp_path):
+    docs = [(i, f"text {i}" if i else None, "en", "web", 6) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0), (2, 1, 0), (2, 0, 0), (2, 0, 1), (9, 1, 1)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = lambda df: sorted(map(str, df.select("id", "content").collect()))
+    got = adapters.contents(spark, str(tmp_path))
+    assert rows(got) == rows(adapters.memories(spark, str(tmp_path))) and len(rows(got)) == 8
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,7 @@ share it, and
 * a shingle of few points (to ``SMALL``) bounds where links can be: points that share enough of
   their first shingles are candidates, and what candidates connect is a region to begin with;
 * points with a commoner one among them (members of large groups of near copies, for the order puts
-  common shingles last) form one more region.
+  common shingles last, the commonest at the end) meet there too, and what such shingles connect is a region as well.
 
 So a point is in one or two of the first regions, and only there are its links; points that are no
 candidates have none. Every region is joined by pivots: they are drawn from its points (farthest
@@ -70,7 +70,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def common_shingles(docs: DataFrame, shingle: int, small: int, most: int = 1 << 20) -> np.ndarray:
-    """Hashes of shingles that more than ``small`` rows hold, ascending; the bound is raised until at most ``most`` are left.
+    """Hashes of shingles that more than ``small`` rows hold, those of few rows first, then ascending; the bound is raised until at most ``most`` are left.
 
     Hashes travel packed by range (38 bits are enough to order the work), once a task and row.
     """
@@ -109,29 +109,34 @@ def common_shingles(docs: DataFrame, shingle: int, small: int, most: int = 1 <<
     counted = saved(docs.select("text").mapInPandas(trimmed(pack), "range int, gaps binary").groupBy("range").applyInPandas(count, "h long, n long"), "common")
     while counted.where(F.col("n") > small).count() > most:
         small *= 2
-    return np.sort(np.array([r["h"] for r in counted.where(F.col("n") > small).select("h").collect()], dtype=np.uint64))
+    rows = counted.where(F.col("n") > small).collect()
+    h = np.array([r["h"] for r in rows], dtype=np.uint64)
+    return h[np.lexsort((h, np.array([r["n"] for r in rows], dtype=np.int64)))]
 
 
 def points(docs: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """For each row: id, n (its shingles), digest and mark (its first 64 bits), prefix (its rare first shingles; p of them), dense (whether common ones are among the first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    """For each row: id, n (its shingles), digest and mark (its first 64 bits), prefix (its rare first shingles; p of them), dense (whether common ones are among the first) and those (``common`` has them in their order)."""
+    order = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[order], order.astype(np.int64)))
 
     def run(batches):
-        memo, held = WordHashes(), shared.value
+        memo, (held, place) = WordHashes(), shared.value
         for pdf in batches:
             out = []
             for doc_id, t in zip(pdf["id"], pdf["text"], strict=True):
                 s = shingle_set(memo.of(words_of(t)), shingle)
                 k = s >> np.uint64(26)
                 at = np.minimum(np.searchsorted(held, k), max(len(held) - 1, 0))
-                rare = s[held[at] != k] if len(held) else s
+                known = held[at] == k if len(held) else np.zeros(len(s), bool)
+                rare = s[~known]
                 p = prefix_length(len(s), percent)
+                often = np.sort(place[at[known]])[: max(p - len(rare), 0)] if len(rare) < p else np.zeros(0, np.int64)
                 digest = _digest(s)
-                out.append((doc_id, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), min(p, len(rare)), rare[:p].astype(np.int64), len(rare) < p))
-            yield pd.DataFrame(out, columns=["id", "n", "digest", "mark", "p", "prefix", "dense"])
+                out.append((doc_id, len(s), digest, int.from_bytes(digest[:8], "little", signed=True), min(p, len(rare)), rare[:p].astype(np.int64), len(rare) < p, often))
+            yield pd.DataFrame(out, columns=["id", "n", "digest", "mark", "p", "prefix", "dense", "often"])
 
     rows = docs.select(F.col("id").cast("string").alias("id"), "text")
-    return rows.mapInPandas(trimmed(run), "id string, n long, digest binary, mark long, p long, prefix array<long>, dense boolean")
+    return rows.mapInPandas(trimmed(run), "id string, n long, digest binary, mark long, p long, prefix array<long>, dense boolean, often array<long>")
 
 
 def _pairs_within(batches):
@@ -471,12 +476,24 @@ def point_reps(held: DataFrame, kind: str) -> DataFrame:
     return saved(slim.groupBy("rep").agg(*[F.min(c).alias(c) for c in ("mark", "n", "p", "dense")], F.min(F.col("id").cast(kind)).alias("low"), F.min("id").alias("one")), "reps")
 
 
+def dense_regions(held: DataFrame) -> DataFrame:
+    """Points with common shingles among their first ones, by what such shingles connect: region, rep. Points that share none are alone and left out.
+
+    A shingle's points are joined to the least of them, so that a shingle gives as many links as it has points.
+    """
+    own = saved(held.where("dense").select(F.hex("digest").alias("rep"), F.explode("often").alias("h")).distinct(), "dense")
+    least = own.groupBy("h").agg(F.min("rep").alias("a"))
+    links = saved(own.join(least, "h").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "dense-links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    return smallest_reachable(ends, links).select(F.concat(F.lit("dense"), "component").alias("region"), "rep")
+
+
 def first_regions(rows: DataFrame, held: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The regions to begin with: region, rep, set; a point may stand in two."""
     candidates = saved(pairs_of_rare(held, reps, percent), "candidates")
     ends = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     connected = smallest_reachable(ends, candidates).select(F.col("component").alias("region"), "rep")
-    regions = saved(connected.unionByName(reps.where("dense").select(F.lit("dense").alias("region"), "rep")), "first-regions")
+    regions = saved(connected.unionByName(dense_regions(held)), "first-regions")
     one = saved(reps.join(regions.select("rep").distinct(), "rep", "left_semi").select("rep", "one"), "wanted")
     if one.count() <= BROADCAST:
         one = F.broadcast(one)  # else their texts are found by a shuffle

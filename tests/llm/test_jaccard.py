@@ -132,3 +132,27 @@ def test_no_division_needed():
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_groups_of_near_copies_are_regions_of_their_own(spark):
+    rng = random.Random(4)
+    rows, n = [], 0
+    for _ in range(6):  # more copies than a rare shingle has, so all shingles of a group are common
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(24):
+            own = list(words)
+            own[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            rows.append((n, " ".join(own)))
+            n += 1
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    held = points(df, common_shingles(df, 5, 16), 5, 80).cache()
+    space = first_regions(df, held, point_reps(held, "long"), 5, 80).collect()
+    of = {r["one"]: r["rep"] for r in point_reps(held, "long").collect()}
+    regions = {}
+    for r in space:
+        if r["region"].startswith("dense"):
+            regions.setdefault(r["region"], set()).add(r["rep"])
+    groups = [{of[str(i)] for i in range(24 * g, 24 * g + 24)} for g in range(6)]
+    assert all(any(own <= g for g in groups) for own in regions.values()) and set.union(*regions.values()) == set.union(*groups)
+    got = near_duplicates(df, id_col="id", region=3000).collect()
+    assert all(r["component_id"] == r["id"] // 24 * 24 for r in got)
